@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
+from pyspark.sql.window import Window
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -55,3 +56,38 @@ def ordinal(col: Column, levels: list[str]) -> Column:
 def md5_bucket(col: Column, modulus: int) -> Column:
     """Stable bucket from the first 32 bits of md5: same value on every engine and partitioning."""
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(modulus)
+
+
+def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | None = None,
+                    descending: bool = False, n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+    """Running totals of ``sum_cols`` in ``order_col`` order (ties included), per group.
+
+    A plain window without ``partitionBy`` would pull every row into one
+    task. Instead rows are range-bucketed on ``order_col`` by approximate
+    quantile edges (a one-row aggregate), each bucket's totals are
+    prefix-summed over the small (group × bucket) table, and the final
+    window runs per (group, bucket) plus that offset. Equal order values
+    always land in one bucket, so RANGE-frame tie semantics are exact.
+    ``df`` should already be reduced to distinct (group, order) rows.
+    """
+    group_cols = list(group_cols or [])
+    spark = df.sparkSession
+    if n_buckets is None:
+        n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.col(q(order_col))
+    okey = -key.cast("double") if descending else key.cast("double")
+    probs = ", ".join(str(i / n_buckets) for i in range(1, n_buckets))
+    base = df.withColumn("__o", okey)
+    edges = base.agg(F.expr(f"percentile_approx(__o, array({probs}), 10000)").alias("__edges"))
+    b = (base.crossJoin(F.broadcast(edges))
+         .withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__o"))))
+         .drop("__edges"))
+    tot = b.groupBy(*group_cols, "__b").agg(*[F.sum(q(c)).alias(f"__t_{c}") for c in sum_cols])
+    wo = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*group_cols, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__off_{c}")
+                                          for c in sum_cols])
+    j = b.join(off, group_cols + ["__b"], "inner")
+    wr = (Window.partitionBy(*group_cols, "__b").orderBy("__o")
+          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return j.select(*df.columns, *[(F.sum(q(c)).over(wr) + F.col(f"__off_{c}")).alias(prefix + c)
+                                   for c in sum_cols])
