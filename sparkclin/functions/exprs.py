@@ -59,7 +59,8 @@ def md5_bucket(col: Column, modulus: int) -> Column:
 
 
 def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | None = None,
-                    descending: bool = False, n_buckets: int | None = None, prefix: str = "cum_") -> DataFrame:
+                    descending: bool = False, n_buckets: int | None = None, prefix: str = "cum_",
+                    with_next: bool = False) -> DataFrame:
     """Running totals of ``sum_cols`` in ``order_col`` order (ties included), per group.
 
     A plain window without ``partitionBy`` would pull every row into one
@@ -69,6 +70,9 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_co
     window runs per (group, bucket) plus that offset. Equal order values
     always land in one bucket, so RANGE-frame tie semantics are exact.
     ``df`` should already be reduced to distinct (group, order) rows.
+    ``with_next`` adds ``next_value``: the following distinct order value in
+    the group (within a bucket by ``lead``, across buckets from the next
+    bucket's minimum).
     """
     group_cols = list(group_cols or [])
     spark = df.sparkSession
@@ -86,8 +90,17 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_co
     wo = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*group_cols, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__off_{c}")
                                           for c in sum_cols])
+    if with_next:
+        mins = b.groupBy(*group_cols, "__b").agg(F.min("__o").alias("__bmin"))
+        wn = Window.partitionBy(*group_cols).orderBy("__b")
+        nxt = mins.select(*group_cols, "__b", F.lead("__bmin").over(wn).alias("__nb"))
+        off = off.join(nxt, group_cols + ["__b"], "inner")
     j = b.join(off, group_cols + ["__b"], "inner")
     wr = (Window.partitionBy(*group_cols, "__b").orderBy("__o")
           .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    extra = []
+    if with_next:
+        ln = F.coalesce(F.lead("__o").over(Window.partitionBy(*group_cols, "__b").orderBy("__o")), F.col("__nb"))
+        extra.append((-ln if descending else ln).alias("next_value"))
     return j.select(*df.columns, *[(F.sum(q(c)).over(wr) + F.col(f"__off_{c}")).alias(prefix + c)
-                                   for c in sum_cols])
+                                   for c in sum_cols], *extra)
