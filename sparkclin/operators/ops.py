@@ -28,7 +28,8 @@ def _ts(c: str = "ts") -> Column:
 
 def canary_guard(log: DataFrame, track: str = "track", latency_ms: str = "latency_ms", status: str = "status",
                  window: str = "5 minutes", canary: str = "canary", baseline: str = "production",
-                 max_error_rate: float = 0.05, max_p95_s: float = 2.0, min_rate: float = 5.0) -> DataFrame:
+                 max_error_rate: float = 0.05, max_p95_s: float = 2.0, min_rate: float = 5.0,
+                 approx: bool = False) -> DataFrame:
     """Per 5-minute window and track: error rate, p95 latency, request rate; guard flags.
 
     Canary and baseline rows of the same window are paired by a join on the
@@ -37,10 +38,11 @@ def canary_guard(log: DataFrame, track: str = "track", latency_ms: str = "latenc
     secs = {"5 minutes": 300.0}.get(window, 300.0)
     g = log.groupBy(F.window(_ts(), window).alias("w"), track).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(status) >= 400).cast("double")).alias("error_rate"),
-        F.expr(f"percentile_approx({latency_ms}, 0.95, 10000)").alias("p95_ms"))
-    c = g.where(F.col(track) == canary).select(F.col("w.start").alias("window_start"), F.col("n").alias("canary_n"),
+        F.expr(f"percentile_approx({latency_ms}, 0.95, 10000)" if approx else f"percentile({latency_ms}, 0.95)")
+        .alias("p95_ms"))
+    c = g.where(F.col(track) == canary).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("canary_n"),
                                                F.col("error_rate").alias("canary_error_rate"), F.col("p95_ms").alias("canary_p95_ms"))
-    b = g.where(F.col(track) == baseline).select(F.col("w.start").alias("window_start"), F.col("n").alias("baseline_n"),
+    b = g.where(F.col(track) == baseline).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("baseline_n"),
                                                  F.col("error_rate").alias("baseline_error_rate"))
     j = c.join(b, "window_start", "left")
     return j.select("*", (F.col("canary_error_rate") > max_error_rate).alias("error_rate_alert"),
@@ -203,7 +205,8 @@ def rate_over_window(log: DataFrame, window: str = "5 minutes", slide: str = "1
     """Events per second over sliding windows per label; error ratio and its alert."""
     g = log.groupBy(F.window(_ts(), window, slide).alias("w"), *(labels or [])).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(status) >= 400).alias("errors"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *(labels or []), "n",
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), *(labels or []), "n",
                     (F.col("n") / seconds).alias("rate"), (F.col("errors") / F.col("n")).alias("error_ratio"),
                     (F.col("errors") / F.col("n") > alert).alias("alert"))
 
