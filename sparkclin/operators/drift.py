@@ -15,6 +15,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from sparkclin.functions.exprs import cumulative_sums, q, rows_from_struct_array, safe_div, stack_columns
@@ -87,7 +88,7 @@ def wasserstein(long: DataFrame) -> DataFrame:
         (F.coalesce("wasserstein", F.lit(0.0)) / (F.col("__hi") - F.col("__lo") + 1e-6)).alias("wasserstein_score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kolmogorov_pvalue(lam: pd.Series) -> pd.Series:
     """Asymptotic two-sided Kolmogorov tail: 2 Σ_{k=1..100} (−1)^{k−1} exp(−2k²λ²), clipped to [0, 1]."""
     def one(x):
@@ -222,7 +223,7 @@ def _gammaincc(a: float, x: float) -> float:
     return min(1.0, math.exp(-x + a * math.log(x) - gln) * h)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([_gammaincc(d / 2.0, s / 2.0) if s == s and d > 0 else float("nan") for s, d in zip(stat, dof)])
 

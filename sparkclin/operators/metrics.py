@@ -14,6 +14,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparkclin.functions.exprs import cumulative_sums, safe_div
 
@@ -182,7 +183,7 @@ def calibration_curve(df: DataFrame, y_true: str = "y_true", y_prob: str = "y_pr
                  F.count(F.lit(1)).alias("count")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2_df1_pvalue(x: pd.Series) -> pd.Series:
     # Survival function of chi-square with one degree of freedom: erfc(sqrt(x/2)).
     return x.map(lambda v: math.erfc(math.sqrt(v / 2.0)) if v is not None and v == v else float("nan"))

@@ -274,8 +274,9 @@ def quarantine_retry(dlq: DataFrame, outcomes: DataFrame, max_items: int = 100,
               .when(F.coalesce(F.col("__ok"), F.lit(False)), F.lit("resolved"))
               .when(new_retry >= F.col("max_retries"), F.lit("failed_retry"))
               .otherwise(F.lit("pending")))
-    return (j.withColumn("retry_count", new_retry).withColumn("status", status)
-            .drop("__picked", "__ok"))
+    return (j.withColumn("__nr", new_retry).withColumn("__st", status)
+            .withColumn("retry_count", F.col("__nr")).withColumn("status", F.col("__st"))
+            .drop("__picked", "__ok", "__nr", "__st"))
 
 
 def quarantine_stats(dlq: DataFrame, task_col: str = "task_name", ts_col: str = "ts",
@@ -296,8 +297,8 @@ def quarantine_stats(dlq: DataFrame, task_col: str = "task_name", ts_col: str =
 
 # A21
 def version_parts(col: str) -> Column:
-    """Dotted version → array<int> (NULL parts when not numeric)."""
-    return F.transform(F.split(F.col(col), r"\."), lambda x: x.try_cast("int"))
+    """Dotted version → array<int>; parts that are not numbers rank lowest (−1)."""
+    return F.transform(F.split(F.col(col), r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(-1)))
 
 
 def latest_version(df: DataFrame, name_col: str, version_col: str) -> DataFrame:
