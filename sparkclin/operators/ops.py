@@ -26,6 +26,11 @@ def _ts(c: str = "ts") -> Column:
     return F.col(c).cast("timestamp")
 
 
+def _event_ts(df: DataFrame, c: str = "ts") -> Column:
+    """Event time as TIMESTAMP; left untouched when it already is one, so a watermark on it stays visible."""
+    return F.col(c) if dict(df.dtypes).get(c) == "timestamp" else F.col(c).cast("timestamp")
+
+
 def canary_guard(log: DataFrame, track: str = "track", latency_ms: str = "latency_ms", status: str = "status",
                  window: str = "5 minutes", canary: str = "canary", baseline: str = "production",
                  max_error_rate: float = 0.05, max_p95_s: float = 2.0, min_rate: float = 5.0,
@@ -203,7 +208,7 @@ def latency_histogram(log: DataFrame, latency_s: Column, buckets=LATENCY_BUCKETS
 def rate_over_window(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute", labels=None,
                      seconds: float = 300.0, status: str = "status", alert: float = 0.05) -> DataFrame:
     """Events per second over sliding windows per label; error ratio and its alert."""
-    g = log.groupBy(F.window(_ts(), window, slide).alias("w"), *(labels or [])).agg(
+    g = log.groupBy(F.window(_event_ts(log), window, slide).alias("w"), *(labels or [])).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(status) >= 400).alias("errors"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), *(labels or []), "n",
