@@ -48,6 +48,16 @@ INJECTION_PATTERNS = [
     (r"data://", "protocol_attack", "CRITICAL"),
     (r"http://.*\?", "protocol_attack", "LOW"),
 ]
+# For each pattern above (same order), lower-case literals of which at least one must occur in
+# any text the pattern matches. They only gate the regex (a cheap ``contains`` before ``rlike``).
+REQUIRED_LITERALS = [
+    ["select"], ["insert"], ["drop"], ["union"], ["delete"], ["update"], ["="], ["'1'"], ["--"],
+    ["<script>"], ["onerror"], ["onload"], ["javascript:"], ["alert"], ["eval"],
+    ["exec"], ["ping"], ["curl"], ["${"], ["`"], ["|"],
+    ["../"], ["..\\"], ["/etc/passwd"], ["c:\\windows"],
+    ["nan", "infinity"], ["none", "null"],
+    ["gopher://"], ["file://"], ["data://"], ["http://"],
+]
 # Characters removed by the sanitizer; suspicious user agents.
 DANGEROUS_CHARS = "<>&'\";`$|"
 SUSPICIOUS_AGENTS = ["curl", "wget", "python-requests", "scrapy", "nmap"]
@@ -114,12 +124,38 @@ def clamp_ranges(df: DataFrame, fields: list[str] | None = None, strict: bool =
                      nn(errs).alias("range_errors"), nn(warns).alias("range_warnings"))
 
 
-def injection_hits(text_cols: list[str], patterns=INJECTION_PATTERNS) -> Column:
-    """array<struct(field, type, severity)> of case-insensitive pattern hits.
+def with_injection_flags(df: DataFrame, text_cols: list[str], patterns=INJECTION_PATTERNS) -> DataFrame:
+    """C3 flags: one boolean column per (text column, pattern), then the hit array.
 
-    31 × len(text_cols) ``rlike`` flags compiled into one projection (each
-    pattern is a literal, so the regex is compiled once per task).
+    The lower-cased text is computed once in its own projection (referenced
+    by every gate, so the optimizer keeps it materialised), each pattern is a
+    literal ``rlike`` behind a cheap ``contains`` gate, and the hit array is
+    assembled from the plain boolean columns afterwards.
     """
+    gates = REQUIRED_LITERALS if patterns is INJECTION_PATTERNS else [None] * len(patterns)
+    low = {c: f"__low_{i}" for i, c in enumerate(text_cols)}
+    x = df.select("*", *[F.lower(F.col(q(c))).alias(low[c]) for c in text_cols])
+    flags, meta = [], []
+    for ci, c in enumerate(text_cols):
+        for pi, ((pat, typ, sev), lits) in enumerate(zip(patterns, gates)):
+            hit = F.col(q(c)).rlike("(?i)" + pat)
+            if lits:
+                gate = None
+                for lit in lits:
+                    g = F.col(low[c]).contains(lit)
+                    gate = g if gate is None else gate | g
+                hit = F.when(gate, hit).otherwise(F.lit(False))
+            name = f"__f_{ci}_{pi}"
+            flags.append(F.coalesce(hit, F.lit(False)).alias(name))
+            meta.append((name, c, typ, sev))
+    x = x.select(*df.columns, *flags)
+    items = [F.when(F.col(n), F.struct(F.lit(c).alias("field"), F.lit(t).alias("type"), F.lit(s).alias("severity")))
+             for n, c, t, s in meta]
+    return x.select(*df.columns, F.filter(F.array(*items), lambda v: v.isNotNull()).alias("injection_hits"))
+
+
+def injection_hits(text_cols: list[str], patterns=INJECTION_PATTERNS) -> Column:
+    """C3 as a single column expression (for callers composing their own projection)."""
     items = []
     for c in text_cols:
         for pat, typ, sev in patterns:
@@ -131,7 +167,7 @@ def injection_hits(text_cols: list[str], patterns=INJECTION_PATTERNS) -> Column:
 def detect_injection(df: DataFrame, text_cols: list[str]) -> DataFrame:
     """Hits, signatures (type:field), level (CRITICAL when any CRITICAL/HIGH hit),
     warning count (MEDIUM / LOW hits only warn)."""
-    x = df.withColumn("injection_hits", injection_hits(text_cols))
+    x = with_injection_flags(df, text_cols)
     h = F.col("injection_hits")
     hard = F.exists(h, lambda s: s["severity"].isin("CRITICAL", "HIGH"))
     return x.select("*", F.transform(h, lambda s: F.concat(s["type"], F.lit(":"), s["field"])).alias("signatures"),
