@@ -137,3 +137,19 @@ def test_kolmogorov_series():
     lam = 1.0
     s = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))
     assert s == pytest.approx(0.2699996716735, rel=1e-9)
+
+
+def test_feature_registry_and_validation(spark):
+    from sparkclin.functions import udf as K
+    reg = K.FeatureRegistry()
+    reg.register_feature("ratio", lambda df: F.col("glucose") / F.col("bmi"), dependencies=[])
+    reg.register_feature("ratio_sq", lambda df: F.col("ratio") * F.col("ratio"), dependencies=["ratio"])
+    df = spark.createDataFrame([(100.0, 25.0)], "glucose double, bmi double")
+    r = reg.compute(df, ["ratio_sq"]).first()
+    assert r.ratio == 4.0 and r.ratio_sq == 16.0
+    vals = {}
+    K.register_validation(vals, "bin", "{col} IN (0, 1)", "not binary")
+    K.register_validation(vals, "pos", pandas_fn=lambda s: s > 0, message="not positive")
+    v = spark.createDataFrame([(0.0,), (2.0,)], "x double")
+    out = K.apply_validation(K.apply_validation(v, vals["bin"], "x"), vals["pos"], "x").orderBy("x").collect()
+    assert [o.bin_ok for o in out] == [True, False] and [o.pos_ok for o in out] == [False, True]
