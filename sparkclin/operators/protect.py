@@ -92,7 +92,7 @@ def coerce_types(df: DataFrame, numeric: list[str], boolean: list[str] | None =
         v = F.when(s.isin("true", "1", "yes"), True).when(s.isin("false", "0", "no"), False)
         out[c] = v
         errs.append(F.when(s.isNotNull() & v.isNull(), F.concat(F.lit(f"Invalid boolean value for {c}: "), s)))
-    notnull = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else F.array().cast("array<string>")
+    notnull = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
     return df.select(*[out.get(c, F.col(q(c))).alias(c) for c in df.columns],
                      notnull(errs).alias("coerce_errors"), notnull(warns).alias("coerce_warnings"))
 
@@ -119,7 +119,7 @@ def clamp_ranges(df: DataFrame, fields: list[str] | None = None, strict: bool =
         else:
             val = val.otherwise(x)
         rep[f] = val
-    nn = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else F.array().cast("array<string>")
+    nn = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
     return df.select(*[rep.get(c, F.col(q(c))).alias(c) for c in df.columns],
                      nn(errs).alias("range_errors"), nn(warns).alias("range_warnings"))
 
@@ -161,7 +161,7 @@ def injection_hits(text_cols: list[str], patterns=INJECTION_PATTERNS) -> Column:
         for pat, typ, sev in patterns:
             items.append(F.when(F.coalesce(F.col(q(c)).rlike("(?i)" + pat), F.lit(False)),
                                 F.struct(F.lit(c).alias("field"), F.lit(typ).alias("type"), F.lit(sev).alias("severity"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*items))
 
 
 def detect_injection(df: DataFrame, text_cols: list[str]) -> DataFrame:
@@ -246,16 +246,27 @@ def protect_batch(df: DataFrame, numeric: list[str], text_cols: list[str] | None
 
 
 def threat_summary(protected: DataFrame, top: int = 10) -> DataFrame:
-    """Totals, blocked / sanitized / warned, block rate, top-10 signatures (count desc, name)."""
-    s = protected.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "block").alias("blocked"),
-                      F.count_if(F.col("action") == "sanitize").alias("sanitized"),
-                      F.count_if(F.col("action") == "warn").alias("warned"))
-    s = s.withColumn("block_rate", F.col("blocked") / F.col("total"))
-    sig = (protected.select(F.explode("all_signatures").alias("signature")).groupBy("signature")
-           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "signature").limit(top))
+    """Totals, blocked / sanitized / warned, block rate, top-10 signatures (count desc, name).
+
+    One scan: signatures are pos-exploded (position 0 or NULL marks the
+    row itself) and a single ``rollup(signature)`` yields both the per
+    signature counts and the grand totals; the two consumers of that
+    aggregate share its exchange.
+    """
+    x = protected.select("action", F.posexplode_outer("all_signatures").alias("__pos", "signature"))
+    first = F.col("__pos").isNull() | (F.col("__pos") == 0)
+    r = x.rollup("signature").agg(
+        F.grouping_id().alias("__g"), F.count_if(F.col("signature").isNotNull()).alias("n"),
+        F.count_if(first).alias("total"), F.count_if(first & (F.col("action") == "block")).alias("blocked"),
+        F.count_if(first & (F.col("action") == "sanitize")).alias("sanitized"),
+        F.count_if(first & (F.col("action") == "warn")).alias("warned"))
+    s = r.where(F.col("__g") == 1).select("total", "blocked", "sanitized", "warned",
+                                          (F.col("blocked") / F.col("total")).alias("block_rate"))
+    sig = (r.where((F.col("__g") == 0) & F.col("signature").isNotNull()).select("signature", "n")
+           .orderBy(F.col("n").desc(), "signature").limit(top))
     tops = sig.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("signature").alias("s"),
                                                                    F.col("n").alias("n")))),
-                               lambda x: F.struct(x["s"].alias("signature"), x["n"].alias("n"))).alias("top_signatures"))
+                               lambda v: F.struct(v["s"].alias("signature"), v["n"].alias("n"))).alias("top_signatures"))
     return s.crossJoin(tops)
 
 

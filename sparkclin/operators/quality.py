@@ -189,7 +189,15 @@ def issues_column(rules: list[Rule]) -> Column:
                              F.lit(r.severity).alias("severity"))) for r in rules]
     if not items:
         return F.array().cast("array<struct<field:string,message:string,value:double,severity:string>>")
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    return F.array_compact(F.array(*items))
+
+
+def violates_any(rules: list[Rule]) -> Column:
+    """TRUE when any rule is violated: a plain boolean predicate for filtering (no array built)."""
+    expr = F.lit(False)
+    for r in rules:
+        expr = expr | F.expr(f"coalesce({r.when}, false)")
+    return expr
 
 
 def apply_rules(df: DataFrame, rules: list[Rule], out_col: str = "issues") -> DataFrame:

@@ -17,6 +17,7 @@ from sparkclin.operators import metrics as M
 from sparkclin.operators import model as E
 from sparkclin.operators import prep as P
 from sparkclin.operators import quality as B
+from sparkclin.functions.exprs import safe_div
 from sparkclin.sources.views import scored
 
 # Coefficient table of the linear risk model used by the slice.
@@ -28,8 +29,7 @@ AGE_BAND_EDGES = ([0, 30, 45, 60, 120], ["young", "middle", "senior", "elderly"]
 def score_patients(df: DataFrame) -> DataFrame:
     """Validated, imputed, featurised and scored rows (the shared scoring plan)."""
     rules = B.range_rules(B.CLINICAL_RANGES, "error", df.columns)
-    checked = B.apply_rules(df, rules)
-    valid = checked.where(F.size("issues") == 0).drop("issues")
+    valid = df.where(~B.violates_any(rules))
     imp = P.impute_simple(valid, ["glucose", "blood_pressure"], "median")
     feats = D.clinical_features(imp)
     return E.score_linear(feats, FLAGSHIP_COEF, FLAGSHIP_INTERCEPT)
@@ -39,8 +39,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score_patients(scored(spark, sf_dir).drop("y_pred"))
     s = s.withColumn("age_band", D.bin_column(F.col("age"), *AGE_BAND_EDGES)) \
          .withColumn("y_hat", (F.col("probability") > 0.5).cast("int"))
-    m = M.threshold_metrics(s, "y_true", "y_hat", ["age_band"]).select("age_band", "tn", "fp", "fn", "tp", "recall",
-                                                                       "precision")
-    risk = s.groupBy("age_band").agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("mean_risk"),
-                                     F.count_if(F.col("risk_level") == "High Risk").alias("n_high_risk"))
-    return m.join(risk, "age_band")
+    # One aggregate per band: confusion cells (F1) plus the risk roll-up, then F2 ratios.
+    g = s.groupBy("age_band").agg(*M.confusion_cells("y_true", "y_hat"), F.count(F.lit(1)).alias("n"),
+                                  F.avg("risk_score").alias("mean_risk"),
+                                  F.count_if(F.col("risk_level") == "High Risk").alias("n_high_risk"))
+    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    return g.select("age_band", "tn", "fp", "fn", "tp", safe_div(tp, tp + fn).alias("recall"),
+                    safe_div(tp, tp + fp).alias("precision"), "n", "mean_risk", "n_high_risk")
