@@ -219,3 +219,75 @@ def review_tickets(df: DataFrame, id_col: str, prob: str = "probability") -> Dat
             .select(F.concat(F.lit("REV_"), F.col(id_col).cast("string")).alias("ticket_id"), id_col,
                     cl["action"].alias("action"), cl["priority"].alias("priority"), cl["message"].alias("message"),
                     F.lit("pending").alias("status")))
+
+
+# ------------------------------------------------------------------ G20 patient report
+# Fixed values that must equal the reference: guideline recommendations, follow-up and priority per
+# (disease, risk key); monitoring plans and educational materials per risk level.
+REPORT_GUIDELINES = {
+    ("diabetes", "high_risk"): (["Immediate clinical evaluation recommended", "Perform fasting glucose test and HbA1c",
+                                 "Consult with endocrinologist", "Start diabetes education program",
+                                 "Lifestyle modification: diet and exercise"], "Follow up within 1 week", "Urgent"),
+    ("diabetes", "moderate_risk"): (["Schedule comprehensive metabolic panel", "Review family history",
+                                     "Implement dietary changes", "Increase physical activity", "Monitor glucose levels"],
+                                    "Follow up within 4 weeks", "High"),
+    ("diabetes", "low_risk"): (["Maintain healthy lifestyle", "Regular exercise (30 mins/day)",
+                                "Balanced diet with low glycemic index", "Annual screening", "Monitor for symptoms"],
+                               "Follow up in 6 months", "Routine"),
+    ("heart_disease", "high_risk"): (["Immediate cardiac evaluation", "Stress test and ECG recommended",
+                                      "Consult with cardiologist", "Start cardiac medications if indicated",
+                                      "Lifestyle: diet, exercise, smoking cessation"], "Follow up within 1 week", "Urgent"),
+    ("heart_disease", "moderate_risk"): (["Comprehensive lipid panel", "Review cardiovascular risk factors",
+                                          "Dietary consultation", "Exercise stress test", "Monitor blood pressure"],
+                                         "Follow up within 4 weeks", "High"),
+    ("heart_disease", "low_risk"): (["Maintain cardiovascular health", "Regular exercise (30 mins/day)",
+                                     "Heart-healthy diet", "Annual cardiovascular screening", "Monitor for symptoms"],
+                                    "Follow up in 6 months", "Routine"),
+}
+MONITORING_BASE = ["Track vital signs monthly", "Monitor for symptoms", "Maintain medication compliance"]
+MONITORING_PLANS = {
+    "High Risk": ["Daily blood glucose monitoring", "Weekly blood pressure checks", "Monthly lab work",
+                  "Quarterly specialist review"],
+    "Moderate Risk": ["Blood glucose monitoring 3x per week", "Bi-weekly blood pressure checks", "Every 3 months lab work",
+                      "Semi-annual specialist review"],
+    "Low Risk": ["Blood glucose monitoring weekly", "Monthly blood pressure checks", "Every 6 months lab work",
+                 "Annual specialist review"],
+}
+EDUCATION = {
+    "High Risk": ["Diabetes: A Comprehensive Guide", "Nutrition for Managing Diabetes", "Exercise Guidelines for Diabetes",
+                  "Medication Management Guide", "Emergency Preparedness"],
+    "Moderate Risk": ["Understanding Diabetes Risk", "Healthy Eating Guidelines", "Physical Activity Recommendations",
+                      "Stress Management"],
+    "Low Risk": ["Diabetes Prevention Program", "Nutrition and Wellness Guide", "Exercise for Health", "Healthy Living Tips"],
+}
+
+
+def _arr(xs):
+    return F.array(*[F.lit(x) for x in xs])
+
+
+def patient_report(df: DataFrame, disease: str = "diabetes", score: str = "risk_score", level: str = "risk_level",
+                   factors: str | None = None) -> DataFrame:
+    """Interpretation, guideline recommendations / follow-up / priority (moderate when the
+    level is unknown), monitoring plan, educational materials and the top-5 factors."""
+    spark = df.sparkSession
+    g = spark.createDataFrame([(d, k, recs, fu, pr) for (d, k), (recs, fu, pr) in REPORT_GUIDELINES.items() if d == disease],
+                              "disease string, risk_key string, recommendations array<string>, follow_up string, priority string")
+    key = F.regexp_replace(F.lower(F.col(level)), " ", "_")
+    known = F.coalesce(key.isin(*[k for (d, k) in REPORT_GUIDELINES if d == disease]), F.lit(False))
+    x = df.withColumn("__rk", F.when(known, key).otherwise(F.lit("moderate_risk")))
+    j = x.join(F.broadcast(g.drop("disease")), x["__rk"] == g["risk_key"], "left").drop("risk_key", "__rk")
+    s = F.col(score)
+    interp = (F.when(s < 30, "Low risk. Continue preventive care and routine monitoring.")
+              .when(s < 60, "Moderate risk. Consider additional screening and lifestyle modifications.")
+              .otherwise("High risk. Immediate clinical intervention recommended."))
+    lvl = F.col(level)
+    plan = (F.when(lvl == "High Risk", _arr(MONITORING_PLANS["High Risk"] + MONITORING_BASE))
+            .when(lvl == "Moderate Risk", _arr(MONITORING_PLANS["Moderate Risk"] + MONITORING_BASE))
+            .otherwise(_arr(MONITORING_PLANS["Low Risk"] + MONITORING_BASE)))
+    mats = (F.when(lvl == "High Risk", _arr(EDUCATION["High Risk"]))
+            .when(lvl == "Moderate Risk", _arr(EDUCATION["Moderate Risk"])).otherwise(_arr(EDUCATION["Low Risk"])))
+    out = j.select("*", interp.alias("interpretation"), plan.alias("monitoring_plan"), mats.alias("educational_materials"))
+    if factors:
+        out = out.withColumn(factors, F.slice(F.col(factors), 1, 5))
+    return out

@@ -464,3 +464,33 @@ def q_canary_compare(spark, sf):
     s = scored(spark, sf).select("track", F.col("y_prob").alias("probability"),
                                  classify_risk(F.col("y_prob") * 100).alias("risk_level"))
     return O.canary_compare(s)
+
+
+def _erf_sql(x):
+    from sparkclin.operators.drift import _ERF_A, _ERF_P
+    t = f"(1.0 / (1.0 + {_ERF_P} * abs({x})))"
+    poly = f"{t} * ({_ERF_A[0]} + {t} * ({_ERF_A[1]} + {t} * ({_ERF_A[2]} + {t} * ({_ERF_A[3]} + {t} * {_ERF_A[4]}))))"
+    y = f"(1.0 - {poly} * exp(-abs({x}) * abs({x})))"
+    return f"CASE WHEN {x} < 0 THEN -{y} ELSE {y} END"
+
+
+_FD_COLS = ["glucose", "bmi", "insulin", "age"]
+_FD_LONG = "\nUNION ALL\n".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM patients_v WHERE {c} IS NOT NULL"
+                                for c in _FD_COLS)
+
+
+@register("fit_distribution", dbl=["d_normal", "d_exponential", "d_uniform"], sql=f"""
+WITH l AS ({_FD_LONG}),
+p AS (SELECT feature, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi FROM l GROUP BY feature),
+c AS (SELECT feature, value, count(*) AS c FROM l GROUP BY feature, value),
+k AS (SELECT c.*, sum(c) OVER (PARTITION BY c.feature ORDER BY value) AS cum, p.n, p.m, p.s, p.lo, p.hi FROM c JOIN p USING (feature)),
+f AS (SELECT *, 0.5 * (1 + ({_erf_sql('((value - m) / (s * sqrt(2.0)))')})) AS fn,
+             CASE WHEN value < lo THEN 0.0 ELSE 1 - exp(-(value - lo) / (m - lo)) END AS fe,
+             least(1.0, greatest(0.0, (value - lo) / (hi - lo))) AS fu FROM k),
+d AS (SELECT feature, max(greatest(fn - (cum - c) / n, cum / n - fn)) AS d_normal,
+             max(greatest(fe - (cum - c) / n, cum / n - fe)) AS d_exponential,
+             max(greatest(fu - (cum - c) / n, cum / n - fu)) AS d_uniform FROM f GROUP BY feature)
+SELECT *, list_sort([{{'d': d_normal, 'i': 0, 'k': 'normal'}}, {{'d': d_exponential, 'i': 1, 'k': 'exponential'}},
+                     {{'d': d_uniform, 'i': 2, 'k': 'uniform'}}])[1].k AS best_fit FROM d""")
+def q_fit_distribution(spark, sf):
+    return H.fit_distribution(patients(spark, sf), _FD_COLS)

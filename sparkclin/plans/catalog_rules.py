@@ -269,3 +269,24 @@ FROM scored_v WHERE y_prob < 0.8""")
 def q_review_tickets(spark, sf):
     s = scored(spark, sf).select("k", F.col("y_prob").alias("probability"))
     return G.review_tickets(s, "k").select("ticket_id", "k", "action", "priority")
+
+
+@register("patient_report", dbl=["risk_score"], sql="""
+SELECT patient_id, y_prob * 100 AS risk_score, lvl AS risk_level,
+       CASE WHEN y_prob * 100 < 30 THEN 'Low risk. Continue preventive care and routine monitoring.'
+            WHEN y_prob * 100 < 60 THEN 'Moderate risk. Consider additional screening and lifestyle modifications.'
+            ELSE 'High risk. Immediate clinical intervention recommended.' END AS interpretation,
+       CASE WHEN lvl = 'High Risk' THEN 'Follow up within 1 week' WHEN lvl = 'Low Risk' THEN 'Follow up in 6 months'
+            ELSE 'Follow up within 4 weeks' END AS follow_up,
+       CASE WHEN lvl = 'High Risk' THEN 'Urgent' WHEN lvl = 'Low Risk' THEN 'Routine' ELSE 'High' END AS priority,
+       CAST(CASE WHEN lvl = 'High Risk' THEN 5 WHEN lvl = 'Moderate Risk' THEN 4 ELSE 4 END AS INTEGER) AS n_materials,
+       CAST(7 AS INTEGER) AS n_monitoring
+FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 'Unknown' WHEN y_prob * 100 < 30 THEN 'Low Risk' WHEN y_prob * 100 < 60 THEN 'Moderate Risk'
+                     ELSE 'High Risk' END AS lvl FROM scored_v) t""")
+def q_patient_report(spark, sf):
+    s = scored(spark, sf).select("patient_id", (F.col("y_prob") * 100).alias("risk_score"), F.expr(
+        "CASE WHEN k % 11 = 0 THEN 'Unknown' WHEN y_prob * 100 < 30 THEN 'Low Risk' WHEN y_prob * 100 < 60 THEN 'Moderate Risk' "
+        "ELSE 'High Risk' END").alias("risk_level"))
+    r = G.patient_report(s)
+    return r.select("patient_id", "risk_score", "risk_level", "interpretation", "follow_up", "priority",
+                    F.size("educational_materials").alias("n_materials"), F.size("monitoring_plan").alias("n_monitoring"))
