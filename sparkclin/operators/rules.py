@@ -291,3 +291,73 @@ def patient_report(df: DataFrame, disease: str = "diabetes", score: str = "risk_
     if factors:
         out = out.withColumn(factors, F.slice(F.col(factors), 1, 5))
     return out
+
+
+# ------------------------------------------------------------------ G18 / G19 rule documents
+# Fixed values that must equal the reference's guideline document (condition → guidance).
+GUIDELINES = [
+    ("diabetes", {"fasting_glucose": "≥ 126 mg/dL", "hba1c": "≥ 6.5%", "oral_glucose_tolerance": "≥ 200 mg/dL"},
+     "Lifestyle modifications and Metformin", ["SGLT2 inhibitors", "GLP-1 agonists", "DPP-4 inhibitors"],
+     {"hba1c": "Every 3-6 months", "blood_pressure": "Every visit", "lipid_profile": "Annually"},
+     ["Diet: Low glycemic index, portion control", "Exercise: 150 min/week moderate activity",
+      "Weight: 5-10% reduction if overweight"],
+     ["HbA1c > 9%", "Frequent hypoglycemia", "Complications present"]),
+    ("heart_disease", {"ecg": "ST-T wave changes", "stress_test": "Positive for ischemia", "cardiac_enzymes": "Elevated"},
+     "Aspirin and Statins", ["Beta-blockers", "ACE inhibitors", "Calcium channel blockers"],
+     {"ecg": "As needed", "lipid_profile": "Every 3-6 months", "blood_pressure": "Every visit"},
+     ["Diet: Heart-healthy, low sodium", "Exercise: Cardiac rehabilitation", "Smoking cessation"],
+     ["Unstable angina", "Heart failure symptoms", "Complex arrhythmias"]),
+    ("hypertension", {"systolic": "≥ 140 mmHg", "diastolic": "≥ 90 mmHg"},
+     "ACE inhibitors and lifestyle changes", ["ARBs", "Calcium channel blockers", "Diuretics"],
+     {"blood_pressure": "Home monitoring daily", "renal_function": "Annually", "electrolytes": "As needed"},
+     ["Diet: DASH diet", "Exercise: 150 min/week", "Reduce sodium to < 1500mg/day"],
+     ["Resistant hypertension", "Secondary causes", "End-organ damage"]),
+]
+# Drug interaction document (drug, interacting drug, severity, mechanism, management).
+INTERACTIONS = [
+    ("metformin", "insulin", "Moderate", "Additive hypoglycemic effect", "Monitor glucose, adjust insulin dose"),
+    ("metformin", "captopril", "Minor", "Potential interaction", "No special precautions needed"),
+    ("metformin", "furosemide", "Moderate", "Potential interaction", "Monitor for signs of lactic acidosis"),
+    ("aspirin", "warfarin", "Major", "Increased bleeding risk", "Monitor INR, consider avoiding combination"),
+    ("aspirin", "ibuprofen", "Moderate", "Decreased antiplatelet effect", "Avoid combination if possible"),
+    ("lisinopril", "potassium_supplements", "Moderate", "Increased potassium levels", "Monitor potassium levels"),
+    ("lisinopril", "spironolactone", "Moderate", "Additive hyperkalemia risk", "Monitor potassium levels closely"),
+]
+
+
+def guideline_table(spark) -> DataFrame:
+    """The guideline document as a small table (normally ``load_rule_tables`` on the JSON)."""
+    return spark.createDataFrame(GUIDELINES, "condition string, diagnostic_criteria map<string,string>, "
+                                             "primary_treatment string, alternative_treatments array<string>, "
+                                             "monitoring map<string,string>, lifestyle array<string>, "
+                                             "referral_criteria array<string>")
+
+
+def guideline_lookup(df: DataFrame, condition_col: str, guidelines: DataFrame) -> DataFrame:
+    """Case-insensitive condition → criteria, treatment, monitoring, lifestyle, referral
+    (unknown conditions keep NULL guidance). The guideline side is a fixed small document."""
+    g = guidelines.withColumnRenamed("condition", "__cond")
+    return df.join(F.broadcast(g), F.lower(F.col(condition_col)) == F.col("__cond"), "left").drop("__cond")
+
+
+def interaction_table(spark) -> DataFrame:
+    """Both orders of every documented pair, so a lookup by either drug finds it."""
+    t = spark.createDataFrame(INTERACTIONS, "drug string, other string, severity string, mechanism string, management string")
+    return t.unionByName(t.select(F.col("other").alias("drug"), F.col("drug").alias("other"), "severity", "mechanism",
+                                  "management"))
+
+
+def interaction_pairs(meds: DataFrame, pairs: DataFrame, patient: str = "patient_id", drug: str = "drug") -> DataFrame:
+    """Documented interactions among each patient's medications.
+
+    Each medication row is joined to the (broadcast) interaction table on its
+    drug, then back to the medication list on (patient, other drug): two
+    equi-joins whose output is only the interacting pairs, never every pair
+    of a patient's list. Pairs are reported once (drug_a < drug_b).
+    """
+    m = meds.select(F.col(patient), F.lower(F.col(drug)).alias("drug")).distinct()
+    a = m.join(F.broadcast(pairs), "drug")
+    b = m.select(F.col(patient), F.col("drug").alias("other"))
+    j = a.join(b, [patient, "other"]).where(F.col("drug") < F.col("other"))
+    return j.select(patient, F.col("drug").alias("drug_a"), F.col("other").alias("drug_b"), "severity", "mechanism",
+                    "management")

@@ -290,3 +290,52 @@ def q_patient_report(spark, sf):
     r = G.patient_report(s)
     return r.select("patient_id", "risk_score", "risk_level", "interpretation", "follow_up", "priority",
                     F.size("educational_materials").alias("n_materials"), F.size("monitoring_plan").alias("n_monitoring"))
+
+
+_COND = ("CASE WHEN glucose >= 126 THEN 'Diabetes' WHEN blood_pressure >= 90 THEN 'HYPERTENSION' "
+         "WHEN age > 60 THEN 'heart_disease' ELSE 'none' END")
+
+
+def _guide_values():
+    rows = []
+    for cond, crit, prim, alts, mon, life, ref in G.GUIDELINES:
+        rows.append(f"('{cond}', '{prim}', {alts!r}, {life!r}, {ref!r}, {len(crit)}, {len(mon)})".replace('"', "'"))
+    return ", ".join(rows)
+
+
+@register("guideline_lookup", sql=f"""
+WITH g AS (SELECT * FROM (VALUES {_guide_values()}) v(condition, primary_treatment, alternative_treatments, lifestyle,
+                                                    referral_criteria, n_criteria, n_monitoring))
+SELECT p.patient_id, p.condition, g.primary_treatment, g.alternative_treatments, g.lifestyle, g.referral_criteria,
+       CAST(g.n_criteria AS INTEGER) AS n_criteria, CAST(g.n_monitoring AS INTEGER) AS n_monitoring
+FROM (SELECT patient_id, {_COND} AS condition FROM patients_v) p LEFT JOIN g ON lower(p.condition) = g.condition""")
+def q_guideline_lookup(spark, sf):
+    p = patients(spark, sf).select("patient_id", F.expr(_COND).alias("condition"))
+    r = G.guideline_lookup(p, "condition", G.guideline_table(spark))
+    return r.select("patient_id", "condition", "primary_treatment", "alternative_treatments", "lifestyle",
+                    "referral_criteria", F.size("diagnostic_criteria").alias("n_criteria"),
+                    F.size("monitoring").alias("n_monitoring")).withColumn(
+        "n_criteria", F.when(F.col("primary_treatment").isNull(), None).otherwise(F.col("n_criteria"))).withColumn(
+        "n_monitoring", F.when(F.col("primary_treatment").isNull(), None).otherwise(F.col("n_monitoring")))
+
+
+_MEDS = [("metformin", "glucose > 126"), ("insulin", "glucose > 170"), ("aspirin", "age > 60"),
+         ("warfarin", "k % 13 = 0"), ("ibuprofen", "bmi > 35"), ("lisinopril", "blood_pressure > 90"),
+         ("spironolactone", "blood_pressure > 110"), ("potassium_supplements", "k % 7 = 0"),
+         ("captopril", "k % 17 = 0"), ("furosemide", "blood_pressure > 120")]
+_MEDS_SQL = "\nUNION ALL\n".join(f"SELECT patient_id, '{d}' AS drug FROM patients_v WHERE {c}" for d, c in _MEDS)
+_PAIRS_SQL = ", ".join(f"('{a}', '{b}', '{s}', '{m}', '{g}')" for a, b, s, m, g in G.INTERACTIONS)
+
+
+@register("interaction_pairs", sql=f"""
+WITH m AS ({_MEDS_SQL}),
+t AS (SELECT * FROM (VALUES {_PAIRS_SQL}) v(a, b, severity, mechanism, management)),
+p AS (SELECT a AS drug, b AS other, severity, mechanism, management FROM t UNION ALL SELECT b, a, severity, mechanism, management FROM t)
+SELECT m1.patient_id, p.drug AS drug_a, p.other AS drug_b, p.severity, p.mechanism, p.management
+FROM m m1 JOIN p ON m1.drug = p.drug JOIN m m2 ON m2.patient_id = m1.patient_id AND m2.drug = p.other
+WHERE p.drug < p.other""")
+def q_interaction_pairs(spark, sf):
+    p = patients(spark, sf)
+    meds = p.select("patient_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(d)) for d, c in _MEDS])))
+                    .alias("drug"))
+    return G.interaction_pairs(meds, G.interaction_table(spark))
