@@ -210,3 +210,60 @@ def preprocessing_report(before: DataFrame, after: DataFrame, target: str = "tar
     newf = spark.createDataFrame([("after", "new_feature", c, 1.0) for c in new],
                                  "stage string, metric string, item string, value double")
     return side(before, "before").unionByName(side(after, "after")).unionByName(newf)
+
+
+class PreprocessPipeline:
+    """Features → impute → scale → select → (PCA), fitted on training rows and replayed.
+
+    Fitted state is small and per feature (fill values, means / std, the
+    selected names, an optional PCA model), taken from one-row aggregates;
+    ``transform`` is a pure projection, so scoring new data never refits.
+    Balancing (D20–D22) is not part of this round.
+    """
+
+    def __init__(self, cols: list[str], target: str, impute: str = "median", k_best: int | None = 10,
+                 pca_k: int | None = None, add_features: bool = True):
+        self.cols, self.target, self.impute, self.k_best = list(cols), target, impute, k_best
+        self.pca_k, self.add_features = pca_k, add_features
+
+    def _features(self, df: DataFrame) -> DataFrame:
+        from sparkclin.operators.features import clinical_features
+        return clinical_features(df) if self.add_features else df
+
+    def fit(self, df: DataFrame) -> "PreprocessPipeline":
+        x = self._features(df)
+        from sparkclin.functions.exprs import numeric_columns
+        self.feature_cols = [c for c in numeric_columns(x) if c != self.target and (c in self.cols or c not in df.columns)]
+        self.fill = impute_fit(x, self.feature_cols, self.impute).first().asDict()
+        filled = x.fillna({k: v for k, v in self.fill.items() if v is not None})
+        st = filled.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(self.feature_cols)],
+                        *[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(self.feature_cols)]).first()
+        self.means = {c: st[f"m{i}"] for i, c in enumerate(self.feature_cols)}
+        self.stds = {c: (st[f"s{i}"] or 1.0) or 1.0 for i, c in enumerate(self.feature_cols)}
+        scaled = self._scale(filled)
+        if self.k_best:
+            sel = select_k_best_f(scaled, self.feature_cols, self.target, self.k_best)
+            self.selected = [r.feature for r in sel.where("selected").orderBy("rank").collect()]
+        else:
+            self.selected = list(self.feature_cols)
+        self.pca = None
+        if self.pca_k:
+            from pyspark.ml.feature import PCA, VectorAssembler
+            va = VectorAssembler(inputCols=self.selected, outputCol="__x")
+            self.pca = PCA(k=min(self.pca_k, len(self.selected)), inputCol="__x", outputCol="__p").fit(va.transform(scaled))
+        return self
+
+    def _scale(self, df: DataFrame) -> DataFrame:
+        rep = {c: (F.col(q(c)) - F.lit(self.means[c])) / F.lit(self.stds[c]) for c in self.feature_cols}
+        return df.select(*[rep.get(c, F.col(q(c))).alias(c) for c in df.columns])
+
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        x = self._scale(self._features(df).fillna({k: v for k, v in self.fill.items() if v is not None}))
+        keep = list(keep or [])
+        if self.pca is None:
+            return x.select(*keep, *self.selected)
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+        p = self.pca.transform(VectorAssembler(inputCols=self.selected, outputCol="__x").transform(x))
+        p = p.withColumn("__a", vector_to_array("__p"))
+        return p.select(*keep, *[F.col("__a")[i].alias(f"pca_{i + 1}") for i in range(self.pca.getK())])

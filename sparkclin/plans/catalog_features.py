@@ -412,3 +412,11 @@ FROM events GROUP BY event_type ORDER BY requests DESC, feature LIMIT 10""")
 def q_feature_usage_topk(spark, sf):
     e = table(spark, sf, "events").select(F.col("event_type").alias("feature"), (F.col("value") > 50).alias("hit"))
     return S.feature_usage_topk(e)
+
+
+@register("fit_transform_pipeline")
+def q_fit_transform_pipeline(spark, sf):
+    s = scored(spark, sf).select("patient_id", *PC, F.col("y_true").alias("target"))
+    s = P.split_train_test(s, "patient_id")
+    pipe = P.PreprocessPipeline(PC, "target", k_best=8, pca_k=3).fit(s.where("split = 'train'"))
+    return pipe.transform(s.where("split = 'test'"), keep=["patient_id"])
