@@ -66,10 +66,24 @@ def reference_stats_categorical(df: DataFrame, col: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ H4 / H5 running CDFs
-def _cdf_pairs(long: DataFrame, with_next: bool = False) -> DataFrame:
-    """Per (feature, distinct value): F_ref(v), F_cur(v) (inclusive) and optionally the next value."""
-    cnt = long.groupBy("feature", "value").agg(
+def value_counts(long: DataFrame) -> DataFrame:
+    """(feature, value, r, c): reference and current counts per distinct value.
+
+    Every two-sample statistic below is computed from this table, so the
+    input is read by one partial aggregate; the statistics of one job share
+    its exchange, and later work scales with distinct values, not rows.
+    """
+    return long.groupBy("feature", "value").agg(
         F.count_if(F.col("sample") == REF).alias("r"), F.count_if(F.col("sample") == CUR).alias("c"))
+
+
+def _cdf_pairs(long: DataFrame, with_next: bool = True) -> DataFrame:
+    """Per (feature, distinct value): F_ref(v), F_cur(v) (inclusive) and the next value.
+
+    KS and Wasserstein both use this exact plan, so when they run in one job
+    (H12) the optimizer reuses its exchanges instead of re-reading the input.
+    """
+    cnt = value_counts(long)
     cum = cumulative_sums(cnt, "value", ["r", "c"], ["feature"], with_next=with_next)
     tot = cnt.groupBy("feature").agg(F.sum("r").alias("__nr"), F.sum("c").alias("__nc"),
                                      F.min(F.when(F.col("r") > 0, F.col("value"))).alias("__rmin"),
@@ -114,31 +128,32 @@ def ks_two_sample(long: DataFrame, with_pvalue: bool = True) -> DataFrame:
 
 
 # ------------------------------------------------------------------ histogram methods
-def _ref_edges(long: DataFrame, probs: list[float]) -> DataFrame:
+def _ref_edges(vc: DataFrame, probs: list[float]) -> DataFrame:
+    """Exact reference percentiles from the count table (``percentile`` with frequencies)."""
     arr = ", ".join(str(p) for p in probs)
-    return long.where(F.col("sample") == REF).groupBy("feature").agg(
-        F.expr(f"percentile(value, array({arr}))").alias("__e"))
+    return vc.where(F.col("r") > 0).groupBy("feature").agg(F.expr(f"percentile(value, array({arr}), r)").alias("__e"))
 
 
 def _hist_pair(binned: DataFrame, n_bins: int) -> DataFrame:
-    """Counts per (feature, bin) for both samples, every bin present (right join to range)."""
+    """Counts per (feature, bin) for both samples (binned rows carry r, c), every bin present."""
     spark = binned.sparkSession
-    h = binned.groupBy("feature", "bin").agg(F.count_if(F.col("sample") == REF).alias("r"),
-                                             F.count_if(F.col("sample") == CUR).alias("c"))
+    h = binned.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     bins = spark.range(n_bins).select(F.col("id").cast("int").alias("bin"))
     keys = binned.select("feature").distinct().crossJoin(F.broadcast(bins))
     return keys.join(h, ["feature", "bin"], "left").fillna(0, ["r", "c"])
 
 
+def _totals(vc: DataFrame) -> DataFrame:
+    return vc.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+
+
 def psi_decile(long: DataFrame) -> DataFrame:
     """H6: 10 reference deciles, outer edges ±∞, empty cells skipped, result ÷ 5."""
-    e = _ref_edges(long, [i / 10 for i in range(1, 10)])
-    b = long.join(F.broadcast(e), "feature").select(
-        "feature", "sample", F.size(F.filter("__e", lambda x: F.col("value") >= x)).alias("bin"))
-    h = _hist_pair(b, 10)
-    n = long.groupBy("feature").agg(F.count_if(F.col("sample") == REF).alias("nr"),
-                                    F.count_if(F.col("sample") == CUR).alias("nc"))
-    j = h.join(F.broadcast(n), "feature")
+    vc = value_counts(long)
+    e = _ref_edges(vc, [i / 10 for i in range(1, 10)])
+    b = vc.join(F.broadcast(e), "feature").select(
+        "feature", "r", "c", F.size(F.filter("__e", lambda x: F.col("value") >= x)).alias("bin"))
+    j = _hist_pair(b, 10).join(F.broadcast(_totals(vc)), "feature")
     rp, cp = F.col("r") / F.col("nr"), F.col("c") / F.col("nc")
     term = F.when((F.col("r") > 0) & (F.col("c") > 0), (cp - rp) * F.log(cp / rp)).otherwise(0.0)
     return j.groupBy("feature").agg((F.sum(term) / 5).alias("psi"))
@@ -147,15 +162,13 @@ def psi_decile(long: DataFrame) -> DataFrame:
 def psi_smoothed(long: DataFrame) -> DataFrame:
     """H7: reference deciles closed to [min, max]; out-of-range current values fall out;
     counts + 1e−6 over the full sample sizes; no scaling."""
-    e = _ref_edges(long, [i / 10 for i in range(0, 11)])
+    vc = value_counts(long)
+    e = _ref_edges(vc, [i / 10 for i in range(0, 11)])
     inner = lambda a: F.slice(a, 2, 9)
-    b = (long.join(F.broadcast(e), "feature")
+    b = (vc.join(F.broadcast(e), "feature")
          .where((F.col("value") >= F.col("__e")[0]) & (F.col("value") <= F.col("__e")[10]))
-         .select("feature", "sample", F.size(F.filter(inner(F.col("__e")), lambda x: F.col("value") >= x)).alias("bin")))
-    h = _hist_pair(b, 10)
-    n = long.groupBy("feature").agg(F.count_if(F.col("sample") == REF).alias("nr"),
-                                    F.count_if(F.col("sample") == CUR).alias("nc"))
-    j = h.join(F.broadcast(n), "feature")
+         .select("feature", "r", "c", F.size(F.filter(inner(F.col("__e")), lambda x: F.col("value") >= x)).alias("bin")))
+    j = _hist_pair(b, 10).join(F.broadcast(_totals(vc)), "feature")
     ep, ap = (F.col("r") + 1e-6) / F.col("nr"), (F.col("c") + 1e-6) / F.col("nc")
     return j.groupBy("feature").agg(F.sum((ap - ep) * F.log(ap / ep)).alias("psi"))
 
@@ -163,14 +176,14 @@ def psi_smoothed(long: DataFrame) -> DataFrame:
 def _uniform_hist(long: DataFrame, n_bins: int = 50) -> DataFrame:
     """Counts of both samples in ``n_bins`` equal bins spanning the reference range
     (edges i·step + min as numpy's linspace; values outside fall out)."""
-    rng = long.where(F.col("sample") == REF).groupBy("feature").agg(F.min("value").alias("__lo"),
-                                                                    F.max("value").alias("__hi"))
+    vc = value_counts(long)
+    rng = vc.where(F.col("r") > 0).groupBy("feature").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
     step = (F.col("__hi") - F.col("__lo")) / n_bins
     edges = F.array(*[F.lit(float(i)) * step + F.col("__lo") for i in range(1, n_bins)])
     e = rng.select("feature", "__lo", "__hi", edges.alias("__e"))
-    b = (long.join(F.broadcast(e), "feature")
+    b = (vc.join(F.broadcast(e), "feature")
          .where((F.col("value") >= F.col("__lo")) & (F.col("value") <= F.col("__hi")))
-         .select("feature", "sample", F.size(F.filter("__e", lambda x: F.col("value") >= x)).alias("bin")))
+         .select("feature", "r", "c", F.size(F.filter("__e", lambda x: F.col("value") >= x)).alias("bin")))
     h = _hist_pair(b, n_bins)
     tot = h.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     return h.join(F.broadcast(tot), "feature")
