@@ -348,24 +348,50 @@ def golden_summary(results: DataFrame, key: str = "case_id") -> DataFrame:
                         F.avg("ok").alias("pass_rate"))
 
 
-def quality_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """One long-form report (section, column, metric, value) over B1, B2, B4, B6, B7."""
+def quality_report(df: DataFrame, cols: list[str] | None = None, k: float = 1.5, approx: bool = False) -> DataFrame:
+    """One long-form report (section, col_name, metric, value) over B1, B2, B4, B6, B7.
+
+    Three passes over the input whatever the number of columns: one aggregate
+    holds the row count, every column's missing count, the describe statistics
+    (with quartiles) and all pairwise correlations; a second counts IQR
+    outliers against those quartiles (a one-row broadcast); the third is the
+    duplicate group-by. The one-row profile feeds every section, so its
+    exchange is shared.
+    """
     cols = cols or numeric_columns(df)
-    n = df.agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("shape").alias("section"), F.lit(None).cast("string").alias("col_name"),
-        F.lit("rows").alias("metric"), "value")
-    ncol = df.sparkSession.range(1).select(F.lit("shape").alias("section"), F.lit(None).cast("string").alias("col_name"),
-                                           F.lit("columns").alias("metric"), F.lit(float(len(df.columns))).alias("value"))
-    mp = missing_profile(df).select(F.lit("missing").alias("section"), "col_name",
-                                    F.lit("missing_count").alias("metric"), F.col("missing_count").cast("double").alias("value"))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    aggs += [F.count_if(F.col(q(c)).isNull()).alias(f"__miss_{i}") for i, c in enumerate(df.columns)]
+    for i, c in enumerate(cols):
+        x = F.col(q(c))
+        aggs += [F.avg(x).alias(f"__m_{i}"), F.stddev_samp(x).alias(f"__s_{i}"), F.min(x).cast("double").alias(f"__lo_{i}"),
+                 F.max(x).cast("double").alias(f"__hi_{i}"), _quantile_stats(c, [0.25, 0.5, 0.75], approx).alias(f"__p_{i}")]
+    aggs += [F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"__r_{n}") for n, (a, b) in enumerate(pairs)]
+    prof = df.agg(*aggs)
+
+    def row(section, col, metric, value):
+        return F.struct(F.lit(section).alias("section"), F.lit(col).cast("string").alias("col_name"),
+                        F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    items = [row("shape", None, "rows", F.col("__rows")), row("shape", None, "columns", F.lit(float(len(df.columns))))]
+    items += [F.when(F.col(f"__miss_{i}") > 0, row("missing", c, "missing_count", F.col(f"__miss_{i}")))
+              for i, c in enumerate(df.columns)]
+    for i, c in enumerate(cols):
+        for metric, e in [("mean", F.col(f"__m_{i}")), ("std", F.col(f"__s_{i}")), ("min", F.col(f"__lo_{i}")),
+                          ("p25", F.col(f"__p_{i}")[0]), ("p50", F.col(f"__p_{i}")[1]), ("p75", F.col(f"__p_{i}")[2]),
+                          ("max", F.col(f"__hi_{i}"))]:
+            items.append(row("describe", c, metric, e))
+    items += [F.when(F.abs(F.col(f"__r_{n}")) > 0.8, row("correlation", f"{a}~{b}", "r", F.col(f"__r_{n}")))
+              for n, (a, b) in enumerate(pairs)]
+    base = prof.select(F.explode(F.array_compact(F.array(*items))).alias("s")).select("s.*")
+
+    qs = prof.select(*[F.col(f"__p_{i}").alias(f"__q_{i}") for i in range(len(cols))])
+    j = with_constants(df.select(*[F.col(q(c)) for c in cols]), qs)
+    def lo(i): return F.col(f"__q_{i}")[0] - k * (F.col(f"__q_{i}")[2] - F.col(f"__q_{i}")[0])
+    def hi(i): return F.col(f"__q_{i}")[2] + k * (F.col(f"__q_{i}")[2] - F.col(f"__q_{i}")[0])
+    counts = j.agg(*[F.count_if((F.col(q(c)) < lo(i)) | (F.col(q(c)) > hi(i))).alias(f"__n_{i}") for i, c in enumerate(cols)])
+    out_items = [F.when(F.col(f"__n_{i}") > 0, row("outliers", c, "n_outliers", F.col(f"__n_{i}"))) for i, c in enumerate(cols)]
+    outl = counts.select(F.explode(F.array_compact(F.array(*out_items))).alias("s")).select("s.*")
     dup = duplicate_count(df).select(F.lit("duplicates").alias("section"), F.lit(None).cast("string").alias("col_name"),
                                      F.lit("n_duplicates").alias("metric"), F.col("n_duplicates").cast("double").alias("value"))
-    iqr = iqr_outliers(df, cols).select(F.lit("outliers").alias("section"), "col_name",
-                                        F.lit("n_outliers").alias("metric"), F.col("n_outliers").cast("double").alias("value"))
-    d = describe_numeric(df, cols)
-    desc = d.unpivot(["col_name"], ["mean", "std", "min", "p25", "p50", "p75", "max"], "metric", "value").select(
-        F.lit("describe").alias("section"), "col_name", "metric", "value")
-    cor = correlation_pairs(df, cols).select(F.lit("correlation").alias("section"),
-                                             F.concat_ws("~", "column_a", "column_b").alias("col_name"),
-                                             F.lit("r").alias("metric"), F.col("r").alias("value"))
-    return n.unionByName(ncol).unionByName(mp).unionByName(dup).unionByName(iqr).unionByName(desc).unionByName(cor)
+    return base.unionByName(outl).unionByName(dup)
