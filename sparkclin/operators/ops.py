@@ -261,11 +261,28 @@ def ema_latency(log: DataFrame, key: list[str], order: list[str], latency_ms: st
 
 def rolling_latency_quantiles(log: DataFrame, key: list[str], order: list[str], latency_ms: str = "latency_ms",
                               window: int = 1000, min_count: int = 100, every: int = 100) -> DataFrame:
-    """At every ``every``-th request, p95 / p99 = sorted[int(n·q)] over the last ``window`` latencies."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    x = log.select(*key, *order, F.col(latency_ms).cast("double").alias("__l"), F.row_number().over(w).alias("__i"))
-    arr = F.array_sort(F.collect_list("__l").over(w.rowsBetween(-(window - 1), 0)))
-    rep = x.select("*", arr.alias("__a")).where((F.col("__i") % every == 0))
+    """At every ``every``-th request, p95 / p99 = sorted[int(n·q)] over the last ``window`` latencies.
+
+    Positions per key come from prefix sums over the event-time microseconds
+    (ties broken by a row number inside one timestamp), so no key-wide
+    window. Each row belongs to at most ``window / every`` reporting points;
+    it is exploded to those only and each report collects ≤ ``window``
+    values: O(rows · window/every) work instead of a list per row.
+    """
+    from sparkclin.functions.exprs import cumulative_sums
+    t = (F.unix_micros(_event_ts(log, order[0])).cast("double")).alias("__t")
+    base = log.select(*key, *order, F.col(latency_ms).cast("double").alias("__l"), t)
+    cnt = base.groupBy(*key, "__t").agg(F.count(F.lit(1)).alias("__c"))
+    cum = cumulative_sums(cnt, "__t", ["__c"], key).select(*key, "__t", (F.col("cum___c") - F.col("__c")).alias("__before"))
+    rn = F.row_number().over(Window.partitionBy(*key, "__t").orderBy(*order[1:] or order))
+    pos = base.join(cum, key + ["__t"]).withColumn("__i", F.col("__before") + rn)  # 1-based position
+    first = F.ceil(F.col("__i") / every).cast("long")
+    last = F.floor((F.col("__i") + window - 1) / every).cast("long")
+    ex = pos.select(*key, *order, "__l", "__i", F.explode(F.sequence(first, last)).alias("__rep"))
+    ex = ex.where((F.col("__rep") * every >= F.col("__i")) & (F.col("__rep") * every - F.col("__i") < window))
+    here = ex.where(F.col("__i") == F.col("__rep") * every).select(*key, "__rep", *order)
+    lists = ex.groupBy(*key, "__rep").agg(F.array_sort(F.collect_list("__l")).alias("__a"))
+    rep = lists.join(here, key + ["__rep"])
     n = F.size("__a")
     return rep.where(n >= min_count).select(*key, *order, n.alias("n"),
                                             F.element_at("__a", F.floor(n * 0.95).cast("int") + 1).alias("p95"),
