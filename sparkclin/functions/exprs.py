@@ -104,3 +104,50 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_co
         extra.append((-ln if descending else ln).alias("next_value"))
     return j.select(*df.columns, *[(F.sum(q(c)).over(wr) + F.col(f"__off_{c}")).alias(prefix + c)
                                    for c in sum_cols], *extra)
+
+
+def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], value: str = "value",
+                   weight: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (``percentile`` / numpy default) per group, distributed.
+
+    Spark's exact ``percentile`` merges every distinct value of a group into
+    one task's hash map; here values are counted per (group, value), ranked
+    with bucketed prefix sums, and the two order statistics around
+    h = (n − 1)·p are picked with a grouped ``min``: every step is a
+    partitioned aggregate. Returns (group..., __q array<double>).
+    """
+    g = list(group_cols)
+    w = F.col(weight) if weight else F.lit(1)
+    vc = long.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("__v")).agg(
+        F.sum(w).cast("long").alias("__c"))
+    vc = vc.where(F.col("__c") > 0)
+    cum = cumulative_sums(vc, "__v", ["__c"], g)
+    n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
+    j = cum.join(F.broadcast(n), g, "inner") if g else cum.crossJoin(F.broadcast(n))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        aggs += [F.min(F.when(F.col("cum___c") > F.floor(h), F.col("__v"))).alias(f"__lo{i}"),
+                 F.min(F.when(F.col("cum___c") > F.ceil(h), F.col("__v"))).alias(f"__hi{i}"),
+                 F.first(h - F.floor(h)).alias(f"__fr{i}")]
+    a = j.groupBy(*g).agg(*aggs)
+    qs = [F.col(f"__lo{i}") + F.col(f"__fr{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}")) for i in range(len(probs))]
+    return a.select(*g, F.array(*qs).alias("__q"))
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "distributed",
+                     prefix: str = "__q_") -> DataFrame:
+    """One row with ``{prefix}{i}`` = array of the requested quantiles of ``cols[i]``.
+
+    ``method``: ``distributed`` (exact, scale-safe, default), ``percentile``
+    (Spark's exact aggregate; fine for low-cardinality columns) or ``approx``
+    (``percentile_approx``, one pass, bounded memory).
+    """
+    arr = "array(" + ", ".join(str(p) for p in probs) + ")"
+    if method in ("percentile", "approx"):
+        fn = "percentile({c}, " + arr + ")" if method == "percentile" else "percentile_approx({c}, " + arr + ", 10000)"
+        return df.agg(*[F.expr(fn.format(c=q(c))).cast("array<double>").alias(f"{prefix}{i}") for i, c in enumerate(cols)])
+    long = stack_columns(df.select(*cols), [], cols)
+    ql = quantiles_long(long, probs, ["feature"])
+    one = ql.groupBy().pivot("feature", cols).agg(F.first("__q"))
+    return one.select(*[F.col(q(c)).alias(f"{prefix}{i}") for i, c in enumerate(cols)])

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from sparkclin.functions.exprs import cumulative_sums, q, rows_from_struct_array, safe_div, stack_columns
+from sparkclin.functions.exprs import (column_quantiles, cumulative_sums, q, quantiles_long, rows_from_struct_array,
+                                      safe_div, stack_columns)
 
 REF, CUR = "reference", "current"
 
@@ -37,9 +38,8 @@ def reference_stats_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
         x = F.col(q(c)).cast("double")
         aggs += [F.count(x).alias(f"__n_{i}"), F.avg(x).alias(f"__m_{i}"), F.stddev_samp(x).alias(f"__s_{i}"),
                  F.min(x).alias(f"__lo_{i}"), F.max(x).alias(f"__hi_{i}"),
-                 F.expr(f"percentile(CAST({q(c)} AS DOUBLE), array(0.25, 0.5, 0.75))").alias(f"__p_{i}"),
                  F.skewness(x).alias(f"__g1_{i}"), F.kurtosis(x).alias(f"__g2_{i}")]
-    one = df.agg(*aggs)
+    one = df.agg(*aggs).crossJoin(column_quantiles(df, cols, [0.25, 0.5, 0.75], prefix="__p_"))
     def sk(i):
         n = F.col(f"__n_{i}").cast("double")
         return F.when(n > 2, F.col(f"__g1_{i}") * F.sqrt(n * (n - 1)) / (n - 2))
@@ -130,8 +130,7 @@ def ks_two_sample(long: DataFrame, with_pvalue: bool = True) -> DataFrame:
 # ------------------------------------------------------------------ histogram methods
 def _ref_edges(vc: DataFrame, probs: list[float]) -> DataFrame:
     """Exact reference percentiles from the count table (``percentile`` with frequencies)."""
-    arr = ", ".join(str(p) for p in probs)
-    return vc.where(F.col("r") > 0).groupBy("feature").agg(F.expr(f"percentile(value, array({arr}), r)").alias("__e"))
+    return quantiles_long(vc.where(F.col("r") > 0), probs, ["feature"], weight="r").withColumnRenamed("__q", "__e")
 
 
 def _hist_pair(binned: DataFrame, n_bins: int) -> DataFrame:

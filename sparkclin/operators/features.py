@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkclin.functions.exprs import cumulative_sums, q, with_constants
+from sparkclin.functions.exprs import column_quantiles, cumulative_sums, q, with_constants
 
 # Bin edges and labels (right-closed intervals).
 BMI_BINS = ([0, 18.5, 24.9, 29.9, 100], ["underweight", "normal", "overweight", "obese"])
@@ -184,8 +184,7 @@ def scale_minmax(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def scale_robust(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """(x − median) / (Q3 − Q1), exact percentiles by default."""
-    fn = "percentile_approx({c}, array(0.25, 0.5, 0.75), 10000)" if approx else "percentile({c}, array(0.25, 0.5, 0.75))"
-    st = df.agg(*[F.expr(fn.format(c=q(c))).alias(f"__p_{i}") for i, c in enumerate(cols)])
+    st = column_quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "distributed", prefix="__p_")
     j = with_constants(df, st)
     iqr = lambda i: F.col(f"__p_{i}")[2] - F.col(f"__p_{i}")[0]
     rep = {c: (F.col(q(c)) - F.col(f"__p_{i}")[1]) / F.when(iqr(i) == 0, 1.0).otherwise(iqr(i))
@@ -251,8 +250,7 @@ def polynomial_features(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def quantile_bins(df: DataFrame, cols: list[str], n_bins: int = 5) -> DataFrame:
     """Equal-frequency ordinal bins from exact percentile edges (x ≥ edge counts)."""
-    probs = ", ".join(str(i / n_bins) for i in range(1, n_bins))
-    st = df.agg(*[F.expr(f"percentile({q(c)}, array({probs}))").alias(f"__e_{i}") for i, c in enumerate(cols)])
+    st = column_quantiles(df, cols, [i / n_bins for i in range(1, n_bins)], prefix="__e_")
     j = with_constants(df, st)
     def n_edges_below(c, i):
         x = F.col(q(c))

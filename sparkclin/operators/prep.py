@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkclin.functions.exprs import cumulative_sums, md5_bucket, q, stack_columns, with_constants
+from sparkclin.functions.exprs import (column_quantiles, cumulative_sums, md5_bucket, q, quantiles_long,
+                                      stack_columns, with_constants)
 
 
 def impute_fit(df: DataFrame, cols: list[str], strategy: str = "median", approx: bool = False) -> DataFrame:
@@ -19,8 +20,8 @@ def impute_fit(df: DataFrame, cols: list[str], strategy: str = "median", approx:
     if strategy == "mean":
         return df.agg(*[F.avg(q(c)).alias(c) for c in cols])
     if strategy == "median":
-        fn = "percentile_approx({c}, 0.5, 10000)" if approx else "percentile({c}, 0.5)"
-        return df.agg(*[F.expr(fn.format(c=q(c))).cast("double").alias(c) for c in cols])
+        qs = column_quantiles(df, cols, [0.5], "approx" if approx else "distributed")
+        return qs.select(*[F.col(f"__q_{i}")[0].alias(c) for i, c in enumerate(cols)])
     if strategy == "most_frequent":
         # Most frequent value, smallest value on ties; one small group-by per column.
         parts = []
@@ -117,7 +118,7 @@ def select_k_best_mi(df: DataFrame, cols: list[str], target: str, k: int = 15, n
     """Mutual information (nats) between the class and each feature's quantile bin."""
     probs = ", ".join(str(i / n_bins) for i in range(1, n_bins))
     lg = _long(df, cols, target)
-    edges = lg.groupBy("feature").agg(F.expr(f"percentile(value, array({probs}))").alias("__e"))
+    edges = quantiles_long(lg, [i / n_bins for i in range(1, n_bins)], ["feature"]).withColumnRenamed("__q", "__e")
     b = lg.join(F.broadcast(edges), "feature").select(
         "feature", target, F.size(F.filter("__e", lambda e: F.col("value") >= e)).alias("bin"))
     joint = b.groupBy("feature", "bin", target).agg(F.count(F.lit(1)).alias("nxy"))

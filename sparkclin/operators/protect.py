@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkclin.functions.exprs import q, with_constants
+from sparkclin.functions.exprs import column_quantiles, q, with_constants
 from sparkclin.operators.quality import CLINICAL_RANGES, EXPECTED_RANGES
 
 # Fixed values that must equal the reference: injection patterns (pattern, type, severity), in order.
@@ -305,10 +305,10 @@ def mahalanobis_fit(ref: DataFrame, cols: list[str], contamination: float = 0.01
     mu, cov = moments(ref)
     inv = np.linalg.pinv(cov)
     if reweight:
-        cut = ref.select(dist_col(mu, inv).alias("d")).agg(F.expr(f"percentile(d, {1 - contamination})")).first()[0]
+        cut = column_quantiles(ref.select(dist_col(mu, inv).alias("d")), ["d"], [1 - contamination]).first()[0][0]
         mu, cov = moments(ref.where(dist_col(mu, inv) <= cut))
         inv = np.linalg.pinv(cov)
-    cut = ref.select(dist_col(mu, inv).alias("d")).agg(F.expr(f"percentile(d, {1 - contamination})")).first()[0]
+    cut = column_quantiles(ref.select(dist_col(mu, inv).alias("d")), ["d"], [1 - contamination]).first()[0][0]
     return {"cols": cols, "mean": mu, "inv": inv, "cut": cut, "dist": dist_col(mu, inv)}
 
 
