@@ -107,7 +107,7 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_co
 
 
 def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], value: str = "value",
-                   weight: str | None = None) -> DataFrame:
+                   weight: str | None = None, method: str = "auto") -> DataFrame:
     """Exact linear-interpolation quantiles (``percentile`` / numpy default) per group, distributed.
 
     Spark's exact ``percentile`` merges every distinct value of a group into
@@ -117,6 +117,12 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     partitioned aggregate. Returns (group..., __q array<double>).
     """
     g = list(group_cols)
+    if method == "auto":
+        method = "percentile" if estimated_bytes(long) <= EXACT_PERCENTILE_MAX_BYTES else "distributed"
+    if method == "percentile":
+        arr = "array(" + ", ".join(str(p) for p in probs) + ")"
+        wexpr = f", CAST({q(weight)} AS BIGINT)" if weight else ""
+        return long.groupBy(*g).agg(F.expr(f"percentile(CAST({q(value)} AS DOUBLE), {arr}{wexpr})").alias("__q"))
     w = F.col(weight) if weight else F.lit(1)
     vc = long.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("__v")).agg(
         F.sum(w).cast("long").alias("__c"))
@@ -135,14 +141,32 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     return a.select(*g, F.array(*qs).alias("__q"))
 
 
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "distributed",
+# Inputs estimated below this size use Spark's single-task exact ``percentile``; above it the
+# distributed path. 256 MB of input cannot hold more distinct values than one task can map.
+EXACT_PERCENTILE_MAX_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` (no job runs); very large when unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return 1 << 62
+
+
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto",
                      prefix: str = "__q_") -> DataFrame:
     """One row with ``{prefix}{i}`` = array of the requested quantiles of ``cols[i]``.
 
-    ``method``: ``distributed`` (exact, scale-safe, default), ``percentile``
-    (Spark's exact aggregate; fine for low-cardinality columns) or ``approx``
-    (``percentile_approx``, one pass, bounded memory).
+    ``method``: ``distributed`` (exact, scale-safe), ``percentile`` (Spark's
+    exact aggregate: one task holds every distinct value of a column),
+    ``approx`` (``percentile_approx``, bounded memory) or ``auto`` (default):
+    ``percentile`` when the optimizer's size estimate of the input is under
+    ``EXACT_PERCENTILE_MAX_BYTES``, else ``distributed``. Both exact paths
+    give identical results.
     """
+    if method == "auto":
+        method = "percentile" if estimated_bytes(df) <= EXACT_PERCENTILE_MAX_BYTES else "distributed"
     arr = "array(" + ", ".join(str(p) for p in probs) + ")"
     if method in ("percentile", "approx"):
         fn = "percentile({c}, " + arr + ")" if method == "percentile" else "percentile_approx({c}, " + arr + ", 10000)"

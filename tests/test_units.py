@@ -153,3 +153,19 @@ def test_feature_registry_and_validation(spark):
     v = spark.createDataFrame([(0.0,), (2.0,)], "x double")
     out = K.apply_validation(K.apply_validation(v, vals["bin"], "x"), vals["pos"], "x").orderBy("x").collect()
     assert [o.bin_ok for o in out] == [True, False] and [o.pos_ok for o in out] == [False, True]
+
+
+def test_distributed_quantiles_equal_percentile(spark):
+    from sparkclin.functions.exprs import column_quantiles, quantiles_long
+    df = spark.range(5000).select(((F.col("id") * 7919) % 1013 / 7.0).alias("a"), (F.col("id") % 13).cast("int").alias("b"),
+                                  F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") / 3.0).alias("c"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+    d = column_quantiles(df, ["a", "b", "c"], probs, method="distributed").first()
+    p = column_quantiles(df, ["a", "b", "c"], probs, method="percentile").first()
+    for i in range(3):
+        assert d[f"__q_{i}"] == pytest.approx(p[f"__q_{i}"], rel=1e-12, abs=1e-12)
+    w = spark.createDataFrame([("x", 1.0, 3), ("x", 2.0, 1), ("x", 5.0, 2), ("y", 4.0, 1)], "feature string, value double, r long")
+    dw = {r["feature"]: r["__q"] for r in quantiles_long(w, [0.25, 0.5, 0.9], ["feature"], weight="r", method="distributed").collect()}
+    pw = {r["feature"]: r["__q"] for r in quantiles_long(w, [0.25, 0.5, 0.9], ["feature"], weight="r", method="percentile").collect()}
+    for k in pw:
+        assert dw[k] == pytest.approx(pw[k])
