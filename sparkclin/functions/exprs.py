@@ -8,6 +8,20 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 
+# Inputs whose optimizer size estimate is below this use single-task exact paths (``percentile``,
+# a plain window); above it the distributed ones. 256 MB cannot hold more distinct values than a
+# task can keep in memory.
+EXACT_PERCENTILE_MAX_BYTES = 256 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of ``df`` (no job runs); very large when unknown."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return 1 << 62
+
+
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -60,7 +74,7 @@ def md5_bucket(col: Column, modulus: int) -> Column:
 
 def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | None = None,
                     descending: bool = False, n_buckets: int | None = None, prefix: str = "cum_",
-                    with_next: bool = False) -> DataFrame:
+                    with_next: bool = False, method: str = "auto") -> DataFrame:
     """Running totals of ``sum_cols`` in ``order_col`` order (ties included), per group.
 
     A plain window without ``partitionBy`` would pull every row into one
@@ -75,6 +89,18 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_co
     bucket's minimum).
     """
     group_cols = list(group_cols or [])
+    if method == "auto":
+        method = "window" if (n_buckets is None and estimated_bytes(df) <= EXACT_PERCENTILE_MAX_BYTES) else "bucketed"
+    if method == "window":
+        # Small input (size-checked): one window per group is cheaper and gives the same values.
+        o = -F.col(q(order_col)).cast("double") if descending else F.col(q(order_col)).cast("double")
+        w = Window.partitionBy(*group_cols).orderBy(o)
+        wr = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        extra = []
+        if with_next:
+            nxt = F.lead(o).over(w)
+            extra.append((-nxt if descending else nxt).alias("next_value"))
+        return df.select(*df.columns, *[F.sum(q(c)).over(wr).alias(prefix + c) for c in sum_cols], *extra)
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -141,19 +167,6 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     return a.select(*g, F.array(*qs).alias("__q"))
 
 
-# Inputs estimated below this size use Spark's single-task exact ``percentile``; above it the
-# distributed path. 256 MB of input cannot hold more distinct values than one task can map.
-EXACT_PERCENTILE_MAX_BYTES = 256 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (no job runs); very large when unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return 1 << 62
-
-
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto",
                      prefix: str = "__q_") -> DataFrame:
     """One row with ``{prefix}{i}`` = array of the requested quantiles of ``cols[i]``.

@@ -68,7 +68,7 @@ def test_cumulative_sums_matches_window(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 37) % 101).cast("double").alias("v"),
                                   F.lit(1).alias("c"))
     d = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
-    got = {(r.g, r.v): r.cum_c for r in cumulative_sums(d, "v", ["c"], ["g"], n_buckets=5).collect()}
+    got = {(r.g, r.v): r.cum_c for r in cumulative_sums(d, "v", ["c"], ["g"], n_buckets=5, method="bucketed").collect()}
     from pyspark.sql.window import Window
     w = Window.partitionBy("g").orderBy("v")
     exp = {(r.g, r.v): r.s for r in d.select("g", "v", F.sum("c").over(w).alias("s")).collect()}
@@ -169,3 +169,15 @@ def test_distributed_quantiles_equal_percentile(spark):
     pw = {r["feature"]: r["__q"] for r in quantiles_long(w, [0.25, 0.5, 0.9], ["feature"], weight="r", method="percentile").collect()}
     for k in pw:
         assert dw[k] == pytest.approx(pw[k])
+
+
+def test_cumulative_sums_methods_agree(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 577).cast("double").alias("v"),
+                                  (F.col("id") % 5).alias("c"))
+    d = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
+    for desc in (False, True):
+        a = {(r.g, r.v): (r.cum_c, r.next_value) for r in
+             cumulative_sums(d, "v", ["c"], ["g"], descending=desc, with_next=True, method="bucketed", n_buckets=7).collect()}
+        b = {(r.g, r.v): (r.cum_c, r.next_value) for r in
+             cumulative_sums(d, "v", ["c"], ["g"], descending=desc, with_next=True, method="window").collect()}
+        assert a == b
