@@ -23,6 +23,9 @@ PII_PATTERNS = [
     ("name", r"[A-Z][a-z]+\s+[A-Z][a-z]+"),
     ("medical_record", r"MRN-\d{6,10}"),
 ]
+# A literal each pattern cannot match without (case-sensitive, like the patterns): the regex only
+# runs on texts that contain it.
+PII_GATES = {"email": "@", "ssn": "-", "id": "ID-", "medical_record": "MRN-"}
 # Field names masked wherever they occur; secret keys; hashing salt.
 SENSITIVE_FIELDS = ["patient_id", "patient_name", "ssn", "address", "email", "phone", "medical_record_number",
                     "date_of_birth", "zip_code", "full_name"]
@@ -35,7 +38,9 @@ def hash_pii(text: Column, salt: str = DEFAULT_SALT, patterns=PII_PATTERNS) -> C
     out = text
     for name, pat in patterns:
         matches = F.array_distinct(F.regexp_extract_all(out, F.lit(pat), 0))
-        out = F.aggregate(matches, out, _replacer(name.upper(), salt))
+        step = F.aggregate(matches, out, _replacer(name.upper(), salt))
+        gate = PII_GATES.get(name) if patterns is PII_PATTERNS else None
+        out = F.when(F.instr(out, gate) > 0, step).otherwise(out) if gate else step
     return out
 
 
@@ -49,11 +54,50 @@ def _replacer(tag: str, salt: str):
 def redact_pii(text: Column, patterns=PII_PATTERNS) -> Column:
     """Every match of every pattern (in order) → [REDACTED]."""
     out = text
-    for _, pat in patterns:
-        out = F.regexp_replace(out, pat, "[REDACTED]")
+    for name, pat in patterns:
+        step = F.regexp_replace(out, pat, "[REDACTED]")
+        gate = PII_GATES.get(name) if patterns is PII_PATTERNS else None
+        out = F.when(F.instr(out, gate) > 0, step).otherwise(out) if gate else step
     return out
 
 
+def _hash_step(name: str, pat: str, salt: str, gated: bool):
+    def step(c: Column) -> Column:
+        matches = F.array_distinct(F.regexp_extract_all(c, F.lit(pat), 0))
+        body = F.aggregate(matches, c, _replacer(name.upper(), salt))
+        gate = PII_GATES.get(name) if gated else None
+        return F.when(F.instr(c, gate) > 0, body).otherwise(c) if gate else body
+    return step
+
+
+def _redact_step(name: str, pat: str, gated: bool):
+    def step(c: Column) -> Column:
+        body = F.regexp_replace(c, pat, "[REDACTED]")
+        gate = PII_GATES.get(name) if gated else None
+        return F.when(F.instr(c, gate) > 0, body).otherwise(c) if gate else body
+    return step
+
+
+def _chain(df: DataFrame, col: str, steps, out_col: str | None) -> DataFrame:
+    """Apply column steps as successive projections: each intermediate text is computed once."""
+    tmp = "__pii_text"
+    x = df.withColumn(tmp, F.col(q(col)))
+    for st in steps:
+        x = x.withColumn(tmp, st(F.col(tmp)))
+    return x.withColumn(out_col or col, F.col(tmp)).drop(tmp)
+
+
+def hash_pii_df(df: DataFrame, col: str, out_col: str | None = None, salt: str = DEFAULT_SALT,
+                patterns=PII_PATTERNS) -> DataFrame:
+    """C12 on a table column, one projection per pattern (gated by a required literal)."""
+    return _chain(df, col, [_hash_step(n, p, salt, patterns is PII_PATTERNS) for n, p in patterns], out_col)
+
+
+def redact_pii_df(df: DataFrame, col: str, out_col: str | None = None, patterns=PII_PATTERNS) -> DataFrame:
+    """C13 on a table column, one projection per pattern (gated by a required literal)."""
+    return _chain(df, col, [_redact_step(n, p, patterns is PII_PATTERNS) for n, p in patterns], out_col)
+
+
 def pii_counts(text: Column, patterns=PII_PATTERNS) -> list[Column]:
     """Matches per pattern on the original text (the countable part of C12)."""
     return [F.size(F.regexp_extract_all(text, F.lit(p), 0)).alias(f"n_{n}") for n, p in patterns]

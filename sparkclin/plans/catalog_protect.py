@@ -192,8 +192,8 @@ def q_mahalanobis_outliers(spark, sf):
 # ---------------------------------------------------------------- privacy
 @register("hash_pii")
 def q_hash_pii(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", PV.hash_pii(F.col("text")).alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return PV.hash_pii_df(d, "text")
 
 
 @register("pii_counts", sql="SELECT doc_id, " + ", ".join(
@@ -212,8 +212,8 @@ def _redact_sql(col):
 
 @register("redact_pii", sql=f"SELECT doc_id, {_redact_sql('text')} AS text FROM documents")
 def q_redact_pii(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", PV.redact_pii(F.col("text")).alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return PV.redact_pii_df(d, "text")
 
 
 @register("mask_sensitive_fields", sql="""

@@ -181,3 +181,15 @@ def test_cumulative_sums_methods_agree(spark):
         b = {(r.g, r.v): (r.cum_c, r.next_value) for r in
              cumulative_sums(d, "v", ["c"], ["g"], descending=desc, with_next=True, method="window").collect()}
         assert a == b
+
+
+def test_pii_chains_equal_column_forms(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    d = d.unionByName(spark.createDataFrame([(10**9, "Mail John Smith at john.smith@x.org, SSN 123-45-6789, MRN-1234567")],
+                                            "doc_id long, text string"))
+    a = PV.hash_pii_df(d, "text", "h").select("doc_id", "h")
+    b = d.select("doc_id", PV.hash_pii(F.col("text")).alias("h"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    ra = PV.redact_pii_df(d, "text", "r").select("doc_id", "r")
+    rb = d.select("doc_id", PV.redact_pii(F.col("text")).alias("r"))
+    assert ra.exceptAll(rb).count() == 0
