@@ -33,14 +33,21 @@ SECRET_KEYS = ["Authorization", "access_token", "password"]
 DEFAULT_SALT = "CDSS_LOG_SALT_2024"
 
 
+def _let(c: Column, fn) -> Column:
+    """Evaluate ``c`` once and pass it to ``fn`` (a one-element ``transform`` binds it to a variable)."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def hash_pii(text: Column, salt: str = DEFAULT_SALT, patterns=PII_PATTERNS) -> Column:
-    """For each pattern in order, every distinct match → [TYPE_<8 hex of sha256(match+salt)>]."""
+    """For each pattern in order, every distinct match → [TYPE_<8 hex of sha256(match+salt)>].
+
+    Column form (for nested values); each step's input is bound once, so the
+    expression grows linearly with the number of patterns. Tables use
+    ``hash_pii_df`` (one projection per pattern).
+    """
     out = text
     for name, pat in patterns:
-        matches = F.array_distinct(F.regexp_extract_all(out, F.lit(pat), 0))
-        step = F.aggregate(matches, out, _replacer(name.upper(), salt))
-        gate = PII_GATES.get(name) if patterns is PII_PATTERNS else None
-        out = F.when(F.instr(out, gate) > 0, step).otherwise(out) if gate else step
+        out = _let(out, _hash_step(name, pat, salt, patterns is PII_PATTERNS))
     return out
 
 
@@ -52,12 +59,10 @@ def _replacer(tag: str, salt: str):
 
 
 def redact_pii(text: Column, patterns=PII_PATTERNS) -> Column:
-    """Every match of every pattern (in order) → [REDACTED]."""
+    """Every match of every pattern (in order) → [REDACTED] (column form; tables use ``redact_pii_df``)."""
     out = text
     for name, pat in patterns:
-        step = F.regexp_replace(out, pat, "[REDACTED]")
-        gate = PII_GATES.get(name) if patterns is PII_PATTERNS else None
-        out = F.when(F.instr(out, gate) > 0, step).otherwise(out) if gate else step
+        out = _let(out, _redact_step(name, pat, patterns is PII_PATTERNS))
     return out
 
 
