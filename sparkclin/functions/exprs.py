@@ -38,6 +38,12 @@ def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return r if default is None else F.coalesce(r, F.lit(float(default)))
 
 
+def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Broadcast hint only behind a size check (optimizer estimate); otherwise leave it to AQE."""
+    limit = max_bytes if max_bytes is not None else 64 << 20
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+
+
 def with_constants(df: DataFrame, consts: DataFrame) -> DataFrame:
     """Attach a one-row frame of fitted constants to every row.
 
@@ -155,7 +161,8 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     vc = vc.where(F.col("__c") > 0)
     cum = cumulative_sums(vc, "__v", ["__c"], g)
     n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
-    j = cum.join(F.broadcast(n), g, "inner") if g else cum.crossJoin(F.broadcast(n))
+    # One row per group: broadcast only the single-row case; otherwise AQE picks the join.
+    j = cum.join(n, g, "inner") if g else cum.crossJoin(F.broadcast(n))
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p))
