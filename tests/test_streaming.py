@@ -101,3 +101,27 @@ def test_stream_validate_and_upsert(spark, sf):
     q2.awaitTermination(300)
     latest = S.latest_feature_table(spark, f"{d}/changes")
     assert latest.count() == reqlog(spark, sf).select("user_id", "endpoint").distinct().count()
+
+
+def test_stream_score_and_drift(spark, sf):
+    from sparkclin.operators import prep as P
+    from sparkclin.plans.scoring import FLAGSHIP_COEF, FLAGSHIP_INTERCEPT
+    from sparkclin.sources.views import patients
+    d = tempfile.mkdtemp(prefix="sparkclin-score-")
+    cols = ["glucose", "blood_pressure", "bmi", "age"]
+    p = patients(spark, sf).select("patient_id", *cols)
+    p.repartition(3).write.parquet(f"{d}/p")
+    medians = P.impute_fit(p, ["glucose", "blood_pressure"], "median")
+    src = S.read_stream(spark, f"{d}/p", max_files=1)
+    scored_stream = S.stream_score(src, medians, FLAGSHIP_COEF, FLAGSHIP_INTERCEPT, cols)
+    q = (scored_stream.select("patient_id", "probability", "risk_level").writeStream.format("memory")
+         .queryName("score_t").option("checkpointLocation", f"{d}/ck").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    out = spark.sql("SELECT * FROM score_t")
+    assert out.count() == p.count()
+    assert out.where("probability < 0 OR probability > 1").count() == 0
+    q2 = S.stream_drift_check(S.read_stream(spark, f"{d}/p", max_files=1), p, cols, f"{d}/drift", f"{d}/ck2") \
+        .trigger(availableNow=True).start()
+    q2.awaitTermination(300)
+    dr = spark.read.parquet(f"{d}/drift")
+    assert dr.select("batch_id").distinct().count() >= 1 and set(r.feature for r in dr.collect()) == set(cols)
