@@ -82,20 +82,23 @@ def one_hot(col: Column, labels: list[str], prefix: str, drop_first: bool = Fals
 
 def clinical_features(df: DataFrame, age_top: int = 120) -> DataFrame:
     """D1–D5 composed the way the feature engineer does: flags, powers, interactions,
-    binned categories one-hot encoded with the first level dropped."""
+    binned categories one-hot encoded with the first level dropped.
+
+    Each category label is computed once in its own projection and the
+    indicators compare against it, which keeps the generated code small
+    enough to stay inside whole-stage codegen.
+    """
     c = set(df.columns)
     out = threshold_flags(power_log_features(interaction_features(df)))
-    cats = []
-    if "bmi" in c:
-        cats += one_hot(bin_column(F.col("bmi"), *BMI_BINS), BMI_BINS[1], "bmi_category", True)
-    if "glucose" in c:
-        cats += one_hot(bin_column(F.col("glucose"), *GLUCOSE_BINS), GLUCOSE_BINS[1], "glucose_category", True)
-    if "blood_pressure" in c:
-        cats += one_hot(bin_column(F.col("blood_pressure"), *BP_BINS), BP_BINS[1], "bp_category", True)
-    if "age" in c:
-        e, lab = age_bins(age_top)
-        cats += one_hot(bin_column(F.col("age"), e, lab), lab, "age_category", True)
-    return out.select("*", *cats)
+    e, lab = age_bins(age_top)
+    specs = [(src, name, edges, labels) for src, name, edges, labels in [
+        ("bmi", "bmi_category", *BMI_BINS), ("glucose", "glucose_category", *GLUCOSE_BINS),
+        ("blood_pressure", "bp_category", *BP_BINS), ("age", "age_category", e, lab)] if src in c]
+    labelled = out.select("*", *[bin_column(F.col(src), edges, labels).alias(f"__lab_{name}")
+                                 for src, name, edges, labels in specs])
+    cats = [col for src, name, edges, labels in specs
+            for col in one_hot(F.col(f"__lab_{name}"), labels, name, True)]
+    return labelled.select(*out.columns, *cats)
 
 
 def group_aggregates(df: DataFrame, group_col: str, agg_cols: list[str], agg_funcs: list[str],
