@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    quality_rules, url_filter,
+    packing, pieces, pii, quality_rules, url_filter,
 )
 
 _QUERIES = [
+    packing.op1_packing,
+    pieces.op5_sentencepiece,
+    pii.op7_pii,
     quality_rules.op9_quality_rules,
     url_filter.op10_url_filter,
 ]

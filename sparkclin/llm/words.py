@@ -82,16 +82,17 @@ class Words:
     positions in ``data``; ``hashes``: one uint64 per word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, family: int = 0):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, family: int = 0,
+                 separators: np.ndarray = _SEP):
         starts, ends, hashes = [], [], []
         at, n = 0, len(data)
         bounds = offsets[:-1]
         while at < n:
             to = min(n, at + CHUNK)
             if to < n:
-                to = self._cut(data, offsets, at, to)
+                to = self._cut(data, offsets, at, to, separators)
             piece = data[at:to]
-            word = ~_SEP[piece]
+            word = ~separators[piece]
             begin = word.copy()
             begin[1:] &= ~word[:-1]
             inner = bounds[np.searchsorted(bounds, at):np.searchsorted(bounds, to)] - at
@@ -115,17 +116,17 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
 
     @staticmethod
-    def _cut(data: np.ndarray, offsets: np.ndarray, at: int, to: int) -> int:
+    def _cut(data: np.ndarray, offsets: np.ndarray, at: int, to: int, sep: np.ndarray) -> int:
         """A place in or after (at, to] that splits no word: a text's start, else a separator."""
         k = int(np.searchsorted(offsets, to, "right")) - 1
         if offsets[k] > at:
             return int(offsets[k])
-        seps = np.flatnonzero(_SEP[data[at:to]])
+        seps = np.flatnonzero(sep[data[at:to]])
         if len(seps):
             return at + int(seps[-1]) + 1
         limit = int(offsets[k + 1])
         while to < limit:  # one word longer than a chunk
-            seps = np.flatnonzero(_SEP[data[to:min(limit, to + CHUNK)]])
+            seps = np.flatnonzero(sep[data[to:min(limit, to + CHUNK)]])
             if len(seps):
                 return to + int(seps[0]) + 1
             to = min(limit, to + CHUNK)
