@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    packing, pieces, pii, quality_rules, url_filter,
+    packing, pieces, pii, quality_rules, substrings, url_filter,
 )
 
 _QUERIES = [
     packing.op1_packing,
     pieces.op5_sentencepiece,
+    substrings.op6_substring_dedup,
     pii.op7_pii,
     quality_rules.op9_quality_rules,
     url_filter.op10_url_filter,
