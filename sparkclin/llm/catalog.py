@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    packing, pieces, pii, quality_rules, substrings, url_filter,
+    jaccard, packing, pieces, pii, quality_rules, substrings, url_filter,
 )
 
 _QUERIES = [
     packing.op1_packing,
+    jaccard.op4_ngram_jaccard,
     pieces.op5_sentencepiece,
     substrings.op6_substring_dedup,
     pii.op7_pii,
