@@ -7,20 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    jaccard, packing, pieces, pii, quality_rules, substrings, url_filter,
+    hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, substrings,
+    toxicity, url_filter,
 )
 
 _QUERIES = [
     packing.op1_packing,
+    hashing_search.op2_nearest_neighbours,
+    line_templates.op3_line_dedup,
     jaccard.op4_ngram_jaccard,
     pieces.op5_sentencepiece,
     substrings.op6_substring_dedup,
     pii.op7_pii,
+    toxicity.op8_toxicity,
     quality_rules.op9_quality_rules,
     url_filter.op10_url_filter,
 ]
 
 _ORACLES = {
+    "op3_line_dedup": line_templates.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
 
