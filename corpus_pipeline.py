@@ -1,29 +1,77 @@
-"""Corpus pipeline: documents in, packed training sequences out, one written table per stage."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+``STAGES`` lists (name, function) in order. A stage takes (spark, docs, sf_dir), works on all that the stage before
+it kept, and returns a DataFrame that is written as Parquet and reread as the next one's ``docs``. All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkclin.llm import quality_rules
+from sparkclin.llm import jaccard, line_templates, packing, pii, quality_rules
+from sparkclin.session import checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the text as it now is (null for a null text)."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the learned decision list."""
+    """Documents that pass the base rules and the learned decision list; the rest go."""
     rules = quality_rules.learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.judge(docs, rules).where("kept").select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring template lines."""
+    return _documents(line_templates.drop_recurring_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id (a null doc_id always stays)."""
+    found = jaccard.near_duplicates(docs)
+    gone = found.where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data and the terms that reveal it replaced."""
+    found = pii.find_spans(docs)
+    clean = F.when(F.col("text").isNotNull(), pii.sanitised_text())
+    return _documents(found.withColumn("text", clean))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("pii", personal_data),
+    ("packing", pack),
 ]
 
-ORACLE_SQL = None  # learned and approximate stages; tests compare each with brute force
+ORACLE_SQL = None  # learned stages and tokens are beyond SQL; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; what passes between them lies in the shared checkpoint folder."""
+    base = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{base}/{k}-{name}")
+            docs = spark.read.parquet(f"{base}/{k}-{name}")
     return docs
