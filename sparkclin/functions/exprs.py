@@ -8,20 +8,6 @@ from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 
-# Inputs whose optimizer size estimate is below this use single-task exact paths (``percentile``,
-# a plain window); above it the distributed ones. 256 MB cannot hold more distinct values than a
-# task can keep in memory.
-EXACT_PERCENTILE_MAX_BYTES = 256 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of ``df`` (no job runs); very large when unknown."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001
-        return 1 << 62
-
-
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -38,12 +24,6 @@ def safe_div(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return r if default is None else F.coalesce(r, F.lit(float(default)))
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Broadcast hint only behind a size check (optimizer estimate); otherwise leave it to AQE."""
-    limit = max_bytes if max_bytes is not None else 64 << 20
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
-
 def with_constants(df: DataFrame, consts: DataFrame) -> DataFrame:
     """Attach a one-row frame of fitted constants to every row.
 
@@ -78,68 +58,74 @@ def md5_bucket(col: Column, modulus: int) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(modulus)
 
 
+def _bucket(edges: str, value: str, n_edges: int) -> Column:
+    """How many of the sorted ``edges`` lie below ``value``: a binary search in one row."""
+    steps = max(1, n_edges.bit_length())
+    return F.expr(
+        f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size({edges})), (s, _) -> "
+        f"CASE WHEN s.lo >= s.hi THEN s WHEN element_at({edges}, cast((s.lo + s.hi) / 2 as int) + 1) < {value} "
+        f"THEN named_struct('lo', cast((s.lo + s.hi) / 2 as int) + 1, 'hi', s.hi) "
+        f"ELSE named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) / 2 as int)) END, s -> s.lo)")
+
+
 def cumulative_sums(df: DataFrame, order_col: str, sum_cols: list[str], group_cols: list[str] | None = None,
                     descending: bool = False, n_buckets: int | None = None, prefix: str = "cum_",
-                    with_next: bool = False, method: str = "auto") -> DataFrame:
+                    with_next: bool = False) -> DataFrame:
     """Running totals of ``sum_cols`` in ``order_col`` order (ties included), per group.
 
     A plain window without ``partitionBy`` would pull every row into one
-    task. Instead rows are range-bucketed on ``order_col`` by approximate
-    quantile edges (a one-row aggregate), each bucket's totals are
-    prefix-summed over the small (group × bucket) table, and the final
-    window runs per (group, bucket) plus that offset. Equal order values
-    always land in one bucket, so RANGE-frame tie semantics are exact.
-    ``df`` should already be reduced to distinct (group, order) rows.
+    task. Instead each group's rows are range-bucketed by that group's own
+    approximate quantile edges (so a narrow feature spreads as well as a wide
+    one), each bucket's totals are prefix-summed over the small (group ×
+    bucket) table, and the final window runs per (group, bucket) plus that
+    offset. Equal order values always land in one bucket, so RANGE-frame tie
+    semantics are exact. ``df`` should already be reduced to distinct (group,
+    order) rows; edges, totals and window share its last exchange.
     ``with_next`` adds ``next_value``: the following distinct order value in
     the group (within a bucket by ``lead``, across buckets from the next
     bucket's minimum).
     """
     group_cols = list(group_cols or [])
-    if method == "auto":
-        method = "window" if (n_buckets is None and estimated_bytes(df) <= EXACT_PERCENTILE_MAX_BYTES) else "bucketed"
-    if method == "window":
-        # Small input (size-checked): one window per group is cheaper and gives the same values.
-        o = -F.col(q(order_col)).cast("double") if descending else F.col(q(order_col)).cast("double")
-        w = Window.partitionBy(*group_cols).orderBy(o)
-        wr = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        extra = []
-        if with_next:
-            nxt = F.lead(o).over(w)
-            extra.append((-nxt if descending else nxt).alias("next_value"))
-        return df.select(*df.columns, *[F.sum(q(c)).over(wr).alias(prefix + c) for c in sum_cols], *extra)
-    spark = df.sparkSession
     if n_buckets is None:
-        n_buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.col(q(order_col))
-    okey = -key.cast("double") if descending else key.cast("double")
+        n_buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.col(q(order_col)).cast("double")
+    base = df.withColumn("__o", -key if descending else key)
     probs = ", ".join(str(i / n_buckets) for i in range(1, n_buckets))
-    base = df.withColumn("__o", okey)
-    edges = base.agg(F.expr(f"percentile_approx(__o, array({probs}), 10000)").alias("__edges"))
-    b = (base.crossJoin(F.broadcast(edges))
-         .withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__o"))))
-         .drop("__edges"))
-    tot = b.groupBy(*group_cols, "__b").agg(*[F.sum(q(c)).alias(f"__t_{c}") for c in sum_cols])
-    wo = Window.partitionBy(*group_cols).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*group_cols, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wo), F.lit(0)).alias(f"__off_{c}")
-                                          for c in sum_cols])
-    if with_next:
-        mins = b.groupBy(*group_cols, "__b").agg(F.min("__o").alias("__bmin"))
-        wn = Window.partitionBy(*group_cols).orderBy("__b")
-        nxt = mins.select(*group_cols, "__b", F.lead("__bmin").over(wn).alias("__nb"))
-        off = off.join(nxt, group_cols + ["__b"], "inner")
-    j = b.join(off, group_cols + ["__b"], "inner")
-    wr = (Window.partitionBy(*group_cols, "__b").orderBy("__o")
-          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = base.groupBy(*group_cols).agg(F.array_distinct(F.coalesce(
+        F.expr(f"percentile_approx(__o, array({probs}), {max(1000, 20 * n_buckets)})"),
+        F.array().cast("array<double>"))).alias("__edges"))
+    b = base.crossJoin(F.broadcast(edges)) if not group_cols else _same_group(base, edges, group_cols)
+    b = b.withColumn("__b", _bucket("__edges", "__o", n_buckets)).drop("__edges")
+    tot = b.groupBy(*group_cols, "__b").agg(*[F.sum(q(c)).alias(f"__t_{c}") for c in sum_cols],
+                                            F.min("__o").alias("__bmin"))
+    wb = Window.partitionBy(*group_cols).orderBy("__b")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*group_cols, "__b", F.lead("__bmin").over(wb).alias("__nb"),
+                     *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__off_{c}") for c in sum_cols])
+    j = _same_group(b, off, group_cols + ["__b"])
+    w = Window.partitionBy(*group_cols, "__b").orderBy("__o")
+    wr = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     extra = []
     if with_next:
-        ln = F.coalesce(F.lead("__o").over(Window.partitionBy(*group_cols, "__b").orderBy("__o")), F.col("__nb"))
+        ln = F.coalesce(F.lead("__o").over(w), F.col("__nb"))
         extra.append((-ln if descending else ln).alias("next_value"))
     return j.select(*df.columns, *[(F.sum(q(c)).over(wr) + F.col(f"__off_{c}")).alias(prefix + c)
                                    for c in sum_cols], *extra)
 
 
+def _same_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join in which a null key meets a null key; the right side's keys are dropped."""
+    renamed = right.select(*[F.col(q(k)).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           *[F.col(q(c)) for c in right.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = left[k].eqNullSafe(renamed[f"__k{i}"])
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, "inner").drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], value: str = "value",
-                   weight: str | None = None, method: str = "auto") -> DataFrame:
+                   weight: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (``percentile`` / numpy default) per group, distributed.
 
     Spark's exact ``percentile`` merges every distinct value of a group into
@@ -149,20 +135,14 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     partitioned aggregate. Returns (group..., __q array<double>).
     """
     g = list(group_cols)
-    if method == "auto":
-        method = "percentile" if estimated_bytes(long) <= EXACT_PERCENTILE_MAX_BYTES else "distributed"
-    if method == "percentile":
-        arr = "array(" + ", ".join(str(p) for p in probs) + ")"
-        wexpr = f", CAST({q(weight)} AS BIGINT)" if weight else ""
-        return long.groupBy(*g).agg(F.expr(f"percentile(CAST({q(value)} AS DOUBLE), {arr}{wexpr})").alias("__q"))
     w = F.col(weight) if weight else F.lit(1)
     vc = long.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("__v")).agg(
         F.sum(w).cast("long").alias("__c"))
     vc = vc.where(F.col("__c") > 0)
     cum = cumulative_sums(vc, "__v", ["__c"], g)
     n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
-    # One row per group: broadcast only the single-row case; otherwise AQE picks the join.
-    j = cum.join(n, g, "inner") if g else cum.crossJoin(F.broadcast(n))
+    # Without groups this is one row; with them one row per group, and AQE picks the join.
+    j = _same_group(cum, n, g) if g else cum.crossJoin(F.broadcast(n))
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p))
@@ -174,23 +154,17 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     return a.select(*g, F.array(*qs).alias("__q"))
 
 
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "auto",
+def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool = False,
                      prefix: str = "__q_") -> DataFrame:
     """One row with ``{prefix}{i}`` = array of the requested quantiles of ``cols[i]``.
 
-    ``method``: ``distributed`` (exact, scale-safe), ``percentile`` (Spark's
-    exact aggregate: one task holds every distinct value of a column),
-    ``approx`` (``percentile_approx``, bounded memory) or ``auto`` (default):
-    ``percentile`` when the optimizer's size estimate of the input is under
-    ``EXACT_PERCENTILE_MAX_BYTES``, else ``distributed``. Both exact paths
-    give identical results.
+    Exact by the distributed ``quantiles_long``, whatever the input's size;
+    ``approx`` asks for ``percentile_approx`` (bounded memory, one pass).
     """
-    if method == "auto":
-        method = "percentile" if estimated_bytes(df) <= EXACT_PERCENTILE_MAX_BYTES else "distributed"
-    arr = "array(" + ", ".join(str(p) for p in probs) + ")"
-    if method in ("percentile", "approx"):
-        fn = "percentile({c}, " + arr + ")" if method == "percentile" else "percentile_approx({c}, " + arr + ", 10000)"
-        return df.agg(*[F.expr(fn.format(c=q(c))).cast("array<double>").alias(f"{prefix}{i}") for i, c in enumerate(cols)])
+    if approx:
+        arr = "array(" + ", ".join(str(p) for p in probs) + ")"
+        return df.agg(*[F.expr(f"percentile_approx({q(c)}, {arr}, 10000)").cast("array<double>").alias(f"{prefix}{i}")
+                        for i, c in enumerate(cols)])
     long = stack_columns(df.select(*cols), [], cols)
     ql = quantiles_long(long, probs, ["feature"])
     one = ql.groupBy().pivot("feature", cols).agg(F.first("__q"))

@@ -187,7 +187,7 @@ def scale_minmax(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def scale_robust(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """(x − median) / (Q3 − Q1), exact percentiles by default."""
-    st = column_quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "auto", prefix="__p_")
+    st = column_quantiles(df, cols, [0.25, 0.5, 0.75], approx, prefix="__p_")
     j = with_constants(df, st)
     iqr = lambda i: F.col(f"__p_{i}")[2] - F.col(f"__p_{i}")[0]
     rep = {c: (F.col(q(c)) - F.col(f"__p_{i}")[1]) / F.when(iqr(i) == 0, 1.0).otherwise(iqr(i))

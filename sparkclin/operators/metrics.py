@@ -217,7 +217,7 @@ def bootstrap_ci(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred",
     """
     cm = confusion_matrix(df, y_true, y_pred)
     spark = df.sparkSession
-    reps = spark.range(n_boot).repartition(max(1, min(n_boot // 100, 64)))
+    reps = spark.range(n_boot).repartition(max(1, n_boot // 100))
     j = reps.crossJoin(F.broadcast(cm))
 
     def draw(it):

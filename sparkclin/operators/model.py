@@ -244,46 +244,84 @@ def explain_linear(df: DataFrame, coef: dict[str, float], means: DataFrame | Non
                        .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
     decorated = F.transform(F.slice(arr, 1, 10), lambda x: F.struct(
         x["feature"].alias("feature"), x["contribution"].alias("contribution"),
-        F.when(x["contribution"] > 0, "increases risk").otherwise("decreases risk").alias("direction"),
-        F.when(F.abs(x["contribution"]) > 0.1, "high").when(F.abs(x["contribution"]) > 0.05, "medium")
-        .otherwise("low").alias("impact"), F.abs(x["contribution"]).alias("magnitude")))
+        F.when(x["contribution"] > 0, "positive").otherwise("negative").alias("direction"),
+        F.when(x["contribution"] > 0, "increases").otherwise("decreases").alias("impact"),
+        F.abs(x["contribution"]).alias("magnitude")))
     keep = id_cols or []
     return j.select(*keep, *[F.col(q(c)) for c in cols if c not in keep], decorated.alias("contributing_factors"),
                     F.transform(F.slice(arr, 1, 5), lambda x: x["feature"]).alias("top_factors"))
 
 
-def global_importance(explained: DataFrame, k: int = 10) -> DataFrame:
-    """Mean |contribution| per feature over the rows, ranked (top-k report)."""
-    e = explained.select(F.explode("contributing_factors").alias("f")).select("f.feature", "f.magnitude")
-    return (e.groupBy("feature").agg(F.avg("magnitude").alias("mean_abs_contribution"))
-            .orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(k))
+def global_importance(df: DataFrame, coef: dict[str, float], means: DataFrame | None = None,
+                      k: int = 10) -> DataFrame:
+    """Mean |wᵢ(xᵢ − mean xᵢ)| over all rows for every feature, then the top ``k`` (a report).
+
+    One aggregate over the table; features are ranked only after their means are complete.
+    """
+    cols = list(coef)
+    if means is None:
+        means = df.agg(*[F.avg(q(c)).alias(c) for c in cols])
+    m = means.select(*[F.col(q(c)).alias(f"__m_{i}") for i, c in enumerate(cols)])
+    one = with_constants(df, m).agg(*[
+        F.avg(F.abs(F.lit(float(coef[c])) * (F.col(q(c)).cast("double") - F.col(f"__m_{i}")))).alias(f"__g_{i}")
+        for i, c in enumerate(cols)])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__g_{i}").alias(
+        "mean_abs_contribution")) for i, c in enumerate(cols)])).alias("g")).select("g.*")
+    return rows.orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(k)
+
+
+# Clinical findings (column, limit, sentence with the value at a number of decimals).
+FINDINGS = [
+    ("glucose", 126, "Glucose (%s mg/dL) is elevated (>126 mg/dL)", 1),
+    ("bmi", 30, "BMI (%s) indicates obesity", 1),
+    ("age", 60, "Age (%s years) is a significant risk factor", 0),
+    ("blood_pressure", 90, "Blood pressure (%s) is elevated", 1),
+    ("cholesterol", 240, "Cholesterol (%s mg/dL) is high", 1),
+]
+
+# Clinical notes per feature, and the note of any other feature.
+CLINICAL_NOTES = {
+    "glucose": "Glucose level - Normal: 70-100 mg/dL, Diabetic: >126 mg/dL",
+    "bmi": "BMI - Normal: 18.5-24.9, Overweight: 25-29.9, Obese: ≥30",
+    "age": "Age - Risk increases significantly after age 45",
+    "blood_pressure": "Blood Pressure - Normal: <120/80 mmHg, Hypertensive: ≥140/90",
+    "cholesterol": "Cholesterol - Desirable: <200 mg/dL, High: ≥240",
+    "pregnancies": "Pregnancies - Higher parity associated with increased risk",
+    "insulin": "Insulin - 2-Hour serum insulin, Normal: <25 mu U/ml",
+    "skin_thickness": "Skin Thickness - Triceps skin fold thickness",
+    "diabetes_pedigree": "Diabetes Pedigree - Family history score",
+    "thalach": "Max Heart Rate - Lower max heart rate indicates higher risk",
+    "exang": "Exercise Angina - Presence indicates higher risk",
+    "oldpeak": "ST Depression - Higher values indicate higher risk",
+}
+DEFAULT_NOTE = "Clinical significance of %s should be evaluated"
 
 
 def explanation_text(explained: DataFrame) -> DataFrame:
-    """Sentence from the top-5 factors (>0.05 risk, <−0.05 protective) plus clinical findings."""
+    """The top-5 factors above 0.05 (risk) and below −0.05 (protective), then the findings with their values."""
     top5 = F.slice("contributing_factors", 1, 5)
     risk = F.transform(F.filter(top5, lambda x: x["contribution"] > 0.05), lambda x: x["feature"])
     prot = F.transform(F.filter(top5, lambda x: x["contribution"] < -0.05), lambda x: x["feature"])
-    c = set(explained.columns)
-    findings = F.filter(F.array(
-        F.when(F.col("glucose") > 126, F.lit("elevated glucose")) if "glucose" in c else F.lit(None),
-        F.when(F.col("bmi") > 30, F.lit("obesity (BMI > 30)")) if "bmi" in c else F.lit(None),
-        F.when(F.col("age") > 60, F.lit("advanced age")) if "age" in c else F.lit(None),
-        F.when(F.col("blood_pressure") > 90, F.lit("high blood pressure")) if "blood_pressure" in c else F.lit(None),
-        F.when(F.col("chol") > 240, F.lit("high cholesterol")) if "chol" in c else F.lit(None)).cast("array<string>"),
-        lambda x: x.isNotNull())
-    text = F.concat_ws(" ",
-                       F.when(F.size(risk) > 0, F.concat(F.lit("Key risk factors: "), F.array_join(risk, ", "), F.lit("."))),
-                       F.when(F.size(prot) > 0, F.concat(F.lit("Protective factors: "), F.array_join(prot, ", "), F.lit("."))),
-                       F.when(F.size(findings) > 0, F.concat(F.lit("Clinical findings: "), F.array_join(findings, ", "), F.lit("."))))
+    have = set(explained.columns)
+    found = [F.when(F.col(c) > limit, F.format_string(text, F.format_string(f"%.{n}f", F.col(c).cast("double"))))
+             for c, limit, text, n in FINDINGS if c in have]
+    findings = F.filter(F.array(*found).cast("array<string>"), lambda x: x.isNotNull())
+    text = F.concat(
+        F.when(F.size(risk) > 0, F.concat(F.lit("Risk is primarily driven by: "), F.array_join(risk, ", "), F.lit(". ")))
+        .otherwise(F.lit("No significant risk factors identified. ")),
+        F.when(F.size(prot) > 0, F.concat(F.lit("Protective factors include: "), F.array_join(prot, ", "), F.lit(". ")))
+        .otherwise(F.lit("")),
+        F.when(F.size(findings) > 0, F.concat(F.lit("Clinically relevant findings: "), F.array_join(findings, ". ")))
+        .otherwise(F.lit("")))
     return explained.withColumn("clinical_explanation", text)
 
 
-def clinical_notes(features: DataFrame, notes: DataFrame, feature_col: str = "feature",
-                   default: str = "This factor contributes to the overall risk assessment.") -> DataFrame:
-    """Feature → note lookup (small broadcast table) with a default sentence."""
-    return (features.join(F.broadcast(notes.select(feature_col, "note")), feature_col, "left")
-            .withColumn("note", F.coalesce(F.col("note"), F.lit(default))))
+def clinical_notes(features: DataFrame, feature_col: str = "feature", notes: dict[str, str] | None = None) -> DataFrame:
+    """Feature → note, or the default sentence with the feature's name (a literal lookup, no join)."""
+    notes = CLINICAL_NOTES if notes is None else notes
+    table = F.create_map(*[F.lit(x) for kv in notes.items() for x in kv]) if notes else F.create_map()
+    return features.withColumn("note", F.coalesce(F.try_element_at(table, F.col(feature_col)),
+                                                  F.format_string(DEFAULT_NOTE, F.col(feature_col))))
 
 
 def explain_sampled(model, df: DataFrame, background: DataFrame, feature_cols: list[str], key: str,
@@ -322,7 +360,3 @@ def explain_sampled(model, df: DataFrame, background: DataFrame, feature_cols: l
     diff = prob(after).join(prob(before).withColumnRenamed("p", "p0"), [key, "perm", "step", "feat", "__bgid"])
     names = F.element_at(F.array(*[F.lit(c) for c in feature_cols]), F.col("feat") + 1)
     return diff.groupBy(key, names.alias("feature")).agg(F.avg(F.col("p") - F.col("p0")).alias("contribution"))
-
-
-def safe_ratio(a: Column, b: Column) -> Column:
-    return safe_div(a, b)

@@ -31,6 +31,11 @@ def _event_ts(df: DataFrame, c: str = "ts") -> Column:
     return F.col(c) if dict(df.dtypes).get(c) == "timestamp" else F.col(c).cast("timestamp")
 
 
+def _seconds(window: Column) -> Column:
+    """Length of a window struct in seconds."""
+    return (F.unix_micros(window["end"]) - F.unix_micros(window["start"])) / 1e6
+
+
 def canary_guard(log: DataFrame, track: str = "track", latency_ms: str = "latency_ms", status: str = "status",
                  window: str = "5 minutes", canary: str = "canary", baseline: str = "production",
                  max_error_rate: float = 0.05, max_p95_s: float = 2.0, min_rate: float = 5.0,
@@ -40,19 +45,19 @@ def canary_guard(log: DataFrame, track: str = "track", latency_ms: str = "latenc
     Canary and baseline rows of the same window are paired by a join on the
     window (a small table: windows × 2 tracks).
     """
-    secs = {"5 minutes": 300.0}.get(window, 300.0)
     g = log.groupBy(F.window(_ts(), window).alias("w"), track).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(status) >= 400).cast("double")).alias("error_rate"),
         F.expr(f"percentile_approx({latency_ms}, 0.95, 10000)" if approx else f"percentile({latency_ms}, 0.95)")
         .alias("p95_ms"))
-    c = g.where(F.col(track) == canary).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("canary_n"),
+    g = g.withColumn("__s", _seconds(F.col("w")))
+    c = g.where(F.col(track) == canary).select("__s", F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("canary_n"),
                                                F.col("error_rate").alias("canary_error_rate"), F.col("p95_ms").alias("canary_p95_ms"))
     b = g.where(F.col(track) == baseline).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("baseline_n"),
                                                  F.col("error_rate").alias("baseline_error_rate"))
     j = c.join(b, "window_start", "left")
-    return j.select("*", (F.col("canary_error_rate") > max_error_rate).alias("error_rate_alert"),
+    return j.select(*[x for x in j.columns if x != "__s"], (F.col("canary_error_rate") > max_error_rate).alias("error_rate_alert"),
                     (F.col("canary_p95_ms") / 1000.0 > max_p95_s).alias("latency_alert"),
-                    (F.col("canary_n") / secs < min_rate).alias("low_traffic_alert"),
+                    (F.col("canary_n") / F.col("__s") < min_rate).alias("low_traffic_alert"),
                     (F.col("canary_error_rate") - F.coalesce(F.col("baseline_error_rate"), F.lit(0.0)) > max_error_rate)
                     .alias("regression_alert"))
 
@@ -100,62 +105,76 @@ def metric_range(log: DataFrame, minutes: int, as_of: Column | None = None, endp
 # ------------------------------------------------------------------ H34 alert rules with cooldown
 # Default alert rules (name, SQL condition, severity, channels, cooldown seconds).
 DEFAULT_ALERT_RULES = [
+    ("high_cpu_usage", "cpu_percent > 80", "high", ["slack", "email"], 300),
+    ("high_memory_usage", "memory_percent > 85", "high", ["slack", "email"], 300),
+    ("disk_usage_high", "disk_percent > 90", "medium", ["slack"], 300),
+    ("model_performance_drop", "recall_drop > 0.1", "critical", ["slack", "pagerduty"], 300),
     ("high_error_rate", "error_rate > 0.05", "critical", ["slack", "email"], 300),
-    ("high_latency", "p95_latency_ms > 1000", "warning", ["slack"], 300),
-    ("low_recall", "recall < 0.7", "critical", ["slack", "email", "pagerduty"], 300),
-    ("data_drift", "drift_score > 0.2", "warning", ["slack"], 300),
-    ("high_cpu", "cpu_percent > 80", "warning", ["slack"], 300),
-    ("high_memory", "memory_percent > 85", "warning", ["slack"], 300),
-    ("model_unavailable", "model_available = false", "critical", ["slack", "pagerduty"], 300),
-    ("high_fallback_rate", "fallback_rate > 0.1", "warning", ["slack"], 300),
-    ("low_throughput", "throughput < 5", "info", ["slack"], 300),
+    ("high_latency", "p95_latency_ms > 1000", "medium", ["slack"], 300),
+    ("data_drift_detected", "drift_detected", "high", ["slack", "email"], 300),
+    ("model_drift_detected", "model_drift_detected", "critical", ["slack", "pagerduty"], 300),
+    ("fairness_violation", "size(fairness_violations) > 0", "high", ["slack", "email"], 300),
 ]
+# Metrics the default rules read, with their types: one that a table lacks is NULL there and fires nothing.
+METRIC_TYPES = {
+    "cpu_percent": "double", "memory_percent": "double", "disk_percent": "double", "recall_drop": "double",
+    "error_rate": "double", "p95_latency_ms": "double", "drift_detected": "boolean",
+    "model_drift_detected": "boolean", "fairness_violations": "array<string>",
+}
 
 
 def alert_candidates(metrics: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts", id_col: str = "sample_id") -> DataFrame:
-    """Rule predicates compiled as columns, unpivoted to (rule, ts, id) rows where they hold."""
+    """Rule predicates compiled as columns, unpivoted to (rule, ts, id) rows where they hold.
+
+    Every rule is evaluated. A known metric (``METRIC_TYPES``) that the table
+    lacks is NULL; a rule over any other absent column is an analysis error.
+    """
     have = set(metrics.columns)
-    items = []
-    for name, cond, sev, ch, cd in rules:
-        cols = [t for t in ("error_rate", "p95_latency_ms", "recall", "drift_score", "cpu_percent", "memory_percent",
-                            "model_available", "fallback_rate", "throughput") if t in cond]
-        if not all(c in have for c in cols):
-            continue
-        items.append(F.when(F.expr(f"coalesce({cond}, false)"), F.struct(
-            F.lit(name).alias("rule_name"), F.lit(sev).alias("severity"), F.lit(cd).alias("cooldown_s"))))
-    x = metrics.select(ts, id_col, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("r"))
+    full = metrics.select("*", *[F.lit(None).cast(t).alias(c) for c, t in METRIC_TYPES.items() if c not in have])
+    items = [F.when(F.expr(f"coalesce({cond}, false)"), F.struct(
+        F.lit(name).alias("rule_name"), F.lit(sev).alias("severity"), F.lit(cd).alias("cooldown_s")))
+        for name, cond, sev, _, cd in rules]
+    x = full.select(ts, id_col, F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("r"))
     return x.select(ts, id_col, "r.*")
 
 
-def _cooldown_scan(pdf):
-    import pandas as pd
-    pdf = pdf.sort_values(["__t", "__id"])
-    last = None
-    keep = []
-    for t, cd in zip(pdf["__t"], pdf["cooldown_s"]):
-        fire = last is None or (t - last) >= cd
-        keep.append(fire)
+def _fire_scan(pdf):
+    """One segment in (time, id) order: a row fires when the last firing is at least ``__cd`` seconds back."""
+    pdf = pdf.sort_values(["__t", "__id"], kind="stable")
+    last, fires = None, []
+    for t, cd in zip(pdf["__t"], pdf["__cd"]):
+        fire = last is None or t - last >= cd
+        fires.append(fire)
         if fire:
             last = t
-    out = pdf[pd.Series(keep, index=pdf.index)]
-    return out.drop(columns=["__t", "__id"])
+    return pdf.assign(fires=fires).drop(columns=["__t", "__id", "__cd", "__seg", "__cut"])
 
 
-def evaluate_alert_rules(metrics: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts",
-                         id_col: str = "sample_id") -> DataFrame:
-    """A rule fires when its condition holds and ≥ cooldown seconds passed since it last fired.
+def fire_with_cooldown(df: DataFrame, key: list[str], ts: str, id_col: str, cooldown_s: Column) -> DataFrame:
+    """``df`` plus ``fires``: per key in (ts, id) order, true when ``cooldown_s`` has passed since the last firing.
 
-    The cooldown depends on the previous *firing*, so it is an ordered scan
-    per rule: ``applyInPandas`` grouped by rule, sorted by (ts, id) inside.
+    A row that comes at least a cooldown after its predecessor fires whatever
+    went before, so keys are cut at such gaps and each segment is scanned on
+    its own: a hot key spreads over its segments.
     """
+    w = Window.partitionBy(*key).orderBy("__t", "__id")
+    x = df.select("*", (F.unix_micros(_ts(ts)) / 1e6).alias("__t"), F.col(id_col).alias("__id"),
+                  cooldown_s.cast("double").alias("__cd"))
+    x = x.withColumn("__cut", F.coalesce(F.col("__t") - F.lag("__t").over(w) >= F.col("__cd"), F.lit(True)))
+    x = x.withColumn("__seg", F.sum(F.col("__cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["fires boolean"])
+    return x.groupBy(*key, "__seg").applyInPandas(_fire_scan, schema)
+
+
+def evaluate_alert_rules(metrics: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts",
+                         id_col: str = "sample_id") -> DataFrame:
+    """A rule fires when its condition holds and ≥ cooldown seconds passed since it last fired."""
     c = alert_candidates(metrics, rules, ts, id_col)
-    c = c.withColumn("__t", F.unix_micros(_ts(ts)) / 1e6).withColumn("__id", F.col(id_col))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in c.drop("__t", "__id").schema.fields])
-    return c.groupBy("rule_name").applyInPandas(_cooldown_scan, schema)
+    return fire_with_cooldown(c, ["rule_name"], ts, id_col, F.col("cooldown_s")).where("fires").drop("fires")
 
 
-def alert_routing(alerts: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts") -> DataFrame:
-    """One row per (alert, channel) with message text and a per-day dedup key."""
+def alert_routing(alerts: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts", id_col: str = "sample_id") -> DataFrame:
+    """One row per (alert, channel) with message text and a per-day dedup key: the earliest (ts, id) of a key."""
     spark = alerts.sparkSession
     rt = spark.createDataFrame([(n, ch) for n, _, _, ch, _ in rules], "rule_name string, channels array<string>")
     j = alerts.join(F.broadcast(rt), "rule_name")
@@ -164,7 +183,9 @@ def alert_routing(alerts: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts")
                                                     F.col("rule_name"), F.col(ts).cast("string")))
     out = out.withColumn("dedup_key", F.concat_ws("_", F.col("rule_name"), F.date_format(_ts(ts), "yyyyMMdd"),
                                                   F.col("channel")))
-    return out.dropDuplicates(["dedup_key"])
+    rest = [c for c in out.columns if c != "dedup_key"]
+    first = out.groupBy("dedup_key").agg(F.min_by(F.struct(*rest), F.struct(F.col(ts), F.col(id_col))).alias("a"))
+    return first.select("a.*", "dedup_key")
 
 
 def alert_history_stats(alerts: DataFrame, as_of: Column, days: int = 7, severity: str | None = None,
@@ -206,13 +227,13 @@ def latency_histogram(log: DataFrame, latency_s: Column, buckets=LATENCY_BUCKETS
 
 
 def rate_over_window(log: DataFrame, window: str = "5 minutes", slide: str = "1 minute", labels=None,
-                     seconds: float = 300.0, status: str = "status", alert: float = 0.05) -> DataFrame:
+                     status: str = "status", alert: float = 0.05) -> DataFrame:
     """Events per second over sliding windows per label; error ratio and its alert."""
     g = log.groupBy(F.window(_event_ts(log), window, slide).alias("w"), *(labels or [])).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(status) >= 400).alias("errors"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), *(labels or []), "n",
-                    (F.col("n") / seconds).alias("rate"), (F.col("errors") / F.col("n")).alias("error_ratio"),
+                    (F.col("n") / _seconds(F.col("w"))).alias("rate"), (F.col("errors") / F.col("n")).alias("error_ratio"),
                     (F.col("errors") / F.col("n") > alert).alias("alert"))
 
 
@@ -244,19 +265,53 @@ def sustained_condition(df: DataFrame, key: list[str], ts: str, cond: Column, mi
     return isl.select(*key, "start", "end", "n", dur.alias("duration_s"), (dur >= min_seconds).alias("alert"))
 
 
-def ema_latency(log: DataFrame, key: list[str], order: list[str], latency_ms: str = "latency_ms",
-                alpha: float = 0.1, horizon: int = 400) -> DataFrame:
-    """Avg ← (1 − α)·avg + α·x starting at 0, per key in (ts, id) order.
+EMA_CHUNK = 4096  # rows of a key that are folded in one go
+
 
-    The recurrence is folded (``aggregate``) over the last ``horizon``
-    values: terms older than that carry weight (1 − α)^horizon (< 1e−18 for
-    α = 0.1), below double precision, so the result equals the full
-    recurrence while each row's work stays bounded however long the key is.
+def ema_latency(log: DataFrame, key: list[str], order: list[str], latency_ms: str = "latency_ms",
+                alpha: float = 0.1, chunk: int = EMA_CHUNK) -> DataFrame:
+    """Avg ← (1 − α)·avg + α·x starting at 0, per key in (ts, id) order, over the whole history.
+
+    The recurrence is an associative scan. Positions per key come from
+    distributed prefix sums over the event time; ``chunk`` consecutive rows
+    are folded from 0 in one bounded group; the chunks of a key (their row
+    count and folded value) are combined in order; and each row adds its
+    chunk's incoming average, decayed by its place in the chunk.
     """
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(horizon - 1), 0)
-    lst = F.collect_list(F.col(latency_ms).cast("double")).over(w)
-    ema = F.aggregate(lst, F.lit(0.0), lambda acc, v: acc * (1 - alpha) + v * alpha)
-    return log.select("*", ema.alias("ema_latency_ms"))
+    from sparkclin.functions.exprs import cumulative_sums
+    import pandas as pd
+    t = F.unix_micros(_event_ts(log, order[0])).cast("double").alias("__t")
+    base = log.select("*", F.col(latency_ms).cast("double").alias("__x"), t)
+    cnt = base.groupBy(*key, "__t").agg(F.count(F.lit(1)).alias("__c"))
+    cum = cumulative_sums(cnt, "__t", ["__c"], key).select(*key, "__t", (F.col("cum___c") - F.col("__c")).alias("__before"))
+    rn = F.row_number().over(Window.partitionBy(*key, "__t").orderBy(*order[1:] or order))
+    pos = base.join(cum, key + ["__t"]).withColumn("__i", (F.col("__before") + rn - 1).cast("long"))
+    pos = pos.withColumn("__chunk", F.floor(F.col("__i") / chunk).cast("long")).drop("__t", "__before")
+
+    def fold(pdf):
+        pdf = pdf.sort_values("__i")
+        first = pd.Series([0.0]).astype(float)  # the average before the first row
+        local = pd.concat([first, pdf["__x"]], ignore_index=True).ewm(alpha=alpha, adjust=False).mean().iloc[1:]
+        return pdf.assign(__local=local.to_numpy())
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pos.schema.fields] + ["`__local` double"])
+    local = pos.groupBy(*key, "__chunk").applyInPandas(fold, schema)
+    ends = local.groupBy(*key, "__chunk").agg(F.max_by("__local", "__i").alias("__s"), F.count(F.lit(1)).alias("__n"))
+
+    def carry(pdf):
+        pdf = pdf.sort_values("__chunk")
+        out, state = [], 0.0
+        for s, n in zip(pdf["__s"], pdf["__n"]):
+            out.append(state)
+            state = state * (1 - alpha) ** n + s
+        return pdf.assign(__in=out).drop(columns=["__s", "__n"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pos.schema.fields}
+    carried = ends.groupBy(*key).applyInPandas(
+        carry, ", ".join([f"`{k}` {kinds[k]}" for k in key] + ["`__chunk` long", "`__in` double"]))
+    place = F.col("__i") - F.col("__chunk") * chunk + 1
+    ema = F.col("__local") + F.col("__in") * F.pow(F.lit(1.0 - alpha), place)
+    return local.join(carried, key + ["__chunk"]).select(*log.columns, ema.alias("ema_latency_ms"))
 
 
 def rolling_latency_quantiles(log: DataFrame, key: list[str], order: list[str], latency_ms: str = "latency_ms",
@@ -385,13 +440,14 @@ def request_key(cols: list[str]) -> Column:
 
 def dedupe_requests(log: DataFrame, cols: list[str], ts: str = "ts", id_col: str = "event_id",
                     ttl_s: float = 300.0) -> DataFrame:
-    """A request is a cache hit when an identical request came less than ``ttl_s`` before it
-    (per key: the gap to the previous identical request; window partitioned by the key)."""
-    k = request_key(cols)
-    x = log.withColumn("request_key", k)
-    w = Window.partitionBy("request_key").orderBy(_ts(ts), id_col)
-    gap = F.unix_micros(_ts(ts)) / 1e6 - F.unix_micros(F.lag(_ts(ts)).over(w)) / 1e6
-    return x.withColumn("cache_hit", F.coalesce(gap < ttl_s, F.lit(False)))
+    """A miss stores the result for ``ttl_s`` seconds; identical requests until then are hits.
+
+    Only a miss sets the lifetime, so a miss is a firing with the lifetime as
+    its cooldown.
+    """
+    x = log.withColumn("request_key", request_key(cols))
+    x = fire_with_cooldown(x, ["request_key"], ts, id_col, F.lit(ttl_s))
+    return x.withColumn("cache_hit", ~F.col("fires")).drop("fires")
 
 
 def audit_log_page(log: DataFrame, page: int = 1, page_size: int = 50, user: int | None = None,

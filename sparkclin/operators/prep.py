@@ -20,7 +20,7 @@ def impute_fit(df: DataFrame, cols: list[str], strategy: str = "median", approx:
     if strategy == "mean":
         return df.agg(*[F.avg(q(c)).alias(c) for c in cols])
     if strategy == "median":
-        qs = column_quantiles(df, cols, [0.5], "approx" if approx else "auto")
+        qs = column_quantiles(df, cols, [0.5], approx)
         return qs.select(*[F.col(f"__q_{i}")[0].alias(c) for i, c in enumerate(cols)])
     if strategy == "most_frequent":
         # Most frequent value, smallest value on ties; one small group-by per column.

@@ -26,11 +26,10 @@ PII_PATTERNS = [
 # A literal each pattern cannot match without (case-sensitive, like the patterns): the regex only
 # runs on texts that contain it.
 PII_GATES = {"email": "@", "ssn": "-", "id": "ID-", "medical_record": "MRN-"}
-# Field names masked wherever they occur; secret keys; hashing salt.
+# Field names masked wherever they occur (any case); secret keys.
 SENSITIVE_FIELDS = ["patient_id", "patient_name", "ssn", "address", "email", "phone", "medical_record_number",
                     "date_of_birth", "zip_code", "full_name"]
 SECRET_KEYS = ["Authorization", "access_token", "password"]
-DEFAULT_SALT = "CDSS_LOG_SALT_2024"
 
 
 def _let(c: Column, fn) -> Column:
@@ -38,7 +37,7 @@ def _let(c: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(c), fn), 1)
 
 
-def hash_pii(text: Column, salt: str = DEFAULT_SALT, patterns=PII_PATTERNS) -> Column:
+def hash_pii(text: Column, salt: str, patterns=PII_PATTERNS) -> Column:
     """For each pattern in order, every distinct match → [TYPE_<8 hex of sha256(match+salt)>].
 
     Column form (for nested values); each step's input is bound once, so the
@@ -92,7 +91,7 @@ def _chain(df: DataFrame, col: str, steps, out_col: str | None) -> DataFrame:
     return x.withColumn(out_col or col, F.col(tmp)).drop(tmp)
 
 
-def hash_pii_df(df: DataFrame, col: str, out_col: str | None = None, salt: str = DEFAULT_SALT,
+def hash_pii_df(df: DataFrame, col: str, salt: str, out_col: str | None = None,
                 patterns=PII_PATTERNS) -> DataFrame:
     """C12 on a table column, one projection per pattern (gated by a required literal)."""
     return _chain(df, col, [_hash_step(n, p, salt, patterns is PII_PATTERNS) for n, p in patterns], out_col)
@@ -119,11 +118,15 @@ def mask_value(col: Column, dtype: T.DataType) -> Column:
 def mask_sensitive_fields(df: DataFrame, fields=SENSITIVE_FIELDS) -> DataFrame:
     """C14 on top-level columns named in the list."""
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    return df.select(*[mask_value(F.col(q(c)), types[c]).alias(c) if c in fields else F.col(q(c)) for c in df.columns])
+    names = {f.lower() for f in fields}
+    return df.select(*[mask_value(F.col(q(c)), types[c]).alias(c) if c.lower() in names else F.col(q(c))
+                       for c in df.columns])
 
 
 def _sanitize_expr(col: Column, dtype: T.DataType, name: str | None, fields, salt) -> Column:
-    if name is not None and name in fields and not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+    if name is not None and name.lower() in fields:
+        if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+            return F.when(col.isNotNull(), F.lit("****"))
         return mask_value(col, dtype)
     if isinstance(dtype, T.StringType):
         return hash_pii(col, salt)
@@ -135,14 +138,22 @@ def _sanitize_expr(col: Column, dtype: T.DataType, name: str | None, fields, sal
     if isinstance(dtype, T.MapType):
         vt = dtype.valueType
         if isinstance(vt, T.StringType):
-            return F.transform_values(col, lambda k, v: F.when(k.isin(*fields), mask_value(v, vt)).otherwise(hash_pii(v, salt)))
-        return F.transform_values(col, lambda k, v: _sanitize_expr(v, vt, None, fields, salt))
+            return F.transform_values(
+                col, lambda k, v: F.when(F.lower(k).isin(*fields), mask_value(v, vt)).otherwise(hash_pii(v, salt)))
+        # A map holds one value type, so a sensitive key's nested value becomes null and a number stays a string.
+        nested = isinstance(vt, (T.StructType, T.ArrayType, T.MapType))
+        if nested:
+            return F.transform_values(col, lambda k, v: F.when(
+                ~F.lower(k).isin(*fields), _sanitize_expr(v, vt, None, fields, salt)))
+        return F.transform_values(col, lambda k, v: F.when(F.lower(k).isin(*fields), mask_value(v, vt))
+                                  .otherwise(v.cast("string")))
     return col
 
 
-def sanitize_nested(df: DataFrame, fields=SENSITIVE_FIELDS, salt: str = DEFAULT_SALT) -> DataFrame:
-    """Walk the schema; mask sensitive field names, hash PII inside every string,
-    recursing through structs, arrays and maps."""
+def sanitize_nested(df: DataFrame, salt: str, fields=SENSITIVE_FIELDS) -> DataFrame:
+    """Walk the schema; mask sensitive field names (any case; a struct, array or map becomes ****), hash PII
+    inside every string, recursing through structs, arrays and maps."""
+    fields = {f.lower() for f in fields}
     return df.select(*[_sanitize_expr(F.col(q(f.name)), f.dataType, f.name, fields, salt).alias(f.name)
                        for f in df.schema.fields])
 

@@ -90,7 +90,7 @@ def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
     for very wide or huge inputs), joined back as a one-row broadcast.
     """
     cols = cols or numeric_columns(df)
-    qs = column_quantiles(df, cols, [0.25, 0.75], "approx" if approx else "auto")
+    qs = column_quantiles(df, cols, [0.25, 0.75], approx)
     j = with_constants(df.select(*[F.col(q(c)) for c in cols]), qs)
     def lo(i): return F.col(f"__q_{i}")[0] - k * (F.col(f"__q_{i}")[1] - F.col(f"__q_{i}")[0])
     def hi(i): return F.col(f"__q_{i}")[1] + k * (F.col(f"__q_{i}")[1] - F.col(f"__q_{i}")[0])
@@ -124,7 +124,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, approx: bool
         aggs += [F.count(q(c)).alias(f"__c_{i}"), F.avg(q(c)).alias(f"__m_{i}"),
                  F.stddev_samp(q(c)).alias(f"__s_{i}"), F.min(q(c)).cast("double").alias(f"__lo_{i}"),
                  F.max(q(c)).cast("double").alias(f"__hi_{i}")]
-    one = df.agg(*aggs).crossJoin(column_quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "auto",
+    one = df.agg(*aggs).crossJoin(column_quantiles(df, cols, [0.25, 0.5, 0.75], approx,
                                                    prefix="__p_"))
     structs = [F.struct(F.lit(c).alias("col_name"), F.col(f"__c_{i}").alias("count"),
                         F.col(f"__m_{i}").alias("mean"), F.col(f"__s_{i}").alias("std"),
@@ -367,7 +367,7 @@ def quality_report(df: DataFrame, cols: list[str] | None = None, k: float = 1.5,
         aggs += [F.avg(x).alias(f"__m_{i}"), F.stddev_samp(x).alias(f"__s_{i}"), F.min(x).cast("double").alias(f"__lo_{i}"),
                  F.max(x).cast("double").alias(f"__hi_{i}")]
     aggs += [F.corr(F.col(q(a)).cast("double"), F.col(q(b)).cast("double")).alias(f"__r_{n}") for n, (a, b) in enumerate(pairs)]
-    prof = df.agg(*aggs).crossJoin(column_quantiles(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "auto",
+    prof = df.agg(*aggs).crossJoin(column_quantiles(df, cols, [0.25, 0.5, 0.75], approx,
                                                     prefix="__p_"))
 
     def row(section, col, metric, value):

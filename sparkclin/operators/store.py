@@ -3,7 +3,7 @@
 Feature values live in long form ``(entity_id, feature, value, ts,
 feature_group)``; "latest" is ``max_by`` per key (a partial aggregate, not
 a sort), and lookups for an id list are semi / left joins where the id list
-side is broadcast only behind a size check.
+side is left to the optimizer's own size threshold.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkclin.functions.exprs import broadcast_if_small
 
 
 def features_of_day(df: DataFrame, entity: str = "entity_id", group: str = "feature_group",
@@ -44,10 +43,10 @@ def feature_batch(latest: DataFrame, ids: DataFrame, names: list[str], entity: s
     """Wide features for an id list; requested names only, missing names → default.
 
     Offline drops entities without data (semi join); ``online=True`` keeps
-    every requested id (left join) with defaults. The id list is broadcast
+    every requested id (left join) with defaults. The id list is joined
     only when its estimated size is small; a data-sized list shuffles.
     """
-    idl = broadcast_if_small(ids.select(entity).distinct())
+    idl = ids.select(entity).distinct()
     vals = latest.where(F.col(feature).isin(*names))
     wide = vals.groupBy(entity).pivot(feature, names).agg(F.first("value"))
     base = idl.join(wide, entity, "left" if online else "inner")
@@ -81,8 +80,8 @@ def entity_group_registry(df: DataFrame, entity: str = "entity_id", group: str =
 def validate_feature_values(values: DataFrame, catalog: DataFrame, feature: str = "feature",
                             value: str = "value") -> DataFrame:
     """Each value against its catalog type: numerical (castable), categorical (any),
-    binary (0 or 1); unknown features fail. The catalog (metadata) is broadcast behind a size check."""
-    j = values.join(broadcast_if_small(catalog.select(feature, F.col("feature_type"))), feature, "left")
+    binary (0 or 1); unknown features fail. The catalog (metadata) is a plain join side."""
+    j = values.join(catalog.select(feature, F.col("feature_type")), feature, "left")
     v = F.col(value).cast("string")
     num = v.try_cast("double")
     ok = (F.when(F.col("feature_type").isNull(), F.lit(False))

@@ -82,7 +82,9 @@ def q_calibrate_temperature(spark, sf):
     return E.temperature_grid(scored(spark, sf), "y_prob", "y_true", _TEMPS)
 
 
-_EXPL_SRC = "SELECT * FROM patients_v WHERE glucose IS NOT NULL"
+# Missing features take the table's median (D17): every patient is explained.
+_EXPL_SRC = f"""SELECT patient_id, {', '.join(f'coalesce({c}, md_{c}) AS {c}' for c in COEF)}
+  FROM patients_v, (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS md_{c}' for c in COEF)} FROM patients_v) md"""
 _ARR = ", ".join(f"{{'k': -abs({_d(w)} * ({c} - m_{c})), 'f': '{c}', 'c': {_d(w)} * ({c} - m_{c})}}" for c, w in COEF.items())
 _EXPLAIN_SQL = f"""
 WITH src AS ({_EXPL_SRC}),
@@ -90,22 +92,28 @@ m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in COEF)} FROM src),
 a AS (SELECT patient_id, glucose, bmi, age, list_sort([{_ARR}]) AS arr FROM src, m)"""
 
 
+def _imputed(df, cols):
+    """Columns as doubles with nulls replaced by their medians."""
+    from sparkclin.operators import prep as P
+    return P.impute_simple(df, cols, "median")
+
+
 @register("explain_linear", dbl=["top_contribution"], sql=f"""
 {_EXPLAIN_SQL}
 SELECT patient_id, list_transform(arr[1:5], lambda x: x.f) AS top_factors, arr[1].c AS top_contribution FROM a""")
 def q_explain_linear(spark, sf):
-    p = patients(spark, sf).where("glucose IS NOT NULL").select("patient_id", *COEF)
+    p = _imputed(patients(spark, sf).select("patient_id", *COEF), list(COEF))
     x = E.explain_linear(p, COEF, id_cols=["patient_id"])
     return x.select("patient_id", "top_factors", F.col("contributing_factors")[0]["contribution"].alias("top_contribution"))
 
 
 @register("top_factors", dbl=["magnitude"], sql=f"""
 {_EXPLAIN_SQL}
-SELECT patient_id, arr[1].f AS feature, CASE WHEN arr[1].c > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction,
-       CASE WHEN abs(arr[1].c) > 0.1 THEN 'high' WHEN abs(arr[1].c) > 0.05 THEN 'medium' ELSE 'low' END AS impact,
+SELECT patient_id, arr[1].f AS feature, CASE WHEN arr[1].c > 0 THEN 'positive' ELSE 'negative' END AS direction,
+       CASE WHEN arr[1].c > 0 THEN 'increases' ELSE 'decreases' END AS impact,
        abs(arr[1].c) AS magnitude FROM a""")
 def q_top_factors(spark, sf):
-    p = patients(spark, sf).where("glucose IS NOT NULL").select("patient_id", *COEF)
+    p = _imputed(patients(spark, sf).select("patient_id", *COEF), list(COEF))
     x = E.explain_linear(p, COEF, id_cols=["patient_id"])
     f = F.col("contributing_factors")[0]
     return x.select("patient_id", f["feature"].alias("feature"), f["direction"].alias("direction"),
@@ -118,8 +126,8 @@ e AS (SELECT unnest(arr) AS x FROM a)
 SELECT x.f AS feature, avg(abs(x.c)) AS mean_abs_contribution FROM e GROUP BY x.f
 ORDER BY mean_abs_contribution DESC, feature LIMIT 10""")
 def q_global_importance(spark, sf):
-    p = patients(spark, sf).where("glucose IS NOT NULL").select("patient_id", *COEF)
-    return E.global_importance(E.explain_linear(p, COEF, id_cols=["patient_id"]))
+    p = _imputed(patients(spark, sf).select("patient_id", *COEF), list(COEF))
+    return E.global_importance(p, COEF)
 
 
 @register("explanation_text", sql=f"""
@@ -127,42 +135,40 @@ def q_global_importance(spark, sf):
 t AS (SELECT patient_id, glucose, bmi, age,
         list_transform(list_filter(arr[1:5], lambda x: x.c > 0.05), lambda x: x.f) AS risk,
         list_transform(list_filter(arr[1:5], lambda x: x.c < -0.05), lambda x: x.f) AS prot,
-        list_filter([CASE WHEN glucose > 126 THEN 'elevated glucose' END, CASE WHEN bmi > 30 THEN 'obesity (BMI > 30)' END,
-                     CASE WHEN age > 60 THEN 'advanced age' END], lambda x: x IS NOT NULL) AS fnd FROM a)
-SELECT patient_id, concat_ws(' ',
-   CASE WHEN len(risk) > 0 THEN 'Key risk factors: ' || array_to_string(risk, ', ') || '.' END,
-   CASE WHEN len(prot) > 0 THEN 'Protective factors: ' || array_to_string(prot, ', ') || '.' END,
-   CASE WHEN len(fnd) > 0 THEN 'Clinical findings: ' || array_to_string(fnd, ', ') || '.' END) AS clinical_explanation FROM t""")
+        list_filter([CASE WHEN glucose > 126 THEN format('Glucose ({{:.1f}} mg/dL) is elevated (>126 mg/dL)', CAST(glucose AS DOUBLE)) END,
+                     CASE WHEN bmi > 30 THEN format('BMI ({{:.1f}}) indicates obesity', CAST(bmi AS DOUBLE)) END,
+                     CASE WHEN age > 60 THEN format('Age ({{:.0f}} years) is a significant risk factor', CAST(age AS DOUBLE)) END],
+                    lambda x: x IS NOT NULL) AS fnd FROM a)
+SELECT patient_id, concat(
+   CASE WHEN len(risk) > 0 THEN 'Risk is primarily driven by: ' || array_to_string(risk, ', ') || '. '
+        ELSE 'No significant risk factors identified. ' END,
+   CASE WHEN len(prot) > 0 THEN 'Protective factors include: ' || array_to_string(prot, ', ') || '. ' ELSE '' END,
+   CASE WHEN len(fnd) > 0 THEN 'Clinically relevant findings: ' || array_to_string(fnd, '. ') ELSE '' END) AS clinical_explanation FROM t""")
 def q_explanation_text(spark, sf):
-    p = patients(spark, sf).where("glucose IS NOT NULL").select("patient_id", *COEF)
+    p = _imputed(patients(spark, sf).select("patient_id", *COEF), list(COEF))
     x = E.explain_linear(p, COEF, id_cols=["patient_id"])
     return E.explanation_text(x).select("patient_id", "clinical_explanation")
 
 
-# Clinical notes per feature.
-NOTES = [("glucose", "Blood glucose is a primary indicator of diabetes risk."),
-         ("bmi", "Body mass index reflects weight-related metabolic risk."),
-         ("age", "Risk increases with age.")]
+_NOTE_ROWS = ", ".join(f"('{f}', '{t}')" for f, t in E.CLINICAL_NOTES.items())
 
 
 @register("clinical_notes", dbl=["mean_abs_contribution"], sql=f"""
 {_EXPLAIN_SQL},
 e AS (SELECT unnest(arr) AS x FROM a),
 g AS (SELECT x.f AS feature, avg(abs(x.c)) AS mean_abs_contribution FROM e GROUP BY x.f ORDER BY mean_abs_contribution DESC, feature LIMIT 10),
-n AS (SELECT * FROM (VALUES {', '.join(f"('{f}', '{t}')" for f, t in NOTES[:2])}) v(feature, note))
-SELECT g.feature, g.mean_abs_contribution, coalesce(n.note, 'This factor contributes to the overall risk assessment.') AS note
+n AS (SELECT * FROM (VALUES {_NOTE_ROWS}) v(feature, note))
+SELECT g.feature, g.mean_abs_contribution, coalesce(n.note, 'Clinical significance of ' || g.feature || ' should be evaluated') AS note
 FROM g LEFT JOIN n USING (feature)""")
 def q_clinical_notes(spark, sf):
-    p = patients(spark, sf).where("glucose IS NOT NULL").select("patient_id", *COEF)
-    g = E.global_importance(E.explain_linear(p, COEF, id_cols=["patient_id"]))
-    notes = spark.createDataFrame(NOTES[:2], "feature string, note string")
-    return E.clinical_notes(g, notes)
+    p = _imputed(patients(spark, sf).select("patient_id", *COEF), list(COEF))
+    return E.clinical_notes(E.global_importance(p, COEF))
 
 
 # ------------------------------------------------------------- Spark ML fits (rows-only checks)
 def _train_frame(spark, sf):
     s = scored(spark, sf).select("patient_id", *FEATS, F.col("y_true").cast("double").alias("target"))
-    return s.na.drop(subset=FEATS)
+    return _imputed(s, FEATS)
 
 
 @register("train_logistic")
@@ -235,5 +241,5 @@ def q_calibrate_isotonic(spark, sf):
 def q_explain_sampled(spark, sf):
     d = _train_frame(spark, sf)
     m = E.train_logistic(d, ["glucose", "bmi", "age"])
-    bg = d.orderBy("patient_id").limit(10)
+    bg = d.orderBy(F.xxhash64("patient_id"), "patient_id").limit(10)  # seeded hash sample of the whole table
     return E.explain_sampled(m, d, bg, ["glucose", "bmi", "age"], "patient_id", n_perm=3)

@@ -75,16 +75,21 @@ def _minute_metrics(spark, sf):
 
 
 _MM = """
-WITH mm AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS ts, avg(CAST(status >= 400 AS DOUBLE)) AS error_rate,
-                   quantile_cont(latency_ms, 0.95) AS p95_latency_ms, count(*) / 60.0 AS throughput FROM reqlog_v GROUP BY 1),
+WITH RECURSIVE mm AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS ts, avg(CAST(status >= 400 AS DOUBLE)) AS error_rate,
+                   quantile_cont(latency_ms, 0.95) AS p95_latency_ms FROM reqlog_v GROUP BY 1),
 cand AS (SELECT ts, 'high_error_rate' AS rule_name, 'critical' AS severity FROM mm WHERE error_rate > 0.05
-         UNION ALL SELECT ts, 'high_latency', 'warning' FROM mm WHERE p95_latency_ms > 1000
-         UNION ALL SELECT ts, 'low_throughput', 'info' FROM mm WHERE throughput < 5)"""
+         UNION ALL SELECT ts, 'high_latency', 'medium' FROM mm WHERE p95_latency_ms > 1000)"""
 
 
-@register("evaluate_alert_rules")
+@register("evaluate_alert_rules", sql=_MM + """,
+later AS MATERIALIZED (SELECT a.rule_name, a.ts, b.ts AS next_ts FROM cand a ASOF LEFT JOIN cand b
+          ON a.rule_name = b.rule_name AND a.ts + INTERVAL 300 SECOND <= b.ts),
+fired AS (SELECT rule_name, min(ts) AS ts FROM cand GROUP BY rule_name
+          UNION ALL SELECT l.rule_name, l.next_ts FROM fired f JOIN later l ON f.rule_name = l.rule_name AND f.ts = l.ts
+          WHERE l.next_ts IS NOT NULL)
+SELECT f.rule_name, f.ts, c.severity FROM fired f JOIN cand c ON f.rule_name = c.rule_name AND f.ts = c.ts""")
 def q_evaluate_alert_rules(spark, sf):
-    return X.evaluate_alert_rules(_minute_metrics(spark, sf))
+    return X.evaluate_alert_rules(_minute_metrics(spark, sf)).select("rule_name", "ts", "severity")
 
 
 _CH = {n: ch for n, _, _, ch, _ in X.DEFAULT_ALERT_RULES}
@@ -93,10 +98,13 @@ _CH = {n: ch for n, _, _, ch, _ in X.DEFAULT_ALERT_RULES}
 @register("alert_routing", sql=_MM + """,
 rt AS (SELECT * FROM (VALUES """ + ", ".join(f"('{n}', {ch!r})".replace('"', "'") for n, ch in _CH.items()) + """) v(rule_name, channels)),
 x AS (SELECT cand.rule_name, cand.severity, cand.ts, unnest(rt.channels) AS channel FROM cand JOIN rt USING (rule_name))
-SELECT DISTINCT rule_name, severity, channel, concat_ws('_', rule_name, strftime(ts, '%Y%m%d'), channel) AS dedup_key FROM x""")
+SELECT rule_name, severity, channel, min(ts) AS ts,
+       '[' || upper(severity) || '] ' || rule_name || ' triggered at ' || strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS message,
+       concat_ws('_', rule_name, strftime(ts, '%Y%m%d'), channel) AS dedup_key
+FROM x GROUP BY rule_name, severity, channel, strftime(ts, '%Y%m%d')""")
 def q_alert_routing(spark, sf):
     c = X.alert_candidates(_minute_metrics(spark, sf))
-    return X.alert_routing(c).select("rule_name", "severity", "channel", "dedup_key")
+    return X.alert_routing(c).select("rule_name", "severity", "channel", "ts", "message", "dedup_key")
 
 
 @register("alert_history_stats", sql=_MM + """
@@ -104,8 +112,8 @@ SELECT severity, 'open' AS status, count(*) AS n FROM cand WHERE ts >= (SELECT m
 GROUP BY severity""")
 def q_alert_history_stats(spark, sf):
     c = X.alert_candidates(_minute_metrics(spark, sf)).withColumn("status", F.lit("open"))
-    mx = reqlog(spark, sf).agg(F.max("ts")).first()[0]
-    return X.alert_history_stats(c, F.lit(mx), days=7)
+    mx = reqlog(spark, sf).agg(F.max("ts").alias("newest"))  # one row
+    return X.alert_history_stats(c.crossJoin(F.broadcast(mx)), F.col("newest"), days=7)
 
 
 @register("request_counters", sql="SELECT endpoint, status, count(*) AS requests FROM reqlog_v GROUP BY endpoint, status")
@@ -164,7 +172,7 @@ def q_sustained_condition(spark, sf):
 
 @register("ema_latency", dbl=["ema_latency_ms"], sql="""
 SELECT event_id, list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(CAST(latency_ms AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id
-         ROWS BETWEEN 399 PRECEDING AND CURRENT ROW)), lambda acc, v: acc * (1 - 0.1) + v * 0.1) AS ema_latency_ms FROM reqlog_v""")
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), lambda acc, v: acc * (1 - 0.1) + v * 0.1) AS ema_latency_ms FROM reqlog_v""")
 def q_ema_latency(spark, sf):
     r = reqlog(spark, sf).select("event_id", "user_id", "ts", "latency_ms")
     return X.ema_latency(r, ["user_id"], ["ts", "event_id"]).select("event_id", "ema_latency_ms")
@@ -193,9 +201,13 @@ def q_outage_states(spark, sf):
 
 
 @register("dedupe_requests", sql="""
-WITH k AS (SELECT event_id, ts, md5(to_json({'endpoint': endpoint, 'user_id': user_id})) AS request_key FROM reqlog_v)
-SELECT event_id, request_key, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY request_key ORDER BY ts, event_id))) / 1e6 < 300, false) AS cache_hit
-FROM k""")
+WITH RECURSIVE k AS (SELECT event_id, ts, md5(to_json({'endpoint': endpoint, 'user_id': user_id})) AS request_key FROM reqlog_v),
+n AS (SELECT *, row_number() OVER (PARTITION BY request_key ORDER BY ts, event_id) AS i FROM k),
+g AS (SELECT request_key, ts, min(i) AS i FROM n GROUP BY request_key, ts),
+later AS MATERIALIZED (SELECT a.request_key, a.i, b.i AS next_i FROM g a ASOF JOIN g b ON a.request_key = b.request_key AND a.ts + INTERVAL 300 SECOND <= b.ts),
+miss AS (SELECT request_key, min(i) AS i FROM n GROUP BY request_key
+         UNION ALL SELECT l.request_key, l.next_i FROM miss m JOIN later l ON m.request_key = l.request_key AND m.i = l.i)
+SELECT n.event_id, n.request_key, m.i IS NULL AS cache_hit FROM n LEFT JOIN miss m ON n.request_key = m.request_key AND n.i = m.i""")
 def q_dedupe_requests(spark, sf):
     r = X.dedupe_requests(reqlog(spark, sf), ["endpoint", "user_id"])
     return r.select("event_id", "request_key", "cache_hit")

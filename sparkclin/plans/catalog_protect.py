@@ -190,10 +190,13 @@ def q_mahalanobis_outliers(spark, sf):
 
 
 # ---------------------------------------------------------------- privacy
+_SALT = "query salt"
+
+
 @register("hash_pii")
 def q_hash_pii(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return PV.hash_pii_df(d, "text")
+    return PV.hash_pii_df(d, "text", _SALT)
 
 
 @register("pii_counts", sql="SELECT doc_id, " + ", ".join(
@@ -287,8 +290,8 @@ _KEY2 = "fedcba9876543210fedcba9876543210"
 @register("encrypt_roundtrip", sql="SELECT count(*) AS n, count(*) AS n_equal FROM customer")
 def q_encrypt_roundtrip(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    enc = PV.encrypt_columns(c.withColumn("secret", F.col("c_name")), ["secret"], _KEY, aad="cdss")
-    dec = PV.decrypt_columns(enc, ["secret"], _KEY, aad="cdss")
+    enc = PV.encrypt_columns(c.withColumn("secret", F.col("c_name")), ["secret"], _KEY, aad="sparkclin")
+    dec = PV.decrypt_columns(enc, ["secret"], _KEY, aad="sparkclin")
     return dec.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("secret") == F.col("c_name")).alias("n_equal"))
 
 
@@ -308,4 +311,4 @@ def q_sanitize_nested(spark, sf):
                                             F.array(F.concat(F.col("c_name"), F.lit(" wrote to john.doe@example.com")))
                                             .alias("notes")).alias("patient"),
                       F.create_map(F.lit("email"), F.lit("a.b@example.com"), F.lit("city"), F.col("c_mktsegment")).alias("meta"))
-    return PV.sanitize_nested(nested)
+    return PV.sanitize_nested(nested, _SALT)

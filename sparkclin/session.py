@@ -46,7 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; that setting always
-    wins. Only when it is unset (local tests) do we create one under /tmp.
+    wins. Only when it is unset on a local master (tests) do we create one;
+    on a cluster a machine-local folder would be lost, so that is an error.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="sparkclin-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -120,6 +120,8 @@ def oracle_with(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{v} AS ({_VIEW_SQL[v]})" for v in _ORDER if v in needed)
     body = sql.strip()
+    if m := re.match(r"(?is)^with\s+recursive\s", body):
+        return f"WITH RECURSIVE {ctes}, {body[m.end():].lstrip()}"
     if re.match(r"(?is)^with\s", body):
         return f"WITH {ctes}, {body[4:].lstrip()}"
     return f"WITH {ctes} {body}"

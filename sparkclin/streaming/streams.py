@@ -27,11 +27,14 @@ from sparkclin.sources.io import quarantine_split
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet",
-                max_files: int = 1) -> DataFrame:
-    """A file source (parquet directory); ``max_files`` bounds each micro-batch."""
+                max_files: int | None = None) -> DataFrame:
+    """A file source (parquet directory); ``max_files`` bounds each micro-batch if given."""
     if schema is None:
         schema = spark.read.format(fmt).load(path).schema
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path)
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -39,6 +42,12 @@ def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("timestamp"))
 
 
+def replace_batch(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Write a micro-batch as the partition of its id: writing it again leaves one copy."""
+    (rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+
+
 # I1
 def stream_score(stream: DataFrame, fitted_medians: DataFrame, coef: dict, intercept: float,
                  numeric: list[str]) -> DataFrame:
@@ -51,11 +60,13 @@ def stream_score(stream: DataFrame, fitted_medians: DataFrame, coef: dict, inter
 # I2
 def stream_validate(stream: DataFrame, good_path: str, quarantine_path: str, checkpoint: str,
                     errors_col: str = "errors"):
-    """Good rows and quarantined rows to two tables per micro-batch (foreachBatch)."""
+    """Good rows and quarantined rows to two tables per micro-batch; a replayed batch replaces its own partition."""
     def write(batch: DataFrame, batch_id: int):
+        batch.persist()
         good, bad = quarantine_split(batch, errors_col)
-        good.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(good_path)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine_path)
+        replace_batch(good, batch_id, good_path)
+        replace_batch(bad, batch_id, quarantine_path)
+        batch.unpersist()
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
@@ -89,9 +100,9 @@ ALERT_OUT = T.StructType([T.StructField("rule_name", T.StringType()), T.StructFi
 def _alert_fn(key, pdfs, state):
     import pandas as pd
     last = state.get[0] if state.exists else None
-    rows = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["__t", "sample_id"])
+    rows, parts = [], list(pdfs)
+    if parts:  # a key's rows may come in several chunks: order holds across them
+        pdf = pd.concat(parts).sort_values(["__t", "sample_id"])
         for t, ts, sev, cd in zip(pdf["__t"], pdf["ts"], pdf["severity"], pdf["cooldown_s"]):
             if last is None or t - last >= cd:
                 rows.append((key[0], ts, sev))
@@ -181,17 +192,17 @@ def stream_drift_check(stream: DataFrame, reference: DataFrame, cols: list[str],
         cur = batch.select(*cols).withColumn("sample", F.lit("current"))
         ref = reference.select(*cols).withColumn("sample", F.lit("reference"))
         scores = feature_drift_scores(to_long(ref.unionByName(cur), cols), ks_score="statistic")
-        scores.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        replace_batch(scores, batch_id, out_path)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 # I10
 def stream_feature_upsert(stream: DataFrame, changes_path: str, checkpoint: str):
-    """Validated feature values appended per batch (newest per key within the batch); the
+    """Feature values per batch (newest per key within the batch; a replayed batch replaces itself); the
     latest-value table is ``latest_features`` over the change log (log-structured upsert)."""
     def run(batch: DataFrame, batch_id: int):
         latest = latest_features(batch, tiebreak="event_id" if "event_id" in batch.columns else None)
-        latest.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(changes_path)
+        replace_batch(latest, batch_id, changes_path)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 

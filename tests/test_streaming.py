@@ -125,3 +125,31 @@ def test_stream_score_and_drift(spark, sf):
     q2.awaitTermination(300)
     dr = spark.read.parquet(f"{d}/drift")
     assert dr.select("batch_id").distinct().count() >= 1 and set(r.feature for r in dr.collect()) == set(cols)
+
+
+def test_replayed_batch_leaves_one_copy(spark):
+    d = tempfile.mkdtemp(prefix="sparkclin-replay-")
+    S.replace_batch(spark.range(5), 0, f"{d}/t")
+    S.replace_batch(spark.range(5, 8), 1, f"{d}/t")
+    S.replace_batch(spark.range(5), 0, f"{d}/t")
+    assert sorted(r.id for r in spark.read.parquet(f"{d}/t").collect()) == list(range(8))
+
+
+def test_alert_order_across_chunks(spark):
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+
+        def update(self, v):
+            self.value = v
+
+        def setTimeoutDuration(self, _):
+            pass
+
+    def chunk(times):
+        return pd.DataFrame({"__t": times, "sample_id": range(len(times)), "ts": pd.to_datetime(times, unit="s"),
+                             "severity": "high", "cooldown_s": 300})
+
+    out = pd.concat(S._alert_fn(("r",), iter([chunk([900.0, 1000.0]), chunk([0.0, 400.0])]), State()))
+    assert [t.timestamp() for t in out["ts"]] == [0, 400, 900]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkclin.functions.exprs import cumulative_sums
 from sparkclin.operators import drift as H
 from sparkclin.operators import metrics as M
+from sparkclin.operators import model as E
 from sparkclin.operators import ops as X
 from sparkclin.operators import privacy as PV
 from sparkclin.operators import rules as G
@@ -68,7 +69,7 @@ def test_cumulative_sums_matches_window(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("g"), ((F.col("id") * 37) % 101).cast("double").alias("v"),
                                   F.lit(1).alias("c"))
     d = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
-    got = {(r.g, r.v): r.cum_c for r in cumulative_sums(d, "v", ["c"], ["g"], n_buckets=5, method="bucketed").collect()}
+    got = {(r.g, r.v): r.cum_c for r in cumulative_sums(d, "v", ["c"], ["g"], n_buckets=5).collect()}
     from pyspark.sql.window import Window
     w = Window.partitionBy("g").orderBy("v")
     exp = {(r.g, r.v): r.s for r in d.select("g", "v", F.sum("c").over(w).alias("s")).collect()}
@@ -128,8 +129,8 @@ def test_encrypt_roundtrip_and_masks(spark):
 def test_hash_pii_token(spark):
     import hashlib
     df = spark.createDataFrame([("mail me at jane@doe.io now",)], "t string")
-    out = df.select(PV.hash_pii(F.col("t")).alias("t")).first().t
-    h = hashlib.sha256(("jane@doe.io" + PV.DEFAULT_SALT).encode()).hexdigest()[:8]
+    out = df.select(PV.hash_pii(F.col("t"), "s1").alias("t")).first().t
+    h = hashlib.sha256(("jane@doe.io" + "s1").encode()).hexdigest()[:8]
     assert out == f"mail me at [EMAIL_{h}] now"
 
 
@@ -160,36 +161,98 @@ def test_distributed_quantiles_equal_percentile(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 1013 / 7.0).alias("a"), (F.col("id") % 13).cast("int").alias("b"),
                                   F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") / 3.0).alias("c"))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
-    d = column_quantiles(df, ["a", "b", "c"], probs, method="distributed").first()
-    p = column_quantiles(df, ["a", "b", "c"], probs, method="percentile").first()
+    d = column_quantiles(df, ["a", "b", "c"], probs).first()
+    arr = "array(" + ", ".join(map(str, probs)) + ")"
+    p = df.selectExpr(*[f"percentile({c}, {arr}) AS {c}" for c in "abc"]).first()
     for i in range(3):
-        assert d[f"__q_{i}"] == pytest.approx(p[f"__q_{i}"], rel=1e-12, abs=1e-12)
+        assert d[f"__q_{i}"] == pytest.approx(p[i], rel=1e-12, abs=1e-12)
     w = spark.createDataFrame([("x", 1.0, 3), ("x", 2.0, 1), ("x", 5.0, 2), ("y", 4.0, 1)], "feature string, value double, r long")
-    dw = {r["feature"]: r["__q"] for r in quantiles_long(w, [0.25, 0.5, 0.9], ["feature"], weight="r", method="distributed").collect()}
-    pw = {r["feature"]: r["__q"] for r in quantiles_long(w, [0.25, 0.5, 0.9], ["feature"], weight="r", method="percentile").collect()}
+    dw = {r["feature"]: r["__q"] for r in quantiles_long(w, [0.25, 0.5, 0.9], ["feature"], weight="r").collect()}
+    pw = {r["feature"]: r["q"] for r in w.groupBy("feature").agg(
+        F.expr("percentile(value, array(0.25, 0.5, 0.9), r)").alias("q")).collect()}
     for k in pw:
         assert dw[k] == pytest.approx(pw[k])
 
 
-def test_cumulative_sums_methods_agree(spark):
-    df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 577).cast("double").alias("v"),
-                                  (F.col("id") % 5).alias("c"))
+def test_cumulative_sums_next_value_and_descending(spark):
+    from pyspark.sql.window import Window
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"),  # one null group
+                                  ((F.col("id") * 7919) % 577).cast("double").alias("v"), (F.col("id") % 5).alias("c"))
     d = df.groupBy("g", "v").agg(F.sum("c").alias("c"))
     for desc in (False, True):
+        w = Window.partitionBy("g").orderBy(F.desc("v") if desc else F.asc("v"))
         a = {(r.g, r.v): (r.cum_c, r.next_value) for r in
-             cumulative_sums(d, "v", ["c"], ["g"], descending=desc, with_next=True, method="bucketed", n_buckets=7).collect()}
-        b = {(r.g, r.v): (r.cum_c, r.next_value) for r in
-             cumulative_sums(d, "v", ["c"], ["g"], descending=desc, with_next=True, method="window").collect()}
+             cumulative_sums(d, "v", ["c"], ["g"], descending=desc, with_next=True, n_buckets=7).collect()}
+        b = {(r.g, r.v): (r.s, r.n) for r in d.select("g", "v", F.sum("c").over(w).alias("s"), F.lead("v").over(w).alias("n")).collect()}
         assert a == b
 
 
+def test_bucket_edges_are_per_group(spark):
+    # A narrow and a very wide feature: each spreads over its own buckets, none holds most of a feature.
+    from sparkclin.functions.exprs import _bucket
+    d = (spark.range(4000).select(F.lit("narrow").alias("g"), (F.col("id") / 1e6).alias("v"))
+         .unionByName(spark.range(4000).select(F.lit("wide").alias("g"), (F.col("id") * 1e6).alias("v"))))
+    e = d.groupBy("g").agg(F.expr("percentile_approx(v, array(0.125,0.25,0.375,0.5,0.625,0.75,0.875), 1000)").alias("e"))
+    sizes = d.join(e, "g").withColumn("b", _bucket("e", "v", 8)).groupBy("g", "b").count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 600
+    linear = F.size(F.filter("e", lambda x: x < F.col("v")))
+    assert d.join(e, "g").where(_bucket("e", "v", 8) != linear).count() == 0
+
+
 def test_pii_chains_equal_column_forms(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
     d = d.unionByName(spark.createDataFrame([(10**9, "Mail John Smith at john.smith@x.org, SSN 123-45-6789, MRN-1234567")],
                                             "doc_id long, text string"))
-    a = PV.hash_pii_df(d, "text", "h").select("doc_id", "h")
-    b = d.select("doc_id", PV.hash_pii(F.col("text")).alias("h"))
+    a = PV.hash_pii_df(d, "text", "s1", "h").select("doc_id", "h")
+    b = d.select("doc_id", PV.hash_pii(F.col("text"), "s1").alias("h"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     ra = PV.redact_pii_df(d, "text", "r").select("doc_id", "r")
     rb = d.select("doc_id", PV.redact_pii(F.col("text")).alias("r"))
     assert ra.exceptAll(rb).count() == 0
+
+
+def test_sensitive_names_any_case_and_nested(spark):
+    df = spark.sql("""SELECT 'a@b.org' AS Email, '123-45-6789' AS SSN, named_struct('street', '1 Main Road') AS Address,
+                      named_struct('Phone', '5551234567', 'note', 'fine') AS who, map('Email', 'x@y.org', 'k', 'ok') AS m,
+                      array('call a@b.org') AS notes""")
+    r = PV.sanitize_nested(df, "s1").first()
+    assert r.Email == "****" and r.SSN == "****6789" and r.Address == "****"
+    assert r.who.Phone == "****4567" and r.who.note == "fine"
+    assert r.m["Email"] == "****" and r.m["k"] == "ok" and "a@b.org" not in r.notes[0]
+    t = PV.mask_sensitive_fields(df.select("Email", "SSN")).first()
+    assert t.Email == "****" and t.SSN == "****6789"
+
+
+def test_ema_exact_for_small_alpha_and_long_keys(spark):
+    import numpy as np
+    n, alpha = 5000, 0.001
+    d = spark.range(n).select(F.lit(1).alias("k"), F.col("id"), F.expr("timestamp_seconds(id div 3)").alias("ts"),
+                              ((F.col("id") * 7919) % 1013).cast("double").alias("latency_ms"))
+    got = {r.id: r.ema_latency_ms for r in X.ema_latency(d, ["k"], ["ts", "id"], alpha=alpha, chunk=700).collect()}
+    avg = 0.0
+    for i in range(n):
+        avg = (1 - alpha) * avg + alpha * ((i * 7919) % 1013)
+        assert abs(got[i] - avg) < 1e-8 * max(1.0, avg)
+
+
+def test_global_importance_covers_every_feature(spark):
+    coef = {f"f{i}": 1.0 + i for i in range(15)}
+    d = spark.range(200).select(*[((F.col("id") * (i + 3)) % 17).cast("double").alias(f"f{i}") for i in range(15)])
+    got = {r.feature: r.mean_abs_contribution for r in E.global_importance(d, coef, k=15).collect()}
+    pdf = d.toPandas()
+    for f, w in coef.items():
+        assert got[f] == pytest.approx((w * (pdf[f] - pdf[f].mean())).abs().mean())
+
+
+def test_rules_over_absent_metrics(spark):
+    m = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS ts, 1 AS sample_id, 0.9 AS error_rate")
+    assert [r.rule_name for r in X.alert_candidates(m).collect()] == ["high_error_rate"]
+    with pytest.raises(Exception):
+        X.alert_candidates(m, [("r", "no_such_metric > 1", "high", ["slack"], 300)]).collect()
+
+
+def test_cache_lifetime_starts_at_the_miss(spark):
+    d = spark.createDataFrame([(i, 60 * t) for i, t in enumerate([0, 4, 6, 9, 12])], "event_id long, s long").select(
+        "event_id", F.expr("timestamp_seconds(s)").alias("ts"), F.lit("x").alias("e"))
+    got = {r.event_id: r.cache_hit for r in X.dedupe_requests(d, ["e"]).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: False}
