@@ -11,6 +11,9 @@ on if the double window inside it survived. At the full length every surviving w
 doc_id, then start) is found by a map-side combined minimum. What is removed from a document is what its
 surviving windows cover, less those that are first.
 
+Copies of an earlier document lose all that windows cover, which needs no search: groups of equal texts are found
+by a 128-bit hash first, and only the first of a group takes part in the levels.
+
 Texts are shuffled once by doc_id; the passes over them share that exchange. All else that moves is hashes.
 Groups of equal windows are only ever reduced by count and minimum, so a passage in a third of all documents
 costs one row per map task and key. Windows are known by 64-bit hashes at the lower levels and by two
@@ -118,9 +121,17 @@ def repeated_word_counts(docs: DataFrame, window: int = WINDOW, shortest: int =
     if shortest < 1 or window < shortest:
         raise ValueError("shortest must lie between 1 and window")
     levels = _levels(window, shortest)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(parts, "doc_id")  # the one shuffle of texts; every pass below reads it
+    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # Every pass joins these rows by doc_id and asks for ids that are not null, so that all passes need the same
+    # exchange of the texts: it is made once and reused.
+    texts = given.where("doc_id IS NOT NULL")
+
+    # Copies of an earlier document lose every word that a window covers; only the first of them is looked into.
+    hashed = given.where("doc_id IS NOT NULL").select(
+        "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    originals = hashed.groupBy("t1", "t2").agg(F.min("doc_id").alias("original"))
+    copies = (hashed.join(originals, ["t1", "t2"]).where(F.col("doc_id") > F.col("original"))
+              .groupBy("doc_id").agg(F.lit(True).alias("copy")))
 
     # Shortest level: anchors of each document, counted over the corpus.
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +140,8 @@ def repeated_word_counts(docs: DataFrame, window: int = WINDOW, shortest: int =
                 places = np.unique(x.anchor)
                 yield _batch(["doc_id", "keys"], [ids, *x.lists(places, x.short[places])])
 
-    keys = _surviving(texts.mapInArrow(emit_anchors, "doc_id long, keys array<long>"))
+    firsts_only = texts.join(copies.hint("shuffle_hash"), "doc_id", "left_anti")
+    keys = _surviving(firsts_only.mapInArrow(emit_anchors, "doc_id long, keys array<long>"))
 
     for shorter, length in zip(levels, levels[1:-1]):
         def emit_longer(batches: Iterator[pa.RecordBatch], shorter=shorter, length=length):
@@ -158,16 +170,18 @@ def repeated_word_counts(docs: DataFrame, window: int = WINDOW, shortest: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, x, (held, first) in _slices(b, window, shortest):
+            for ids, x, (held, first, copy) in _slices(b, window, shortest):
                 w, places = x.words, x.starts[x.survivors(held, last)]
                 one, rows = grams(w.hashes, window)[places], x.row[places]
                 own = np.repeat(np.arange(len(first)), first.value_lengths().fill_null(0).to_numpy())
                 mine = _tag(own, first.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 stays = _first_in_text(rows, one, mask=True) & _within(_tag(rows, one), np.unique(mine))
                 edge = np.zeros(len(w.starts) + 1, dtype=np.int64)
-                gone = places[~stays]
-                edge[gone] += 1
-                edge[gone + window] -= 1
+                copied = copy.fill_null(False).to_numpy(zero_copy_only=False)
+                places, stays = places[~copied[rows]], stays[~copied[rows]]
+                gone = np.concatenate([places[~stays], x.starts[copied[x.row[x.starts]]]])
+                np.add.at(edge, gone, 1)
+                np.add.at(edge, gone + window, -1)
                 kept = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 n = np.diff(w.first)
                 upto = np.searchsorted(kept, w.first)
@@ -178,9 +192,14 @@ def repeated_word_counts(docs: DataFrame, window: int = WINDOW, shortest: int =
                     pa.array([t.decode("utf-8", "replace") for t in texts_out] if with_text else [None] * len(n),
                              pa.string())])
 
-    return (_with_keys(texts, keys).join(firsts.hint("shuffle_hash"), "doc_id", "left")
-            .select("doc_id", "text", "keys", "firsts")
-            .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"))
+    none = F.lit(None)
+    whole = given.where("doc_id IS NULL").select(
+        "doc_id", "text", none.cast("array<long>").alias("keys"), none.cast("array<long>").alias("firsts"),
+        none.cast("boolean").alias("copy"))
+    judged = (_with_keys(texts, keys).join(firsts.hint("shuffle_hash"), "doc_id", "left")
+              .join(copies.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys", "firsts", "copy"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    return judged.mapInArrow(cut, schema).unionByName(whole.mapInArrow(cut, schema))
 
 
 def _batch(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
