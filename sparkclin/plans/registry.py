@@ -95,5 +95,5 @@ def load_all() -> None:
     from sparkclin.plans import (  # noqa: F401
         catalog_io, catalog_quality, catalog_protect, catalog_features,
         catalog_model, catalog_metrics, catalog_rules, catalog_drift,
-        catalog_monitor,
+        catalog_monitor, catalog_balance,
     )
