@@ -160,9 +160,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of_doc = (found.where(F.size("base") > 0)
               .select(F.col(f"`{id_col}`").alias("__id"), F.explode("base").alias("x"))
               .select("__id", F.col("x.value").alias("value")).join(flagged, "value")
-              .groupBy("__id").agg(F.collect_set(F.struct("term", "p")).alias("__flagged")))
+              .groupBy(F.col("__id").alias("__pii_doc")).agg(F.collect_set(F.struct("term", "p")).alias("__flagged")))
     of_doc, _ = _checked_broadcast(of_doc)
-    d = found.join(of_doc, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
+    d = found.join(of_doc, found[id_col].eqNullSafe(of_doc["__pii_doc"]), "left").drop("__pii_doc")
     d = (d.withColumn("__low", F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
          .withColumn("__pat", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(
              F.array_sort(F.array_distinct(F.transform("__flagged", lambda x: x["term"]))), "|"),

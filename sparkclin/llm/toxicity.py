@@ -96,10 +96,10 @@ class Grammar:
             at = end - n + 1
             if at < done or (at and text[at - 1].isalpha()):
                 continue
-            start = max((text.rfind(c, done, at) for c in ".!?;\n"), default=-1) + 1
+            start = max(done, max(text.rfind(c, done, at) for c in ".!?;\n") + 1)
             m = _CLAUSE_END.search(text, end)
             done = m.end() if m else len(text)
-            yield text[max(start, 0):done]
+            yield text[start:done]
 
     def read(self, clause: str) -> Iterator[tuple[int, float]]:
         """(pattern, weight) of every insult and threat of a clause."""
@@ -198,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = labelled.select("text", "toxic").mapInArrow(run, "x array<double>, y int").toArrow()  # MAX_LABELLED rows
     y = rows.column("y").to_numpy().astype(float)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = (y.sum() + 0.5) / (len(y) + 10)  # without labels a text counts as clean
     if not lexicon.stems:
         return Model(lexicon, np.append(math.log(rate / (1 - rate)), np.zeros(PATTERNS + 1)), rate)
     x = np.array(rows.column("x").to_pylist(), dtype=float)
