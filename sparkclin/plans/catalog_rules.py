@@ -323,17 +323,16 @@ _MEDS = [("metformin", "glucose > 126"), ("insulin", "glucose > 170"), ("aspirin
          ("warfarin", "k % 13 = 0"), ("ibuprofen", "bmi > 35"), ("lisinopril", "blood_pressure > 90"),
          ("spironolactone", "blood_pressure > 110"), ("potassium_supplements", "k % 7 = 0"),
          ("captopril", "k % 17 = 0"), ("furosemide", "blood_pressure > 120")]
-_MEDS_SQL = "\nUNION ALL\n".join(f"SELECT patient_id, '{d}' AS drug FROM patients_v WHERE {c}" for d, c in _MEDS)
+_DRUGS_SQL = ", ".join(f"CASE WHEN {c} THEN '{d}' END" for d, c in _MEDS)
 _PAIRS_SQL = ", ".join(f"('{a}', '{b}', '{s}', '{m}', '{g}')" for a, b, s, m, g in G.INTERACTIONS)
 
 
 @register("interaction_pairs", sql=f"""
-WITH m AS ({_MEDS_SQL}),
+WITH l AS (SELECT patient_id, [{_DRUGS_SQL}] AS drugs FROM patients_v),
 t AS (SELECT * FROM (VALUES {_PAIRS_SQL}) v(a, b, severity, mechanism, management)),
-p AS (SELECT a AS drug, b AS other, severity, mechanism, management FROM t UNION ALL SELECT b, a, severity, mechanism, management FROM t)
-SELECT m1.patient_id, p.drug AS drug_a, p.other AS drug_b, p.severity, p.mechanism, p.management
-FROM m m1 JOIN p ON m1.drug = p.drug JOIN m m2 ON m2.patient_id = m1.patient_id AND m2.drug = p.other
-WHERE p.drug < p.other""")
+p AS (SELECT least(a, b) AS drug, greatest(a, b) AS other, severity, mechanism, management FROM t)
+SELECT l.patient_id, p.drug AS drug_a, p.other AS drug_b, p.severity, p.mechanism, p.management
+FROM l JOIN p ON list_contains(l.drugs, p.drug) AND list_contains(l.drugs, p.other)""")
 def q_interaction_pairs(spark, sf):
     p = patients(spark, sf)
     meds = p.select("patient_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(d)) for d, c in _MEDS])))
