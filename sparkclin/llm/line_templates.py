@@ -47,14 +47,15 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(
         F.col("doc_id").isNotNull())
     # Leaves: one hash per line; a leaf counts once per document.
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("tokens", _masked(_tokens(F.col("line"))))
-    lines = (lines.where(F.size("tokens") >= min_tokens)
-             .select("doc_id", "line_no", "tokens",
-                     F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf")))
+    # Lines are cut into tokens inside the generator, so that the filter on their number does not repeat the cutting.
+    # Only a leaf's own tokens are masked here; the rest of a line waits until its leaf is known to recur.
+    lines = texts.select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), _tokens)).alias("line_no", "raw"))
+    lines = lines.where(F.size("raw") >= min_tokens).select(
+        "doc_id", "line_no", "raw", F.xxhash64(F.size("raw"), _masked(F.slice("raw", 1, depth))).alias("leaf"))
     leaves = (lines.groupBy("leaf", "doc_id").agg(F.lit(1).alias("one"))
               .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     found = (lines.join(_checked(leaves), "leaf", "left_semi")
+             .select("doc_id", "line_no", "leaf", _masked(F.col("raw")).alias("tokens"))
              .withColumn("kind", F.xxhash64("tokens")).checkpoint(eager=True))
 
     # Constants: tokens that enough of the leaf's lines have at their place.
