@@ -128,10 +128,14 @@ def revealing_terms(found: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "__id", F.col("x.value").alias("value"), F.xxhash64(before, after).alias("context"),
         F.array_distinct(F.concat(F.slice(F.reverse(_term_words(before)), 1, NEAR_WORDS),
                                   F.slice(_term_words(after), 1, NEAR_WORDS))).alias("terms"))
-    pairs = (near.select("__id", "value", "context", F.explode("terms").alias("term"))
-             .groupBy("value", "term", "__id").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
+    beside = near.select("__id", "value", "context", F.explode("terms").alias("term"))
+    pairs = (beside.groupBy("value", "term", "__id").agg(F.min("context").alias("lo"), F.max("context").alias("hi"))
              .groupBy("value", "term").agg(F.count("*").alias("n_et"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
              .where("n_et >= 2 AND lo <> hi").select("value", "term", "n_et"))
+    # A term stands in at least as many documents as it stands in near any entity, so p can't exceed n_et over those:
+    # common words leave here, before the whole corpus is counted, and no pair that could pass does.
+    anywhere = beside.groupBy("term", "__id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = pairs.join(anywhere, "term").where(F.col("n_et") >= min_disclosure * F.col("n_near")).select("value", "term", "n_et")
     pairs, n_pairs = _checked_broadcast(pairs)
     if n_pairs == 0:
         return pairs.select("value", "term", F.lit(0.0).alias("p"))
