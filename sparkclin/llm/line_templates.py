@@ -7,6 +7,12 @@ field. A template that recurs in ``min_docs`` documents or more, with at least `
 constant, is boilerplate: its lines are dropped wherever they stand, save at the template's first occurrence
 (smallest doc_id, then line), so that nothing is lost from the corpus altogether.
 
+A fixed ``min_docs`` makes frequent field values constant in a large leaf. With ``rungs`` a token's documents are
+therefore held against min_docs, twice that, four times that and so on, and a line takes the highest rung at which its
+template is still steady. The lines of a lower rung's template share their higher ones too, so the highest holds all
+that a lower one finds. Of a template that D documents share, the rung above D / 2 leaves at most one value a field
+standing, whatever the size of the leaf.
+
 All levels are map-side combined counts and equi-joins. Leaves that too few documents share are pruned first, so
 only recurring leaves' lines are taken apart into tokens; a leaf, line or token that a third of all documents
 share is one partial count per task. No leaf is ever gathered in one place.
@@ -42,7 +48,8 @@ def _checked(df: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
-                    min_constant: float = MIN_CONSTANT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    min_constant: float = MIN_CONSTANT, id_col: str = "doc_id", text_col: str = "text",
+                    rungs: bool = False) -> DataFrame:
     """(doc_id, line_no, template): every occurrence of a recurring template but its first; line_no from 0."""
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(
         F.col("doc_id").isNotNull())
@@ -63,15 +70,19 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
              .groupBy("leaf", "kind").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
     placed = kinds.select("leaf", "kind", "n", F.posexplode("tokens").alias("place", "token"))
     constant = (placed.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-                .where((F.col("n") >= min_docs) & (F.col("token") != VARIABLE)).select("leaf", "place", "token"))
-    template = (placed.join(constant.withColumn("same", F.lit(True)), ["leaf", "place", "token"], "left")
-                .groupBy("leaf", "kind")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-                    "place", F.when(F.col("same") | (F.col("place") < depth), F.col("token"))
-                    .otherwise(F.lit(VARIABLE)).alias("token")))), lambda x: x["token"]), " ").alias("template")))
-    parts = F.split("template", " ", -1)
-    steady = F.size(F.filter(parts, lambda t: t != VARIABLE)) >= min_constant * F.size(parts)
-    template = template.where(steady)
+                .where((F.col("n") >= min_docs) & (F.col("token") != VARIABLE)))
+    rung = F.length(F.bin(F.floor(F.col("n") / min_docs))) - 1 if rungs else F.lit(0)  # binary digits: an exact log2
+    constant = constant.select("leaf", "place", "token", rung.alias("rung"))
+    kinds = (placed.join(constant, ["leaf", "place", "token"], "left").groupBy("leaf", "kind")
+             .agg(F.array_sort(F.collect_list(F.struct("place", "token", "rung"))).alias("places")))
+    # Only a rung just above that of one of the line's own constants masks more than the one below it.
+    above = F.transform(F.filter("places", lambda x: x["rung"].isNotNull() & (x["place"] >= depth)), lambda x: x["rung"] + 1)
+    tried = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), above))) if rungs else F.array(F.lit(0))
+    shown = F.transform(tried, lambda k: F.transform("places", lambda x: F.when(
+        (x["rung"] >= k) | (x["place"] < depth), x["token"]).otherwise(F.lit(VARIABLE))))
+    steady = F.filter(shown, lambda t: F.size(F.filter(t, lambda x: x != VARIABLE)) >= min_constant * F.size(t))
+    template = (kinds.select("leaf", "kind", F.explode(F.slice(steady, -1, 1)).alias("parts"))
+                .select("leaf", "kind", F.array_join("parts", " ").alias("template")))
 
     # Recurrence over documents, and the first occurrence.
     placed_lines = (found.select("doc_id", "line_no", "leaf", "kind").join(template, ["leaf", "kind"])

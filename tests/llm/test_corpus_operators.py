@@ -81,6 +81,24 @@ def test_variable_words_are_generalised(spark):
     assert {r.template for r in found} == {"Posted in the archive by <*> on behalf of the team"}
 
 
+@pytest.mark.parametrize("n", [100, 10_000])
+def test_line_stage_generalises_frequent_values_at_every_size(spark, sf, n):
+    import corpus_pipeline as C
+    rng = random.Random(1)
+    name = lambda p, k: p + "".join(chr(97 + int(c)) for c in str(k))
+    texts = [f"Posted in section {name('s', rng.randrange(400))} by author {name('a', rng.randrange(1000))}" for _ in range(n)]
+    own = [f"Entirely own line {name('q', i)} {name('r', 7 * i)} {name('t', 3 * i)} {name('u', i + 9)}" for i in range(30)]
+    rows = {r.doc_id: r.text for r in C.lines(spark, messy.table(spark, texts + own), sf).collect()}
+    assert [i for i in range(n) if rows[i]] == [0] and rows[0] == texts[0]
+    assert all(rows[n + i] == t for i, t in enumerate(own))
+
+
+def test_line_stage_generalises_beside_a_value_of_most_lines(spark):
+    texts = [f"Filed under the heading {'News' if i % 5 else 'abcdefgh'[i // 5 % 8]} of our great old paper" for i in range(400)]
+    found = line_templates.recurring_lines(messy.table(spark, texts), rungs=True).select("template").distinct().collect()
+    assert {r.template for r in found} <= {f"Filed under the heading {v} of our great old paper" for v in ("News", "<*>")}
+
+
 # ------------------------------------------------------------------ n-gram Jaccard
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
