@@ -3,7 +3,8 @@
 Emails, IP addresses, card and phone numbers are found by patterns. Corpus co-occurrence then estimates how
 strongly the words near such an entity reveal it: with n(e, t) documents in which term t stands near entity e
 and n(t) documents that hold t at all, p(e | t) = n(e, t) / n(t), and the disclosure is log2(p(e | t) / p(e))
-bits. A term beyond both thresholds, seen in at least two different contexts (so copies of one text prove
+bits, which -log2 p(e) bounds. A term beyond ``MIN_DISCLOSURE`` with ``MIN_BITS``, or with ``BITS_SHARE`` of the bound
+where an entity is too frequent for that many bits (a hot source's, or any in a small table), seen in at least two different contexts (so copies of one text prove
 nothing), is masked in the documents that hold the entity: removed when it names the entity almost surely,
 otherwise generalised.
 
@@ -36,6 +37,7 @@ NEAR_WORDS = 6        # words on either side of an entity that count as near
 NEAR_CHARS = 160      # characters read on either side to find them
 MIN_DISCLOSURE = 0.5  # p(entity | term)
 MIN_BITS = 6.0        # log2(p(entity | term) / p(entity))
+BITS_SHARE = 0.9      # share of -log2 p(entity) that counts in place of MIN_BITS where it is less
 REMOVE_AT = 0.95      # p(entity | term) from which a term is removed rather than generalised
 BROADCAST_ROWS = 50_000
 
@@ -149,8 +151,10 @@ def revealing_terms(found: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n_docs = found.count()
     scored = (pairs.join(totals, "term").join(entity_docs, "value")
               .withColumn("p", F.col("n_et") / F.col("n_t"))
-              .withColumn("bits", F.log2(F.col("p") * F.lit(float(n_docs)) / F.col("n_e"))))
-    return scored.where((F.col("p") >= min_disclosure) & (F.col("bits") >= min_bits)).select("value", "term", "p")
+              .withColumn("bits", F.log2(F.col("p") * F.lit(float(n_docs)) / F.col("n_e")))
+              .withColumn("bound", F.log2(F.lit(float(n_docs)) / F.col("n_e"))))
+    enough = (F.col("bits") > 0) & (F.col("bits") >= F.least(F.lit(min_bits), BITS_SHARE * F.col("bound")))
+    return scored.where((F.col("p") >= min_disclosure) & enough).select("value", "term", "p")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,11 +164,18 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     flagged, n = _checked_broadcast(revealing_terms(found, id_col, text_col))
     if n == 0:
         return found.withColumn("terms", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))
+    # One row an entity; a document keeps only those of its entities' terms that it holds, so that a frequent entity with
+    # many terms does not lengthen every document's list.
+    flagged = flagged.groupBy("value").agg(F.map_from_entries(F.collect_list(F.struct("term", "p"))).alias("ps"))
     flagged = F.broadcast(flagged) if n <= BROADCAST_ROWS else flagged
+    held = F.array_intersect(F.map_keys("ps"), "words")
     of_doc = (found.where(F.size("base") > 0)
-              .select(F.col(f"`{id_col}`").alias("__id"), F.explode("base").alias("x"))
-              .select("__id", F.col("x.value").alias("value")).join(flagged, "value")
-              .groupBy(F.col("__id").alias("__pii_doc")).agg(F.collect_set(F.struct("term", "p")).alias("__flagged")))
+              .select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t"),
+                      F.explode(F.array_distinct(F.transform("base", lambda x: x["value"]))).alias("value"))
+              .join(flagged, "value").select("__id", "ps", _term_words(F.col("__t")).alias("words"))
+              .select("__id", F.explode(F.transform(held, lambda t: F.struct(
+                  t.alias("term"), F.element_at("ps", t).alias("p")))).alias("x"))
+              .groupBy(F.col("__id").alias("__pii_doc")).agg(F.collect_set("x").alias("__flagged")))
     of_doc, _ = _checked_broadcast(of_doc)
     d = found.join(of_doc, found[id_col].eqNullSafe(of_doc["__pii_doc"]), "left").drop("__pii_doc")
     d = (d.withColumn("__low", F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))

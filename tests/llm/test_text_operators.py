@@ -228,6 +228,19 @@ def test_revealing_terms_are_masked_only_beside_their_entity(spark):
     assert all(not r.terms for r in pii.find_spans(messy.table(spark, copies)).collect())
 
 
+def test_terms_of_an_entity_in_a_third_of_the_documents(spark):
+    for n in (30, 900):  # a small table, and a hot source of a larger one
+        texts = [f"note {i} from Zanzibarov at zan@corp.example.org about topic{i} meeting" for i in range(n // 3)]
+        texts += [f"plain words about topic meeting number {i} from nothing else" for i in range(n - n // 3)]
+        rows = {r.doc_id: r for r in pii.find_spans(messy.table(spark, texts)).withColumn("clean", pii.sanitised_text()).collect()}
+        for i in range(n // 3):
+            assert "zanzibarov" in {x.value for x in rows[i].terms} and "Zanzibarov" not in rows[i].clean
+            assert not {"meeting", "about", "from"} & {x.value for x in rows[i].terms}
+        assert all(rows[i].clean == texts[i] for i in range(n // 3, n))
+    everywhere = [f"note {i} from Zanzibarov at zan@corp.example.org today" for i in range(30)]
+    assert all(not r.terms for r in pii.find_spans(messy.table(spark, everywhere)).collect())  # no bits to gain
+
+
 def test_pii_query_digest(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = pii.op7_pii(spark, sf).collect()
