@@ -105,9 +105,14 @@ def find_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.select(*own, F.inline(F.array(F.struct(F.concat(*parts).alias("base")))))
 
 
+def _lower(text: Column) -> Column:
+    """Lower case, character by character: the dotted capital I, the only one that lower() makes two of, becomes i."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def _term_words(text: Column) -> Column:
     """Lower-cased alphabetic words of four characters or more."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+", -1), lambda w: F.length(w) >= 4)
+    return F.filter(F.split(_lower(text), r"[^\p{L}]+", -1), lambda w: F.length(w) >= 4)
 
 
 def _checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
@@ -178,13 +183,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
               .groupBy(F.col("__id").alias("__pii_doc")).agg(F.collect_set("x").alias("__flagged")))
     of_doc, _ = _checked_broadcast(of_doc)
     d = found.join(of_doc, found[id_col].eqNullSafe(of_doc["__pii_doc"]), "left").drop("__pii_doc")
-    d = (d.withColumn("__low", F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    d = (d.withColumn("__low", _lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
          .withColumn("__pat", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(
              F.array_sort(F.array_distinct(F.transform("__flagged", lambda x: x["term"]))), "|"),
              F.lit(r")(?!\p{L})"))))
-    hits = F.when(F.col("__flagged").isNotNull()
-                  & (F.length("__low") == F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))),
-                  F.expr(_spans("__low", "__pat"))).otherwise(F.array().cast(_SPAN))
+    hits = F.when(F.col("__flagged").isNotNull(), F.expr(_spans("__low", "__pat"))).otherwise(F.array().cast(_SPAN))
     d = d.withColumn("__hits", hits)
     clear = F.filter("__hits", lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
     kind = lambda h: F.when(F.exists("__flagged", lambda f: (f["term"] == h["value"]) & (f["p"] >= REMOVE_AT)),

@@ -241,6 +241,19 @@ def test_terms_of_an_entity_in_a_third_of_the_documents(spark):
     assert all(not r.terms for r in pii.find_spans(messy.table(spark, everywhere)).collect())  # no bits to gain
 
 
+def test_terms_beside_a_dotted_capital_i(spark):
+    texts = [f"\u0130zmir note {i} from Zanzibarov\u0130k at zan@corp.example.org about topic{i} meeting" for i in range(4)]
+    texts += [f"plain words about topic meeting number {i} and nothing else" for i in range(300)]
+    rows = {r.doc_id: r for r in pii.find_spans(messy.table(spark, texts)).withColumn("clean", pii.sanitised_text()).collect()}
+    for i in range(4):
+        at = texts[i].index("Zanz")
+        assert [(x.start, x.end) for x in rows[i].terms if x.value == "zanzibarovik"] == [(at, at + 12)]
+        assert "Zanzibarov" not in rows[i].clean and "<EMAIL>" in rows[i].clean
+    every = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343 AND id <> 65279").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert every.where((F.length("c") != 1) | (F.length(pii._lower(F.col("c"))) != 1)).count() == 0
+
+
 def test_pii_query_digest(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = pii.op7_pii(spark, sf).collect()
