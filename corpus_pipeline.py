@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring template lines, frequent field values generalised at every size."""
-    return _documents(line_templates.drop_recurring_lines(docs, rungs=True))
+    """Texts without recurring template lines, frequent field values generalised at every size; short lines count."""
+    return _documents(line_templates.drop_recurring_lines(docs, rungs=True, min_tokens=1))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

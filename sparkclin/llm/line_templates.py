@@ -50,14 +50,17 @@ def _checked(df: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
                     min_constant: float = MIN_CONSTANT, id_col: str = "doc_id", text_col: str = "text",
                     rungs: bool = False) -> DataFrame:
-    """(doc_id, line_no, template): every occurrence of a recurring template but its first; line_no from 0."""
+    """(doc_id, line_no, template): every occurrence of a recurring template but its first; line_no from 0.
+
+    Lines of fewer than ``min_tokens`` tokens and blank lines are left alone.
+    """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(
         F.col("doc_id").isNotNull())
     # Leaves: one hash per line; a leaf counts once per document.
     # Lines are cut into tokens inside the generator, so that the filter on their number does not repeat the cutting.
     # Only a leaf's own tokens are masked here; the rest of a line waits until its leaf is known to recur.
     lines = texts.select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), _tokens)).alias("line_no", "raw"))
-    lines = lines.where(F.size("raw") >= min_tokens).select(
+    lines = lines.where((F.size("raw") >= min_tokens) & (F.col("raw")[0] != "")).select(
         "doc_id", "line_no", "raw", F.xxhash64(F.size("raw"), _masked(F.slice("raw", 1, depth))).alias("leaf"))
     leaves = (lines.groupBy("leaf", "doc_id").agg(F.lit(1).alias("one"))
               .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))

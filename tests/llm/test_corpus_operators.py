@@ -93,6 +93,14 @@ def test_line_stage_generalises_frequent_values_at_every_size(spark, sf, n):
     assert all(rows[n + i] == t for i, t in enumerate(own))
 
 
+def test_line_stage_drops_short_lines(spark, sf):
+    import corpus_pipeline as C
+    texts = [f"Own opening {w} of text\n\nRead more\nAdvertisement\n{w}" for w in ("Ann", "Bob", "Cid", "Dot")] + ["Read more", "Dot Dot", "\n"]
+    rows = {r.doc_id: r.text for r in C.lines(spark, messy.table(spark, texts), sf).collect()}
+    assert rows[0] == texts[0] and rows[4] == "" and rows[5] == texts[5] and rows[6] == "\n"
+    assert all(rows[i].split("\n")[-2:] == ["", texts[i].split("\n")[-1]] for i in (1, 2, 3))  # the blank line stays
+
+
 def test_line_stage_generalises_beside_a_value_of_most_lines(spark):
     texts = [f"Filed under the heading {'News' if i % 5 else 'abcdefgh'[i // 5 % 8]} of our great old paper" for i in range(400)]
     found = line_templates.recurring_lines(messy.table(spark, texts), rungs=True).select("template").distinct().collect()
