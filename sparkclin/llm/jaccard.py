@@ -6,7 +6,7 @@ members to its least, and connected components of these links are the groups ins
 
 A group's full n-gram sets are then compared in cells: its members are dealt into chunks, and each pair of chunks
 is one task's work, two bounded chunks of sets. Inside a cell intersections are products of incidence matrices;
-a pair counts if it shares a band and its Jaccard similarity reaches the threshold. A cell returns per member its
+a pair counts if its Jaccard similarity reaches the threshold: bands only choose the groups. A cell returns per member its
 number of links and a spanning forest of them, so no pair is ever written and no link is lost.
 """
 
@@ -142,7 +142,6 @@ def _compare(threshold: float):
         side = table.column("chunk").to_numpy()
         flat = table.column("grams").combine_chunks()
         sets = [s.values.to_numpy() for s in flat]
-        bands = np.stack([s.values.to_numpy() for s in table.column("bands").combine_chunks()])
         lo = int(table.column("lo")[0].as_py())
         one_chunk = lo == int(table.column("hi")[0].as_py())
         order = np.argsort(rep, kind="stable")
@@ -156,9 +155,6 @@ def _compare(threshold: float):
             near = both / (size[left][:, None] + size[right][None, :] - both) >= threshold
             if one_chunk:
                 near &= ~np.eye(len(left), dtype=bool)
-            for i in np.flatnonzero(near.any(axis=1)):  # candidates share a band
-                j = np.flatnonzero(near[i])
-                near[i, j] = (bands[left[i]] == bands[right[j]]).any(axis=1)
             np.add.at(links, left, near @ copies[right])
             if not one_chunk:
                 np.add.at(links, right, near.T @ copies[left])
@@ -213,11 +209,11 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     groups = connected_components(edges).withColumnRenamed("node", "rep")
 
     # Members, dealt into chunks; each pair of chunks of a group is a cell.
-    members = groups.join(reps, "rep").select("rep", "root", "copies", "n_grams", "bands")
+    members = groups.join(reps, "rep").select("rep", "root", "copies", "n_grams")
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("total"))
     dealt = (members.join(sizes, "root")
              .withColumn("k", F.greatest(F.ceil(F.col("n") / CHUNK_SETS), F.ceil(F.col("total") / CHUNK_GRAMS)).cast("int"))
-             .select("rep", "root", "copies", "bands", "k",
+             .select("rep", "root", "copies", "k",
                      F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("chunk"))
              .checkpoint(eager=True))
     wanted = dealt.select(F.col("rep").alias("doc_id"))
@@ -226,7 +222,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     sets = _sets(texts.join(wanted, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"])
     cells = (dealt.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
              .select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-             .select("rep", "root", "copies", "bands", "chunk", "grams", F.least("chunk", "other").alias("lo"),
+             .select("rep", "root", "copies", "chunk", "grams", F.least("chunk", "other").alias("lo"),
                      F.greatest("chunk", "other").alias("hi")))
     checked = (cells.groupBy("root", "lo", "hi")
                .applyInArrow(_compare(threshold), "rep long, root long, links long").checkpoint(eager=True))

@@ -4,6 +4,7 @@ import random
 
 import messy
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,12 @@ def _near_texts():
     return out + messy.AWKWARD + ["one two", "a b c d e", "a b c d e", "a b c d f"]
 
 
+def test_a_verified_pair_without_a_common_band_is_a_link():
+    cell = pa.table({"rep": [1, 2], "copies": [1, 1], "chunk": [0, 0], "lo": [0, 0], "hi": [0, 0],
+                     "grams": [list(range(10)), list(range(9))], "bands": [[1, 2], [3, 4]]})
+    assert jaccard._compare(0.8)(cell).column("links").to_pylist() == [1, 1]
+
+
 def test_jaccard_join_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 9)  # many cells
     docs = list(enumerate(_near_texts()))
