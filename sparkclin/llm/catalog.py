@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, substrings,
+    best_two_fit, hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, substrings,
     toxicity, url_filter,
 )
 
@@ -22,6 +22,7 @@ _QUERIES = [
     toxicity.op8_toxicity,
     quality_rules.op9_quality_rules,
     url_filter.op10_url_filter,
+    best_two_fit.op12_best_two_fit,
 ]
 
 _ORACLES = {
