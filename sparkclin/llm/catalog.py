@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    best_two_fit, hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, substrings,
+    best_two_fit, divergence, hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, substrings,
     toxicity, url_filter,
 )
 
@@ -22,12 +22,14 @@ _QUERIES = [
     toxicity.op8_toxicity,
     quality_rules.op9_quality_rules,
     url_filter.op10_url_filter,
+    divergence.op11_source_divergence,
     best_two_fit.op12_best_two_fit,
 ]
 
 _ORACLES = {
     "op3_line_dedup": line_templates.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
 }
 
 
