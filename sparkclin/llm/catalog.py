@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkclin.llm import (
-    best_two_fit, divergence, hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, substrings,
-    toxicity, url_filter,
+    best_two_fit, divergence, hashing_search, jaccard, line_templates, packing, pieces, pii, quality_rules, resampling,
+    substrings, toxicity, url_filter,
 )
 
 _QUERIES = [
@@ -24,6 +24,7 @@ _QUERIES = [
     url_filter.op10_url_filter,
     divergence.op11_source_divergence,
     best_two_fit.op12_best_two_fit,
+    resampling.op13_importance_resampling,
 ]
 
 _ORACLES = {
