@@ -7,8 +7,8 @@ gap it leaves most tightly, where two exist that hold more ids than it.
 Texts are tokenised once, in a map over the input; what is stored and shuffled is one narrow row a piece. Pieces are
 dealt at random, by their number, into blocks of about ``block_pieces``, and each block is packed in one task: no task
 grows with the input, and no key of the input decides where a piece goes. Each block's bins with room left go
-on to a next round, where the pieces of all of them are packed together, until one block is left or a round
-doesn't halve what it was given.
+on to a next round, where the pieces of all of them are packed together, until one block is left or a round closes less
+than a tenth of what it was given.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +25,64 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkclin.llm.bpe import ChunkEncoder
 from sparkclin.llm.stored import stored
-from sparkclin.llm.words import slices, text_buffers
+from sparkclin.llm.words import Words, slices, text_buffers
 
 CAPACITY = 4096
 BLOCK_PIECES = 4096
-ROOM = 64  # a bin with at least so many free ids goes on to the next round
+OPEN = 64  # a bin with at least capacity / OPEN free ids goes on to the next round
 
 PIECES = "number long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, `offset` long, `open` boolean"
 RESULT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
-class WordBpe(ChunkEncoder):
-    """Ids of the word-end BPE. Its split drops white space, so a text can be cut at every space."""
+class WordBpe:
+    """Ids of the word-end BPE, each distinct white-space-separated chunk encoded once.
+
+    Its normaliser works character by character (or within a run of combining marks) and its split drops white space, so
+    a text can be cut there. Chunks not yet known are encoded a batch at a time; ``most`` bounds the chunks held.
+    """
 
     def __init__(self, path: str, most: int = 1_500_000):
-        super().__init__(most)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def chunk_ids(self, chunk: str, head: bool) -> list[int]:
-        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-
-    whole_ids = chunk_ids
-
-    def unsafe(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return np.zeros(len(offsets) - 1, dtype=bool)
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, "<u4")  # a chunk's ids are pool[begin[k]:begin[k + 1]]
+
+    def _learn(self, keys: list[int], chunks: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.begin) - 1
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), "<u4", int(sizes.sum()))])
+        self.slot.update(zip(keys, range(first, first + len(keys))))
+        return np.arange(first, first + len(keys))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a byte buffer (UTF-8 texts one after another)."""
+        if len(self.slot) > self.most:
+            self._clear()
+        words = Words(data, offsets)
+        distinct, at, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+        slots = np.fromiter(map(self.slot.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist())
+            slots[new] = self._learn(distinct[new].tolist(), [raw[s:e].decode("utf-8", "replace") for s, e in spans])
+        begin, count = self.begin[slots], np.diff(self.begin)[slots]
+        begin, count = begin[back], count[back]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(begin - total[:-1], count) + np.arange(total[-1])]
+        upto = total[words.first]
+        return [ids[s:e] for s, e in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
 _LOADED: dict[str, WordBpe] = {}
@@ -168,7 +197,7 @@ def _pack_block(round_: int, capacity: int):
         ids = (round_ << 58) + (key[0].as_py() << 24) + bins
         return (table.drop_columns(["block"]).append_column("sequence_id", pa.array(ids))
                 .append_column("offset", pa.array(offsets))
-                .append_column("open", pa.array(filled[bins] <= capacity - ROOM)))
+                .append_column("open", pa.array(filled[bins] <= capacity - capacity // OPEN)))
     return pack
 
 
@@ -189,7 +218,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
         packed = stored(given.select("*", block).groupBy("block").applyInArrow(_pack_block(round_, capacity), PACKED),
                         "packed")
         n_open = packed.where("`open`").count() if blocks > 1 else 0
-        if n_open == 0 or 2 * n_open > n:
+        if n_open == 0 or 10 * n_open > 9 * n:
             done.append(packed)
             break
         done.append(packed.where("NOT `open`"))
