@@ -1,9 +1,6 @@
 """Oversampling of minority classes (SMOTE, ADASYN, borderline SMOTE) over an exact k-NN join.
 
-The k-NN join is exact and distributed. Points are dealt to the nearest of a bounded number of pivots; a cell
-keeps its row count and radius. For a query, the nearest cells that hold k points give a true k-th distance; by
-the triangle inequality only cells with d(q, pivot) − radius within it can hold a nearer point, and only points
-with |d(q, pivot) − d(p, pivot)| within it are measured. No candidate is capped and no cross join is made.
+The join is ``neighbours.nearest``: exact, over the nested leaves of a k-d tree whose depth follows the row count.
 
 Which rows are repeated, their neighbour and their place between the two follow from a hash of (id, copy, seed),
 so a result is the same on every cluster and in SQL.
@@ -16,62 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkclin.functions.exprs import cumulative_sums, md5_bucket, q
-
-PIVOTS = 64
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
+from sparkclin.operators.neighbours import nearest
 
 def _vectors(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     v = df.select(F.col(q(id_col)).alias("id"), F.array(*[F.col(q(c)).cast("double") for c in cols]).alias("vec"))
     return v.where(F.col("id").isNotNull() & F.forall("vec", lambda x: x.isNotNull()))
 
 
-def knn(queries: DataFrame, points: DataFrame, id_col: str, cols: list[str], k: int, n_pivots: int = PIVOTS) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, id_col: str, cols: list[str], k: int) -> DataFrame:
     """(id, rank, neighbour, distance): the ``k`` nearest other points of each query by Euclidean distance.
 
     Ties go to the smaller id. Rows with a null id or feature take no part; fewer than k points give fewer rows.
     """
-    qs, ps = _vectors(queries, id_col, cols), _vectors(points, id_col, cols)
-    pivots = [r.vec for r in ps.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()]  # bounded
-    if not pivots:
-        return qs.select("id", F.lit(1).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance")).limit(0)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in pivots])
-    near = F.transform(centres, lambda c, j: F.struct(_distance(F.col("vec"), c).alias("d"), j.alias("cell")))
-    dealt = (ps.withColumn("at", F.array_min(near)).select("id", "vec", F.col("at.cell").alias("cell"), F.col("at.d").alias("d"))
-             .checkpoint(eager=True))
-    cells = {r.cell: (r.n, r.radius) for r in dealt.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()}  # at most n_pivots rows
-    stats = F.array(*[F.struct(F.lit(cells.get(j, (0, 0.0))[0]).alias("n"), F.lit(float(cells.get(j, (0, 0.0))[1])).alias("radius"))
-                      for j in range(len(pivots))])
-    known = F.array_sort(F.filter(F.zip_with(near, stats, lambda a, s: F.struct(
-        a["d"].alias("d"), a["cell"].alias("cell"), s["n"].alias("n"), s["radius"].alias("radius"))), lambda x: x["n"] > 0))
-    asked = qs.select("id", "vec", known.alias("cells")).checkpoint(eager=True)
-    # The nearest cells that together hold k other points.
-    upto = F.filter(F.col("cells"), lambda x, i: F.aggregate(
-        F.slice("cells", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y["n"]) <= k)
-    first = _measure(asked.select("id", "vec", F.explode(upto).alias("c")), dealt, None)
-    within = F.filter("cells", lambda x: F.col("bound").isNull() | (x["d"] - x["radius"] <= F.col("bound") + 1e-9))
-    wide = asked.join(_kth(first, k), "id", "left").select("id", "vec", "bound", F.explode(within).alias("c"))
-    found = _measure(wide, dealt, F.col("bound"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
-
-
-def _measure(asked: DataFrame, dealt: DataFrame, bound: Column | None) -> DataFrame:
-    points = dealt.select(F.col("cell").alias("p_cell"), F.col("id").alias("neighbour"), F.col("vec").alias("p_vec"), F.col("d").alias("p_d"))
-    cond = (F.col("c.cell") == F.col("p_cell")) & (F.col("id") != F.col("neighbour"))
-    if bound is not None:
-        cond = cond & (bound.isNull() | (F.abs(F.col("c.d") - F.col("p_d")) <= bound + 1e-9))
-    return asked.join(points, cond).select("id", "neighbour", _distance(F.col("vec"), F.col("p_vec")).alias("distance"))
-
-
-def _kth(found: DataFrame, k: int) -> DataFrame:
-    """(id, bound): distance of the k-th nearest found so far; ids with fewer are left out (no bound)."""
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance"))
-    return found.withColumn("r", rank).where(F.col("r") == k).select("id", F.col("distance").alias("bound"))
+    qs, ps = (_vectors(x, id_col, cols).withColumn("space", F.lit(0)) for x in (queries, points))
+    return nearest(qs, ps, k).select("id", "rank", "neighbour", "distance")
 
 
 def _key(*parts: Column) -> Column:

@@ -1,13 +1,12 @@
-"""Registered queries for the exact k-NN join and oversampling (D20–D22) over ``scored_v``."""
+"""Registered queries for the exact k-NN join, oversampling (D20–D22) over ``scored_v`` and imputation."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sparkclin.operators import balance as B
+from sparkclin.operators import neighbours as N
 from sparkclin.operators import prep as P
 from sparkclin.plans.registry import register
-from sparkclin.sources.views import scored
+from sparkclin.sources.views import patients, scored
 
 COLS = ["glucose", "bmi", "age"]
 
@@ -59,12 +58,15 @@ SELECT p.id, CAST(p.copy AS INTEGER), {', '.join(f'a.{x} + p.gap * (b.{x} - a.{x
 FROM pick p JOIN near n ON n.id = p.id AND n.rank = p.rank JOIN own a ON a.id = p.id JOIN own b ON b.id = n.neighbour"""
 
 
-@register("knn_neighbours", dbl=["distance"], sql=_BASE + " SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, distance FROM near")
+@register("knn_neighbours", dbl=["distance"], sql=_BASE.split("sz AS")[0] + f"""
+ids AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM src),
+found AS (SELECT a.id, min(struct_pack(d := {_dist('a', 'b')}, i := b.i), 5) AS near FROM ids a JOIN ids b ON a.i <> b.i GROUP BY a.id),
+flat AS (SELECT id, unnest(near) AS n, unnest(range(1, len(near) + 1)) AS rank FROM found)
+SELECT flat.id, CAST(rank AS INTEGER) AS rank, ids.id AS neighbour, n.d AS distance FROM flat JOIN ids ON ids.i = n.i""")
 def q_knn_neighbours(spark, sf):
+    """Every patient's nearest patients, over all rows."""
     s = _source(spark, sf)
-    small = s.groupBy("y_true").count().orderBy("count").first().y_true  # one row a class
-    own = s.where(F.col("y_true") == small)
-    return B.knn(own, own, "patient_id", COLS, 5)
+    return B.knn(s, s, "patient_id", COLS, 5)
 
 
 def _run(spark, sf, method):
@@ -86,3 +88,25 @@ def q_balance_adasyn(spark, sf):
 danger AS (SELECT id FROM share WHERE 2 * others >= n_near AND others < n_near)""" + _even("danger") + _MADE)
 def q_balance_borderline(spark, sf):
     return _run(spark, sf, "borderline")
+
+
+_FIELDS = ["age", "glucose", "blood_pressure", "skin_thickness", "insulin", "bmi"]
+_HOLES = ["glucose", "blood_pressure"]  # the only fields of the view that hold nulls
+
+
+def _lend(c):
+    """Means of field ``c`` over the five nearest rows that have it, for rows that don't."""
+    both = [f"(CASE WHEN a.{x} IS NOT NULL AND b.{x} IS NOT NULL THEN 1 ELSE 0 END)" for x in _FIELDS]
+    square = " + ".join(f"coalesce((a.{x} - b.{x}) * (a.{x} - b.{x}), 0)" for x in _FIELDS)
+    return f"""(SELECT id, avg(v) AS v FROM (
+    SELECT a.id, b.{c} AS v, row_number() OVER (PARTITION BY a.id ORDER BY sqrt({square}) * sqrt({len(_FIELDS)}.0 / ({' + '.join(both)})), b.id) AS r
+    FROM p a JOIN p b ON a.{c} IS NULL AND b.{c} IS NOT NULL QUALIFY r <= 5) GROUP BY id)"""
+
+
+@register("impute_knn", dbl=_FIELDS, sql=f"""
+WITH p AS (SELECT patient_id AS id, {', '.join(f'CAST({x} AS DOUBLE) AS {x}' for x in _FIELDS)} FROM patients_v),
+m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in _HOLES)} FROM p)
+SELECT p.id AS patient_id, {', '.join(f'coalesce(p.{x}, n_{x}.v, m_{x}) AS {x}' if x in _HOLES else f'p.{x}' for x in _FIELDS)}
+FROM p CROSS JOIN m {' '.join(f'LEFT JOIN {_lend(c)} n_{c} ON n_{c}.id = p.id' for c in _HOLES)}""")
+def q_impute_knn(spark, sf):
+    return N.impute_knn(patients(spark, sf).select("patient_id", *_FIELDS), _FIELDS, "patient_id")

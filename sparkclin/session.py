@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC timestamps (the oracle is UTC-naive),
 # adaptive execution for runtime coalescing / skew splitting, Arrow for the
@@ -62,3 +63,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="sparkclin-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, as Parquet, to the shared folder and read back.
+
+    ``checkpoint()`` runs a plan twice, once for its job and once to write. A written table runs it once, keeps its
+    columns apart for pruning and pushdown, and survives lost executors. The folder is the cluster's scratch space.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
