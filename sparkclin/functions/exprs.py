@@ -124,34 +124,60 @@ def _same_group(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     return left.join(renamed, cond, "inner").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], value: str = "value",
-                   weight: str | None = None) -> DataFrame:
-    """Exact linear-interpolation quantiles (``percentile`` / numpy default) per group, distributed.
+SKETCH = 10_000  # accuracy of the quantile sketch that brackets an order statistic
 
-    Spark's exact ``percentile`` merges every distinct value of a group into
-    one task's hash map; here values are counted per (group, value), ranked
-    with bucketed prefix sums, and the two order statistics around
-    h = (n − 1)·p are picked with a grouped ``min``: every step is a
-    partitioned aggregate. Returns (group..., __q array<double>).
-    """
-    g = list(group_cols)
-    w = F.col(weight) if weight else F.lit(1)
-    vc = long.where(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("__v")).agg(
-        F.sum(w).cast("long").alias("__c"))
-    vc = vc.where(F.col("__c") > 0)
-    cum = cumulative_sums(vc, "__v", ["__c"], g)
-    n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
-    # Without groups this is one row; with them one row per group, and AQE picks the join.
-    j = _same_group(cum, n, g) if g else cum.crossJoin(F.broadcast(n))
+
+def _pick(ranked: DataFrame, probs: list[float], g: list[str]) -> DataFrame:
+    """Interpolated quantiles of rows (g..., __v, __c, __cum, __n) with the running count up to each value."""
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p))
-        aggs += [F.min(F.when(F.col("cum___c") > F.floor(h), F.col("__v"))).alias(f"__lo{i}"),
-                 F.min(F.when(F.col("cum___c") > F.ceil(h), F.col("__v"))).alias(f"__hi{i}"),
+        aggs += [F.min(F.when(F.col("__cum") > F.floor(h), F.struct("__cum", "__v"))).getField("__v").alias(f"__lo{i}"),
+                 F.min(F.when(F.col("__cum") > F.ceil(h), F.struct("__cum", "__v"))).getField("__v").alias(f"__hi{i}"),
                  F.first(h - F.floor(h)).alias(f"__fr{i}")]
-    a = j.groupBy(*g).agg(*aggs)
-    qs = [F.col(f"__lo{i}") + F.col(f"__fr{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}")) for i in range(len(probs))]
-    return a.select(*g, F.array(*qs).alias("__q"))
+    a = ranked.groupBy(*g).agg(*aggs)
+    missed = F.raise_error(F.lit("an order statistic lies outside its bracket")).cast("double")
+    lo = [F.coalesce(F.col(f"__lo{i}"), missed) for i in range(len(probs))]
+    hi = [F.coalesce(F.col(f"__hi{i}"), missed) for i in range(len(probs))]
+    return a.select(*g, F.array(*[lo[i] + F.col(f"__fr{i}") * (hi[i] - lo[i]) for i in range(len(probs))]).alias("__q"))
+
+
+def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], value: str = "value",
+                   weight: str | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (``percentile`` / numpy default) per group, by bracketing.
+
+    Spark's exact ``percentile`` merges every distinct value of a group into one task's hash map. Here one aggregate
+    sketches each group (``percentile_approx``) just below and above every probability, wider than the sketch's error, so the
+    wanted order statistics surely lie in these brackets. A second aggregate counts rows between the brackets
+    without their values, and keeps (value, count) inside them only: at most 6 / ``SKETCH`` of the rows a probability
+    (of a group up to ``SKETCH`` rows, where rounding to whole rows matters, every value). That narrow table is shuffled
+    and ranked. With ``weight`` (rows already reduced to distinct values) ranks come from the bucketed prefix sums.
+    Returns (group..., __q array<double>).
+    """
+    g = list(group_cols)
+    v = F.col(value).cast("double")
+    if weight:
+        vc = long.where(v.isNotNull()).groupBy(*g, v.alias("__v")).agg(F.sum(weight).cast("long").alias("__c"))
+        vc = vc.where(F.col("__c") > 0)
+        n = vc.groupBy(*g).agg(F.sum("__c").alias("__n"))
+        cum = cumulative_sums(vc, "__v", ["__c"], g).withColumnRenamed("cum___c", "__cum")
+        return _pick(_same_group(cum, n, g) if g else cum.crossJoin(F.broadcast(n)), probs, g)
+    base = long.where(v.isNotNull()).select(*g, v.alias("__v"))
+    edges = sorted({round(x, 9) for p in probs for x in (max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH))})
+    # Slots of the sorted edges: 2i is strictly between edges i - 1 and i, 2i + 1 is edge i itself.
+    kept = [2 * i for i in range(1, len(edges)) if any(p - 3 / SKETCH <= (edges[i - 1] + edges[i]) / 2 <= p + 3 / SKETCH for p in probs)]
+    sketch = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.expr(
+        f"percentile_approx(__v, array({', '.join(map(str, edges))}), {SKETCH})").alias("__e"))
+    j = _same_group(base, sketch, g) if g else base.crossJoin(F.broadcast(sketch))
+    below = F.lit(0)
+    for i in range(len(edges)):
+        e = F.get("__e", F.lit(i))
+        below = below + F.when(F.col("__v") > e, 2).when(F.col("__v") == e, 1).otherwise(0)
+    inside = F.array_contains("__e", F.col("__v")) | F.col("__s").isin(kept) | (F.col("__n") <= SKETCH)
+    counts = (j.withColumn("__s", below).select(*g, "__n", "__s", F.when(inside, F.col("__v")).alias("__v"))
+              .groupBy(*g, "__n", "__s", "__v").agg(F.count(F.lit(1)).alias("__c")))
+    order = Window.partitionBy(*(g or [F.lit(0)])).orderBy("__s", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    return _pick(counts.withColumn("__cum", F.sum("__c").over(order)), probs, g)
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool = False,

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkclin.functions.exprs import column_quantiles, cumulative_sums, q, with_constants
+from sparkclin.operators.keyed import CHUNK, HOT, HOT_ROWS, REAL, carried, cut, is_cut, join_same, with_halo
+from sparkclin.session import stored
 
 # Bin edges and labels (right-closed intervals).
 BMI_BINS = ([0, 18.5, 24.9, 29.9, 100], ["underweight", "normal", "overweight", "obese"])
@@ -114,9 +116,13 @@ def group_aggregates(df: DataFrame, group_col: str, agg_cols: list[str], agg_fun
 
 
 def rolling_aggregates(df: DataFrame, entity: str, order: list[str], value_cols: list[str],
-                       windows: list[int], funcs: list[str]) -> DataFrame:
-    """mean/std/min/max over the last w rows per entity; NULL until w values are present."""
-    base = Window.partitionBy(entity).orderBy(*order)
+                       windows: list[int], funcs: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """mean/std/min/max over the last w rows per entity; NULL until w values are present.
+
+    An entity of more than ``hot_rows`` rows is cut in time; the widest frame's rows come along as a halo.
+    """
+    x = with_halo(cut(df, [entity], order[0], hot_rows), order, max(windows) - 1)
+    base = Window.partitionBy(entity, CHUNK).orderBy(*order)
     fn = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     out = []
     for c in value_cols:
@@ -125,23 +131,42 @@ def rolling_aggregates(df: DataFrame, entity: str, order: list[str], value_cols:
             full = F.count(q(c)).over(ww) >= w
             for f in funcs:
                 out.append(F.when(full, fn[f](q(c)).over(ww)).alias(f"{c}_rolling_{w}_{f}"))
-    return df.select("*", *out)
+    made = [f"{c}_rolling_{w}_{f}" for c in value_cols for w in windows for f in funcs]
+    return x.select("*", *out).where(REAL).select(*[F.col(q(c)) for c in [*df.columns, *made]])
 
 
-def lag_diff_features(df: DataFrame, entity: str, order: list[str], value_cols: list[str]) -> DataFrame:
-    """Lag 1/3/7, diff 1/3, pct_change against the forward-filled previous value."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    wff = w.rowsBetween(Window.unboundedPreceding, 0)
+def lag_diff_features(df: DataFrame, entity: str, order: list[str], value_cols: list[str],
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Lag 1/3/7, diff 1/3, pct_change against the forward-filled previous value.
+
+    An entity of more than ``hot_rows`` rows is cut in time: lags read a halo of seven rows, and the value to fill forward
+    is carried from chunk to chunk.
+    """
+    x = cut(df, [entity], order[0], hot_rows)
+    carries = {}
+    if is_cut(x):
+        part = x.where(F.col(HOT).isNotNull())
+        latest = part.groupBy(HOT, CHUNK).agg(*[F.max_by(F.when(F.col(q(c)).isNotNull(), F.struct(F.col(q(c)).alias("v"))), F.when(
+            F.col(q(c)).isNotNull(), F.struct(*order))).getField("v").alias(f"__l{i}") for i, c in enumerate(value_cols)])
+        latest = stored(latest, "latest")
+        for i, c in enumerate(value_cols):
+            x = join_same(x, carried(latest, f"__l{i}").withColumnRenamed("__carry", f"__carry{i}"), [HOT, CHUNK])
+            carries[c] = F.col(f"__carry{i}")
+    x = with_halo(x, order, 7)
+    w = Window.partitionBy(entity, CHUNK).orderBy(*order)
     out = []
-    for c in value_cols:
-        x = F.col(q(c))
-        ff = F.last(x, ignorenulls=True).over(wff)
-        out += [F.lag(x, 1).over(w).alias(f"{c}_lag_1"), F.lag(x, 3).over(w).alias(f"{c}_lag_3"),
-                F.lag(x, 7).over(w).alias(f"{c}_lag_7"), (x - F.lag(x, 1).over(w)).alias(f"{c}_diff_1"),
-                (x - F.lag(x, 3).over(w)).alias(f"{c}_diff_3")]
-        prev_ff = F.lag(ff, 1).over(w)
-        out.append(F.try_divide(ff, prev_ff).__sub__(F.lit(1.0)).alias(f"{c}_pct_change"))
-    return df.select("*", *out)
+    for i, c in enumerate(value_cols):
+        v = F.col(q(c))
+        # Halo rows bear their own chunk's carry, but their results are dropped; a real row reads its chunk's.
+        start = carries.get(c, F.lit(None).cast("double"))
+        ff = F.coalesce(F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), start)
+        prev = F.coalesce(F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), start)
+        out += [F.lag(v, 1).over(w).alias(f"{c}_lag_1"), F.lag(v, 3).over(w).alias(f"{c}_lag_3"),
+                F.lag(v, 7).over(w).alias(f"{c}_lag_7"), (v - F.lag(v, 1).over(w)).alias(f"{c}_diff_1"),
+                (v - F.lag(v, 3).over(w)).alias(f"{c}_diff_3"),
+                (F.try_divide(ff, prev) - F.lit(1.0)).alias(f"{c}_pct_change")]
+    made = [f"{c}_{k}" for c in value_cols for k in ("lag_1", "lag_3", "lag_7", "diff_1", "diff_3", "pct_change")]
+    return x.select("*", *out).where(REAL).select(*[F.col(q(c)) for c in [*df.columns, *made]])
 
 
 def frequency_rank_encode(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
@@ -262,19 +287,25 @@ def quantile_bins(df: DataFrame, cols: list[str], n_bins: int = 5) -> DataFrame:
     return j.select(*df.columns, *[rep[c].alias(f"{c}_qbin") for c in cols])
 
 
-def value_trend(df: DataFrame, entity: str, order: list[str], value_col: str, window: int = 7) -> DataFrame:
-    """Least-squares slope of value against the row index over the last ``window`` rows."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    idx = F.row_number().over(w).cast("double")
-    base = df.withColumn("__i", idx)
-    ww = Window.partitionBy(entity).orderBy(*order).rowsBetween(-(window - 1), 0)
+def value_trend(df: DataFrame, entity: str, order: list[str], value_col: str, window: int = 7,
+                hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Least-squares slope of value against the row index over the last ``window`` rows.
+
+    An entity of more than ``hot_rows`` rows is cut in time, with a halo of a frame; a slope doesn't depend on where the
+    index starts, so each chunk counts its own.
+    """
+    x = with_halo(cut(df, [entity], order[0], hot_rows), order, window - 1)
+    w = Window.partitionBy(entity, CHUNK).orderBy(*order)
+    base = x.withColumn("__i", F.row_number().over(w).cast("double"))
+    ww = w.rowsBetween(-(window - 1), 0)
     x, y = F.col("__i"), F.col(q(value_col)).cast("double")
     n = F.count(y).over(ww)
     sx, sy = F.sum(F.when(y.isNotNull(), x)).over(ww), F.sum(y).over(ww)
     sxx, sxy = F.sum(F.when(y.isNotNull(), x * x)).over(ww), F.sum(x * y).over(ww)
     den = n * sxx - sx * sx
     slope = F.when(den != 0, (n * sxy - sx * sy) / den)
-    return base.select(*df.columns, slope.alias(f"{value_col}_trend"))
+    return (base.select("*", slope.alias(f"{value_col}_trend")).where(REAL)
+            .select(*[F.col(q(c)) for c in [*df.columns, f"{value_col}_trend"]]))
 
 
 def named_groups(df: DataFrame) -> DataFrame:

@@ -1,19 +1,23 @@
 """Request-log monitoring: windows, counters, histograms, alerts and state machines.
 
 Time windows use ``window()`` grouping (tumbling / sliding) so they work
-unchanged on streams. Ordered state machines (alert cooldown, token bucket,
-circuit breaker) are per-key scans: ``applyInPandas`` grouped by key with
-rows sorted by (ts, id) in batch, ``transformWithStateInPandas`` in streams.
-A single key is inherently serial; keys spread across tasks.
+unchanged on streams. Ordered work per key (alert cooldown, request cache,
+islands, moving averages) is cut in time by ``keyed``, so a hot key spreads
+over tasks. The token bucket and circuit breaker replays are per-key scans.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkclin.functions.exprs import safe_div
+from sparkclin.functions.exprs import q, quantiles_long, safe_div
+from sparkclin.operators.keyed import CHUNK, HOT, HOT_ROWS, REAL, cut, fire_with_cooldown, is_cut, join_same, with_halo
+from sparkclin.session import stored
 
 # Latency histogram upper bounds in seconds.
 LATENCY_BUCKETS_S = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0]
@@ -45,10 +49,13 @@ def canary_guard(log: DataFrame, track: str = "track", latency_ms: str = "latenc
     Canary and baseline rows of the same window are paired by a join on the
     window (a small table: windows × 2 tracks).
     """
-    g = log.groupBy(F.window(_ts(), window).alias("w"), track).agg(
+    timed = log.withColumn("w", F.window(_ts(), window))
+    g = timed.groupBy("w", track).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col(status) >= 400).cast("double")).alias("error_rate"),
-        F.expr(f"percentile_approx({latency_ms}, 0.95, 10000)" if approx else f"percentile({latency_ms}, 0.95)")
-        .alias("p95_ms"))
+        *([F.expr(f"percentile_approx({latency_ms}, 0.95, 10000)").alias("p95_ms")] if approx else []))
+    if not approx:
+        g = join_same(g, quantiles_long(timed, [0.95], ["w", track], latency_ms), ["w", track])
+        g = g.withColumn("p95_ms", F.get("__q", F.lit(0))).drop("__q")
     g = g.withColumn("__s", _seconds(F.col("w")))
     c = g.where(F.col(track) == canary).select("__s", F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col("n").alias("canary_n"),
                                                F.col("error_rate").alias("canary_error_rate"), F.col("p95_ms").alias("canary_p95_ms"))
@@ -138,34 +145,6 @@ def alert_candidates(metrics: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "t
     return x.select(ts, id_col, "r.*")
 
 
-def _fire_scan(pdf):
-    """One segment in (time, id) order: a row fires when the last firing is at least ``__cd`` seconds back."""
-    pdf = pdf.sort_values(["__t", "__id"], kind="stable")
-    last, fires = None, []
-    for t, cd in zip(pdf["__t"], pdf["__cd"]):
-        fire = last is None or t - last >= cd
-        fires.append(fire)
-        if fire:
-            last = t
-    return pdf.assign(fires=fires).drop(columns=["__t", "__id", "__cd", "__seg", "__cut"])
-
-
-def fire_with_cooldown(df: DataFrame, key: list[str], ts: str, id_col: str, cooldown_s: Column) -> DataFrame:
-    """``df`` plus ``fires``: per key in (ts, id) order, true when ``cooldown_s`` has passed since the last firing.
-
-    A row that comes at least a cooldown after its predecessor fires whatever
-    went before, so keys are cut at such gaps and each segment is scanned on
-    its own: a hot key spreads over its segments.
-    """
-    w = Window.partitionBy(*key).orderBy("__t", "__id")
-    x = df.select("*", (F.unix_micros(_ts(ts)) / 1e6).alias("__t"), F.col(id_col).alias("__id"),
-                  cooldown_s.cast("double").alias("__cd"))
-    x = x.withColumn("__cut", F.coalesce(F.col("__t") - F.lag("__t").over(w) >= F.col("__cd"), F.lit(True)))
-    x = x.withColumn("__seg", F.sum(F.col("__cut").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["fires boolean"])
-    return x.groupBy(*key, "__seg").applyInPandas(_fire_scan, schema)
-
-
 def evaluate_alert_rules(metrics: DataFrame, rules=DEFAULT_ALERT_RULES, ts: str = "ts",
                          id_col: str = "sample_id") -> DataFrame:
     """A rule fires when its condition holds and ≥ cooldown seconds passed since it last fired."""
@@ -252,66 +231,82 @@ def histogram_quantile(hist: DataFrame, qv: float, group_cols: list[str] | None
     return first.select(*g, val.alias("quantile"))
 
 
-def sustained_condition(df: DataFrame, key: list[str], ts: str, cond: Column, min_seconds: float) -> DataFrame:
+def sustained_condition(df: DataFrame, key: list[str], ts: str, cond: Column, min_seconds: float,
+                        hot_rows: int = HOT_ROWS) -> DataFrame:
     """Islands of consecutive rows where ``cond`` holds (gaps-and-islands per key);
-    an island alerts when it lasts at least ``min_seconds``."""
-    w = Window.partitionBy(*key).orderBy(ts)
-    x = df.select(*key, ts, cond.alias("__c"))
-    x = x.withColumn("__chg", (F.col("__c") != F.coalesce(F.lag("__c").over(w), ~F.col("__c"))).cast("int"))
-    x = x.withColumn("__isl", F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isl = x.where("__c").groupBy(*key, "__isl").agg(F.min(ts).alias("start"), F.max(ts).alias("end"),
-                                                     F.count(F.lit(1)).alias("n"))
+    an island alerts when it lasts at least ``min_seconds``.
+
+    A key of more than ``hot_rows`` rows is cut in time: a chunk numbers its changes against a halo of one row, and the
+    changes of the chunks before it are added to the numbers of its islands, which joins an island that spans chunks.
+    """
+    x = with_halo(cut(df.select(*key, ts, cond.alias("__c")), key, ts, hot_rows), [ts], 1)
+    w = Window.partitionBy(*key, CHUNK).orderBy(ts)
+    last = F.lag("__c").over(w)
+    x = x.withColumn("__chg", (F.col("__c") != F.coalesce(last, ~F.col("__c"))).cast("int")).where(REAL)
+    x = x.withColumn("__isl", F.coalesce(F.sum("__chg").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    part = x.groupBy(*key, HOT, CHUNK, "__isl").agg(
+        F.min(F.when(F.col("__c"), F.col(ts))).alias("start"), F.max(F.when(F.col("__c"), F.col(ts))).alias("end"),
+        F.count_if("__c").alias("n"))
+    if is_cut(x):
+        part = stored(part, "islands")
+        changes = part.where(F.col(HOT).isNotNull()).groupBy(HOT, CHUNK).agg(F.max("__isl").alias("__m"))
+        before = Window.partitionBy(HOT).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # over one row a chunk
+        changes = changes.select(HOT, CHUNK, F.sum("__m").over(before).alias("__before"))
+        part = join_same(part, changes, [HOT, CHUNK]).withColumn("__isl", F.col("__isl") + F.coalesce("__before", F.lit(0)))
+        part = part.groupBy(*key, "__isl").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    isl = part.where(F.col("n") > 0)
     dur = F.unix_micros(F.col("end").cast("timestamp")) / 1e6 - F.unix_micros(F.col("start").cast("timestamp")) / 1e6
     return isl.select(*key, "start", "end", "n", dur.alias("duration_s"), (dur >= min_seconds).alias("alert"))
 
 
-EMA_CHUNK = 4096  # rows of a key that are folded in one go
-
-
 def ema_latency(log: DataFrame, key: list[str], order: list[str], latency_ms: str = "latency_ms",
-                alpha: float = 0.1, chunk: int = EMA_CHUNK) -> DataFrame:
+                alpha: float = 0.1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Avg ← (1 − α)·avg + α·x starting at 0, per key in (ts, id) order, over the whole history.
 
-    The recurrence is an associative scan. Positions per key come from
-    distributed prefix sums over the event time; ``chunk`` consecutive rows
-    are folded from 0 in one bounded group; the chunks of a key (their row
-    count and folded value) are combined in order; and each row adds its
-    chunk's incoming average, decayed by its place in the chunk.
+    The recurrence is an associative scan. Each chunk of a key is folded from 0 in one pass; the chunks of a cut key
+    (their row count and folded value, one row each) are combined in order; and each row adds its chunk's incoming
+    average, decayed by its place in the chunk. A row without a latency repeats the average before it. Every row
+    stays, also one without key or time.
     """
-    from sparkclin.functions.exprs import cumulative_sums
     import pandas as pd
-    t = F.unix_micros(_event_ts(log, order[0])).cast("double").alias("__t")
-    base = log.select("*", F.col(latency_ms).cast("double").alias("__x"), t)
-    cnt = base.groupBy(*key, "__t").agg(F.count(F.lit(1)).alias("__c"))
-    cum = cumulative_sums(cnt, "__t", ["__c"], key).select(*key, "__t", (F.col("cum___c") - F.col("__c")).alias("__before"))
-    rn = F.row_number().over(Window.partitionBy(*key, "__t").orderBy(*order[1:] or order))
-    pos = base.join(cum, key + ["__t"]).withColumn("__i", (F.col("__before") + rn - 1).cast("long"))
-    pos = pos.withColumn("__chunk", F.floor(F.col("__i") / chunk).cast("long")).drop("__t", "__before")
-
-    def fold(pdf):
-        pdf = pdf.sort_values("__i")
-        first = pd.Series([0.0]).astype(float)  # the average before the first row
-        local = pd.concat([first, pdf["__x"]], ignore_index=True).ewm(alpha=alpha, adjust=False).mean().iloc[1:]
-        return pdf.assign(__local=local.to_numpy())
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pos.schema.fields] + ["`__local` double"])
-    local = pos.groupBy(*key, "__chunk").applyInPandas(fold, schema)
-    ends = local.groupBy(*key, "__chunk").agg(F.max_by("__local", "__i").alias("__s"), F.count(F.lit(1)).alias("__n"))
-
-    def carry(pdf):
-        pdf = pdf.sort_values("__chunk")
-        out, state = [], 0.0
-        for s, n in zip(pdf["__s"], pdf["__n"]):
-            out.append(state)
-            state = state * (1 - alpha) ** n + s
-        return pdf.assign(__in=out).drop(columns=["__s", "__n"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in pos.schema.fields}
-    carried = ends.groupBy(*key).applyInPandas(
-        carry, ", ".join([f"`{k}` {kinds[k]}" for k in key] + ["`__chunk` long", "`__in` double"]))
-    place = F.col("__i") - F.col("__chunk") * chunk + 1
-    ema = F.col("__local") + F.col("__in") * F.pow(F.lit(1.0 - alpha), place)
-    return local.join(carried, key + ["__chunk"]).select(*log.columns, ema.alias("ema_latency_ms"))
+    names = log.columns
+    x = cut(log.withColumn("__x", F.col(latency_ms).cast("double")), key, order[0], hot_rows)
+
+    def folded(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        nulls_first = pc.sort_indices(table.select(order), sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+        table = table.take(nulls_first)
+        v = table.column("__x").to_numpy()
+        given = ~np.isnan(v)
+        place = np.cumsum(given)
+        average = pd.Series(np.concatenate([[0.0], v[given]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+        return table, average[place], place
+
+    def rows(table: pa.Table) -> pa.Table:
+        table, average, place = folded(table)
+        return table.select([*names, HOT, CHUNK]).append_column("__local", pa.array(average)).append_column("__place", pa.array(place))
+
+    def end(key_: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, average, place = folded(table)
+        return pa.table({HOT: [key_[0].as_py()], CHUNK: pa.array([key_[1].as_py()], pa.int32()), "__s": average[-1:], "__n": place[-1:]})
+
+    types = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in log.schema.fields)
+    local = x.groupBy(*[F.col(q(k)) for k in key], CHUNK).applyInArrow(rows, f"{types}, {HOT} long, {CHUNK} int, __local double, __place long")
+    ema = F.col("__local")
+    if is_cut(x):
+        ends = x.where(F.col(HOT).isNotNull()).groupBy(HOT, CHUNK).applyInArrow(end, f"{HOT} long, {CHUNK} int, __s double, __n long")
+
+        def carry(pdf):
+            pdf = pdf.sort_values(CHUNK)
+            out, state = [], 0.0
+            for s, n in zip(pdf["__s"], pdf["__n"]):
+                out.append(state)
+                state = state * (1 - alpha) ** n + s
+            return pdf.assign(__in=out).drop(columns=["__s", "__n"])
+
+        into = ends.groupBy(HOT).applyInPandas(carry, f"{HOT} long, {CHUNK} int, __in double")  # a row a chunk
+        local = join_same(local, into, [HOT, CHUNK])
+        ema = ema + F.coalesce("__in", F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), F.col("__place"))
+    return local.select(*[F.col(q(c)) for c in names], ema.alias("ema_latency_ms"))
 
 
 def rolling_latency_quantiles(log: DataFrame, key: list[str], order: list[str], latency_ms: str = "latency_ms",
@@ -330,14 +325,14 @@ def rolling_latency_quantiles(log: DataFrame, key: list[str], order: list[str],
     cnt = base.groupBy(*key, "__t").agg(F.count(F.lit(1)).alias("__c"))
     cum = cumulative_sums(cnt, "__t", ["__c"], key).select(*key, "__t", (F.col("cum___c") - F.col("__c")).alias("__before"))
     rn = F.row_number().over(Window.partitionBy(*key, "__t").orderBy(*order[1:] or order))
-    pos = base.join(cum, key + ["__t"]).withColumn("__i", F.col("__before") + rn)  # 1-based position
+    pos = join_same(base, cum, key + ["__t"], "inner").withColumn("__i", F.col("__before") + rn)  # 1-based position
     first = F.ceil(F.col("__i") / every).cast("long")
     last = F.floor((F.col("__i") + window - 1) / every).cast("long")
     ex = pos.select(*key, *order, "__l", "__i", F.explode(F.sequence(first, last)).alias("__rep"))
     ex = ex.where((F.col("__rep") * every >= F.col("__i")) & (F.col("__rep") * every - F.col("__i") < window))
     here = ex.where(F.col("__i") == F.col("__rep") * every).select(*key, "__rep", *order)
     lists = ex.groupBy(*key, "__rep").agg(F.array_sort(F.collect_list("__l")).alias("__a"))
-    rep = lists.join(here, key + ["__rep"])
+    rep = join_same(lists, here, key + ["__rep"], "inner")
     n = F.size("__a")
     return rep.where(n >= min_count).select(*key, *order, n.alias("n"),
                                             F.element_at("__a", F.floor(n * 0.95).cast("int") + 1).alias("p95"),

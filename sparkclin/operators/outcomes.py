@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkclin.functions.exprs import quantiles_long
 from sparkclin.operators.drift import ks_two_sample
 
 
@@ -84,8 +85,11 @@ def canary_compare(df: DataFrame, track: str = "track", prob: str = "probability
     st = df.groupBy().agg(*[f for t in (canary, baseline) for f in (
         F.avg(F.when(F.col(track) == t, F.col(prob))).alias(f"{t}_mean"),
         F.stddev_samp(F.when(F.col(track) == t, F.col(prob))).alias(f"{t}_std"),
-        F.expr(f"percentile(CASE WHEN {track} = '{t}' THEN {prob} END, 0.5)").alias(f"{t}_median"),
         F.avg(F.when(F.col(track) == t, conf)).alias(f"{t}_confidence"))])
-    r = ks.crossJoin(sd).crossJoin(st)
+    medians = quantiles_long(df.where(F.col(track).isin(canary, baseline)), [0.5], [track], prob)
+    st = st.crossJoin(medians.agg(*[F.first(F.when(F.col(track) == t, F.get("__q", F.lit(0))), ignorenulls=True).alias(f"{t}_median")
+                                    for t in (canary, baseline)]))
+    parts = [f"{t}_{k}" for t in (canary, baseline) for k in ("mean", "std", "median", "confidence")]
+    r = ks.crossJoin(sd).crossJoin(st.select(*parts))
     return r.select("*", F.when((F.col("ks_statistic") < 0.05) & (F.col("max_share_diff") < 0.05), "PROMOTE")
                     .when(F.col("ks_statistic") < 0.1, "MONITOR").otherwise("ROLLBACK").alias("decision"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkclin.functions.exprs import quantiles_long
 from sparkclin.operators import ops as X
 from sparkclin.plans.registry import register
 from sparkclin.sources.views import reqlog
@@ -47,8 +48,8 @@ SELECT l.metric, l.endpoint, l.value, th.op, th.threshold, th.severity FROM l JO
 WHERE CASE WHEN th.op = '>' THEN l.value > th.threshold ELSE l.value < th.threshold END""")
 def q_metric_thresholds(spark, sf):
     r = reqlog(spark, sf)
-    m = r.groupBy("endpoint").agg(F.avg((F.col("status") >= 400).cast("double")).alias("error_rate"),
-                                  F.expr("percentile(latency_ms, 0.95)").alias("p95_latency_ms"))
+    m = r.groupBy("endpoint").agg(F.avg((F.col("status") >= 400).cast("double")).alias("error_rate"))
+    m = m.join(quantiles_long(r, [0.95], ["endpoint"], "latency_ms"), "endpoint").withColumn("p95_latency_ms", F.get("__q", F.lit(0)))
     long = m.select("endpoint", F.explode(F.array(
         F.struct(F.lit("error_rate").alias("metric"), F.col("error_rate").alias("value")),
         F.struct(F.lit("p95_latency_ms").alias("metric"), F.col("p95_latency_ms").alias("value")))).alias("s")) \
@@ -66,10 +67,10 @@ def q_metric_range(spark, sf):
 
 def _minute_metrics(spark, sf):
     r = reqlog(spark, sf)
-    g = r.groupBy(F.window(F.col("ts").cast("timestamp"), "1 minute").alias("w")).agg(
-        F.avg((F.col("status") >= 400).cast("double")).alias("error_rate"),
-        F.expr("percentile(latency_ms, 0.95)").alias("p95_latency_ms"),
-        (F.count(F.lit(1)) / 60.0).alias("throughput"))
+    r = r.withColumn("w", F.window(F.col("ts").cast("timestamp"), "1 minute"))
+    g = r.groupBy("w").agg(F.avg((F.col("status") >= 400).cast("double")).alias("error_rate"),
+                           (F.count(F.lit(1)) / 60.0).alias("throughput"))
+    g = g.join(quantiles_long(r, [0.95], ["w"], "latency_ms"), "w").withColumn("p95_latency_ms", F.get("__q", F.lit(0)))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("ts"),
                     F.unix_seconds(F.col("w.start")).alias("sample_id"), "error_rate", "p95_latency_ms", "throughput")
 

@@ -228,7 +228,7 @@ def test_ema_exact_for_small_alpha_and_long_keys(spark):
     n, alpha = 5000, 0.001
     d = spark.range(n).select(F.lit(1).alias("k"), F.col("id"), F.expr("timestamp_seconds(id div 3)").alias("ts"),
                               ((F.col("id") * 7919) % 1013).cast("double").alias("latency_ms"))
-    got = {r.id: r.ema_latency_ms for r in X.ema_latency(d, ["k"], ["ts", "id"], alpha=alpha, chunk=700).collect()}
+    got = {r.id: r.ema_latency_ms for r in X.ema_latency(d, ["k"], ["ts", "id"], alpha=alpha, hot_rows=700).collect()}
     avg = 0.0
     for i in range(n):
         avg = (1 - alpha) * avg + alpha * ((i * 7919) % 1013)
