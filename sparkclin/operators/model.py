@@ -66,11 +66,11 @@ def score_batch(model, df: DataFrame, feature_cols: list[str], fallback: DataFra
 
 # ------------------------------------------------------------------ E4 / E7
 def class_weights(df: DataFrame, target: str = "target", out: str = "weight") -> DataFrame:
-    """Balanced weights n / (classes · n_c) attached per row (class table is broadcast)."""
+    """Balanced weights n / (classes · n_c) attached per row; a row without a class has no weight."""
     c = df.groupBy(target).agg(F.count(F.lit(1)).alias("__nc"))
     t = c.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
     w = with_constants(c, t).select(target, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), target, "left")
+    return df.join(w, target, "left")
 
 
 def stratified_folds(df: DataFrame, target: str, key: str, k: int = 5, out: str = "fold") -> DataFrame:
@@ -78,11 +78,12 @@ def stratified_folds(df: DataFrame, target: str, key: str, k: int = 5, out: str
     the key and dealt round-robin. Ranks come from prefix sums over (class, hash)
     counts plus a row number inside equal hashes, so no class-wide window."""
     from sparkclin.functions.exprs import cumulative_sums
+    from sparkclin.operators.keyed import join_same
     from pyspark.sql.window import Window
     base = df.withColumn("__h", md5_bucket(F.col(key), 1 << 32).cast("double"))
     cnt = base.groupBy(target, "__h").agg(F.count(F.lit(1)).alias("__c"))
     cum = cumulative_sums(cnt, "__h", ["__c"], [target]).select(target, "__h", (F.col("cum___c") - F.col("__c")).alias("__before"))
-    j = base.join(cum, [target, "__h"])
+    j = join_same(base, cum, [target, "__h"], "inner")  # rows without a class are dealt among themselves
     rn = F.row_number().over(Window.partitionBy(target, "__h").orderBy(key))
     return j.withColumn(out, F.pmod(F.col("__before") + rn - 1, F.lit(k)).cast("int")).drop("__h", "__before")
 
@@ -181,21 +182,7 @@ def select_best_model(metrics: DataFrame, metric: str = "recall", name_col: str
     return metrics.orderBy(F.col(metric).desc(), F.col(name_col)).limit(1)
 
 
-# ------------------------------------------------------------------ E13–E15 calibration
-def calibrate_platt(scores: DataFrame, score_col: str = "score", target: str = "target"):
-    """One-feature logistic regression on out-of-fold scores."""
-    from pyspark.ml.classification import LogisticRegression
-    d = assemble(scores, [score_col], "__s")
-    return LogisticRegression(featuresCol="__s", labelCol=target, regParam=0.0).fit(d)
-
-
-def calibrate_isotonic(scores: DataFrame, score_col: str = "score", target: str = "target"):
-    """Isotonic regression (monotone increasing), predictions clipped to [0, 1] by construction."""
-    from pyspark.ml.regression import IsotonicRegression
-    d = assemble(scores, [score_col], "__s")
-    return IsotonicRegression(featuresCol="__s", labelCol=target, isotonic=True).fit(d)
-
-
+# ------------------------------------------------------------------ E15 calibration (E13, E14: calibration.py)
 def temperature_grid(scores: DataFrame, prob: str, target: str, temps: list[float]) -> DataFrame:
     """Log loss of σ(logit(p)/T) for each T of a grid in one aggregate; arg-min row flagged.
 
@@ -322,41 +309,3 @@ def clinical_notes(features: DataFrame, feature_col: str = "feature", notes: dic
     table = F.create_map(*[F.lit(x) for kv in notes.items() for x in kv]) if notes else F.create_map()
     return features.withColumn("note", F.coalesce(F.try_element_at(table, F.col(feature_col)),
                                                   F.format_string(DEFAULT_NOTE, F.col(feature_col))))
-
-
-def explain_sampled(model, df: DataFrame, background: DataFrame, feature_cols: list[str], key: str,
-                    n_perm: int = 8, seed: int = 42) -> DataFrame:
-    """Monte-Carlo Shapley values for any Spark ML model.
-
-    For each row, permutation and background row, features are switched from
-    the background value to the row's value one at a time in permutation
-    order; the change in predicted probability is that feature's marginal.
-    The background is a caller-bounded sample (it is broadcast), and the
-    expansion is rows × permutations × background × features, evaluated by
-    ``model.transform`` in one distributed pass.
-    """
-    import random
-
-    from pyspark.ml.functions import vector_to_array
-    spark = df.sparkSession
-    rng = random.Random(seed)
-    perms = [rng.sample(range(len(feature_cols)), len(feature_cols)) for _ in range(n_perm)]
-    steps = spark.createDataFrame([(p, s, perms[p][s], perms[p][:s + 1]) for p in range(n_perm)
-                                   for s in range(len(feature_cols))],
-                                  "perm int, step int, feat int, on array<int>")
-    bg = background.select(*[F.col(q(c)).alias(f"__bg_{i}") for i, c in enumerate(feature_cols)]) \
-        .withColumn("__bgid", F.monotonically_increasing_id())
-    x = df.select(key, *[F.col(q(c)) for c in feature_cols])
-    grid = x.crossJoin(F.broadcast(bg)).crossJoin(F.broadcast(steps))
-    def mix(on_col):
-        return [F.when(F.array_contains(on_col, F.lit(i)), F.col(q(c))).otherwise(F.col(f"__bg_{i}")).alias(c)
-                for i, c in enumerate(feature_cols)]
-    after = grid.select(key, "perm", "step", "feat", "__bgid", *mix(F.col("on")))
-    before = grid.select(key, "perm", "step", "feat", "__bgid",
-                         *mix(F.slice("on", 1, F.greatest(F.size("on") - 1, F.lit(0)))))
-    def prob(d):
-        return model.transform(assemble(d, feature_cols)).select(
-            key, "perm", "step", "feat", "__bgid", vector_to_array("probability")[1].alias("p"))
-    diff = prob(after).join(prob(before).withColumnRenamed("p", "p0"), [key, "perm", "step", "feat", "__bgid"])
-    names = F.element_at(F.array(*[F.lit(c) for c in feature_cols]), F.col("feat") + 1)
-    return diff.groupBy(key, names.alias("feature")).agg(F.avg(F.col("p") - F.col("p0")).alias("contribution"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkclin.operators import metrics as M
+from sparkclin.operators import calibration as C
 from sparkclin.operators import model as E
+from sparkclin.operators import shapley as S
 from sparkclin.plans.registry import register
 from sparkclin.sources.views import patients, scored
 
@@ -222,24 +224,73 @@ def q_score_batch(spark, sf):
     return E.score_batch(m, allp, FEATS, fallback=fb, key="patient_id")
 
 
+def _oof(spark, sf):
+    """Every patient scored by the one of five logistic models that has not seen it."""
+    d = _train_frame(spark, sf)
+    return C.out_of_fold_scores(d, ["glucose", "bmi", "age"], "target", "patient_id",
+                                lambda x: E.train_logistic(x, ["glucose", "bmi", "age"]))[0]
+
+
 @register("calibrate_platt")
 def q_calibrate_platt(spark, sf):
-    s = scored(spark, sf).select(F.col("y_prob").alias("score"), F.col("y_true").cast("double").alias("target"))
-    m = E.calibrate_platt(s)
-    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
+    return C.fit_sigmoids(_oof(spark, sf)).drop("fold")
+
+
+@register("calibrate_platt_folds")
+def q_calibrate_platt_folds(spark, sf):
+    """One sigmoid a fold, for an ensemble of the fold models."""
+    return C.fit_sigmoids(_oof(spark, sf), by_fold=True)
 
 
 @register("calibrate_isotonic")
 def q_calibrate_isotonic(spark, sf):
-    s = scored(spark, sf).select(F.col("y_prob").alias("score"), F.col("y_true").cast("double").alias("target"))
-    m = E.calibrate_isotonic(s)
-    return spark.createDataFrame([(float(b), float(p)) for b, p in zip(m.boundaries.toArray(), m.predictions.toArray())],
-                                 "boundary double, prediction double")
+    return C.isotonic_blocks(_oof(spark, sf))
+
+
+_ISO = ["lo", "hi", "value", "weight"]
+
+
+@register("isotonic_blocks", dbl=_ISO, sql="""
+WITH RECURSIVE pts AS (SELECT CAST(round(y_prob, 1) AS DOUBLE) AS x, sum(CAST(y_true AS DOUBLE)) AS t, CAST(count(*) AS DOUBLE) AS w
+             FROM scored_v WHERE y_prob IS NOT NULL GROUP BY 1),
+p AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM pts),
+-- value of point i: the greatest over j <= i of the least over k >= i of the mean of points j..k
+c AS (SELECT i, sum(t) OVER (ORDER BY i) AS ct, sum(w) OVER (ORDER BY i) AS cw, t, w, x FROM p),
+m AS (SELECT a.i AS j, b.i AS k, (b.ct - a.ct + a.t) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON a.i <= b.i),
+v AS (SELECT i, max(least_mean) AS value FROM (SELECT c.i, m.j, min(m.mean) AS least_mean FROM c JOIN m ON m.j <= c.i AND m.k >= c.i
+      GROUP BY c.i, m.j) GROUP BY i)
+SELECT min(x) AS lo, max(x) AS hi, v.value, sum(w) AS weight FROM v JOIN p USING (i) GROUP BY v.value""")
+def q_isotonic_blocks(spark, sf):
+    s = scored(spark, sf).select(F.round("y_prob", 1).alias("score"), F.col("y_true").alias("target"))
+    return C.isotonic_blocks(s)
+
+
+@register("calibrated_scores")
+def q_calibrated_scores(spark, sf):
+    """Every out-of-fold score with its isotonic value."""
+    s = C.stored(_oof(spark, sf).select("patient_id", "score", "target"), "scores")
+    return C.apply_isotonic(s, C.isotonic_blocks(s)).drop("target")
+
+
+def _background(d):
+    """A seeded hash sample of the whole table."""
+    return d.orderBy(F.md5("patient_id"), "patient_id").limit(S.BACKGROUND_ROWS)
 
 
 @register("explain_sampled")
 def q_explain_sampled(spark, sf):
     d = _train_frame(spark, sf)
-    m = E.train_logistic(d, ["glucose", "bmi", "age"])
-    bg = d.orderBy(F.xxhash64("patient_id"), "patient_id").limit(10)  # seeded hash sample of the whole table
-    return E.explain_sampled(m, d, bg, ["glucose", "bmi", "age"], "patient_id", n_perm=3)
+    cols = ["glucose", "bmi", "age"]
+    return S.explain_sampled(S.model_predictor(E.train_logistic(d, cols)), d, _background(d), cols, "patient_id")
+
+
+@register("explain_sampled_linear", dbl=["contribution"], sql=f"""
+WITH d AS (SELECT patient_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in COEF)} FROM patients_v WHERE glucose IS NOT NULL),
+b AS (SELECT * FROM d ORDER BY md5(patient_id), patient_id LIMIT 50),
+m AS (SELECT {', '.join(f'avg({c}) AS m_{c}' for c in COEF)} FROM b)
+{' UNION ALL '.join(f"SELECT patient_id, '{c}' AS feature, {w} * ({c} - m_{c}) AS contribution FROM d, m" for c, w in COEF.items())}""")
+def q_explain_sampled_linear(spark, sf):
+    """The margin of a linear model: sampled shares equal the exact contributions."""
+    d = patients(spark, sf).select("patient_id", *COEF).where("glucose IS NOT NULL")
+    predict = S.linear_predictor(list(COEF.values()), -7.08, margin=True)
+    return S.explain_sampled(predict, d, _background(d), list(COEF), "patient_id")
