@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from sparkclin.functions.exprs import (column_quantiles, cumulative_sums, q, quantiles_long, rows_from_struct_array,
                                       safe_div, stack_columns)
+from sparkclin.session import stored
 
 REF, CUR = "reference", "current"
 
@@ -421,11 +422,63 @@ def erf(x: Column) -> Column:
     return F.when(x < 0, -y).otherwise(y)
 
 
-def fit_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
-    """H3: one-sample KS statistic of each column against normal (mean, population std),
-    exponential (loc = min, scale = mean − min) and uniform (min, max) fitted by their
-    closed-form MLEs; the best fit has the smallest D (largest p at equal n).
-    Gamma and beta (iterative MLE in the reference) are not fitted.
+FAMILIES = ("normal", "exponential", "uniform", "gamma", "beta")
+
+
+def _fitted(prm: DataFrame, long: DataFrame) -> DataFrame:
+    """``prm`` (one row a column) plus the gamma and beta parameters fitted by maximum likelihood, null where none exists.
+
+    Gamma starts at 0 and needs positive values. Beta spans the values' range widened by 1 / n of it on both sides, so that
+    the logarithms of the extremes are finite.
+    """
+    from sparkclin.operators.distributions import fit_beta, fit_gamma
+    pad = (F.col("__hi") - F.col("__lo")) / F.col("__n")
+    prm = prm.withColumn("__b0", F.col("__lo") - pad).withColumn("__bw", F.col("__hi") - F.col("__lo") + 2 * pad)
+    z = F.try_divide(F.col("value") - F.col("__b0"), F.col("__bw"))
+    logs = (long.join(F.broadcast(prm.select("feature", "__b0", "__bw")), "feature").groupBy("feature").agg(
+        F.when(F.min("value") > 0, F.avg(F.log(F.when(F.col("value") > 0, F.col("value"))))).alias("__ml"),
+        F.avg(z).alias("__bm"), F.var_pop(z).alias("__bv"), F.avg(F.log(z)).alias("__bl"), F.avg(F.log(1 - z)).alias("__bl1")))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        for name in ("__k", "__theta", "__a", "__b"):
+            pdf[name] = math.nan
+        for i, r in pdf.iterrows():
+            g = fit_gamma(r["__m"], None if pd.isna(r["__ml"]) else r["__ml"])
+            e = None if pd.isna(r["__bm"]) else fit_beta(r["__bm"], r["__bv"], r["__bl"], r["__bl1"])
+            if g:
+                pdf.loc[i, ["__k", "__theta"]] = g
+            if e:
+                pdf.loc[i, ["__a", "__b"]] = e
+        return pdf[["feature", "__k", "__theta", "__a", "__b"]].astype({"feature": str})
+
+    solved = prm.join(logs, "feature").groupBy("feature").applyInPandas(fit, "feature string, __k double, __theta double, __a double, __b double")
+    return prm.join(solved, "feature")
+
+
+@F.pandas_udf(DoubleType())
+def _gamma_cdf(x: pd.Series, k: pd.Series, theta: pd.Series) -> pd.Series:
+    from sparkclin.operators.distributions import gamma_cdf
+    out = pd.Series(math.nan, index=x.index)
+    for (shape, scale), part in x.groupby([k, theta]):  # one parameter pair a column
+        out[part.index] = gamma_cdf(part.to_numpy() / scale, shape)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _beta_cdf(z: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    from sparkclin.operators.distributions import beta_cdf
+    out = pd.Series(math.nan, index=z.index)
+    for (p, r), part in z.groupby([a, b]):
+        out[part.index] = beta_cdf(part.to_numpy(), p, r)
+    return out
+
+
+def fit_distribution(df: DataFrame, cols: list[str], families: tuple[str, ...] = FAMILIES, with_pvalue: bool = True) -> DataFrame:
+    """H3: one-sample KS statistic (``d_<family>``) and p-value (``p_<family>``) of each column against fitted families.
+
+    Normal (mean, population std), exponential (loc = min, scale = mean − min), uniform (min, max), gamma and beta by maximum
+    likelihood; ``best_fit`` has the largest p-value, which at equal n is the smallest D. A family that can't be
+    fitted (gamma of values that aren't all positive, any of a constant column) is null and never best.
 
     Ranks come from prefix sums over distinct values, so D is exact with ties
     and no step sorts a whole column in one task.
@@ -434,17 +487,29 @@ def fit_distribution(df: DataFrame, cols: list[str]) -> DataFrame:
     prm = long.groupBy("feature").agg(F.count(F.lit(1)).alias("__n"), F.avg("value").alias("__m"),
                                       F.stddev_pop("value").alias("__s"), F.min("value").alias("__lo"),
                                       F.max("value").alias("__hi"))
+    if {"gamma", "beta"} & set(families):
+        prm = stored(_fitted(prm, long), "fits")  # one row a column
     cnt = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
     cum = cumulative_sums(cnt, "value", ["c"], ["feature"]).join(F.broadcast(prm), "feature")
     v, n = F.col("value"), F.col("__n")
     cdfs = {
-        "normal": 0.5 * (1 + erf((v - F.col("__m")) / (F.col("__s") * math.sqrt(2.0)))),
-        "exponential": F.when(v < F.col("__lo"), 0.0).otherwise(1 - F.exp(-(v - F.col("__lo")) / (F.col("__m") - F.col("__lo")))),
-        "uniform": F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))),
+        "normal": lambda: 0.5 * (1 + erf((v - F.col("__m")) / (F.col("__s") * math.sqrt(2.0)))),
+        "exponential": lambda: F.when(v < F.col("__lo"), 0.0).otherwise(1 - F.exp(-(v - F.col("__lo")) / (F.col("__m") - F.col("__lo")))),
+        "uniform": lambda: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))),
+        "gamma": lambda: _gamma_cdf(v, F.col("__k"), F.col("__theta")),
+        "beta": lambda: _beta_cdf(F.try_divide(v - F.col("__b0"), F.col("__bw")), F.col("__a"), F.col("__b")),
     }
-    def d_of(fx):
-        return F.greatest(fx - (F.col("cum_c") - F.col("c")) / n, F.col("cum_c") / n - fx)
-    d = cum.groupBy("feature").agg(*[F.max(d_of(f)).alias(f"d_{k}") for k, f in cdfs.items()])
-    best = F.element_at(F.array_sort(F.array(*[F.struct(F.col(f"d_{k}").alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k"))
-                                                for i, k in enumerate(cdfs)])), 1)["k"]
-    return d.select("feature", *[f"d_{k}" for k in cdfs], best.alias("best_fit"))
+    varies = F.col("__hi") > F.col("__lo")
+    cum = cum.select("feature", "c", "cum_c", "__n", *[F.nanvl(F.when(varies, cdfs[k]()), F.lit(None).cast("double")).alias(f"f_{k}")
+                                                       for k in families])
+
+    def d_of(k: str) -> Column:
+        fx = F.col(f"f_{k}")
+        return F.when(fx.isNotNull(), F.greatest(fx - (F.col("cum_c") - F.col("c")) / F.col("__n"), F.col("cum_c") / F.col("__n") - fx))
+    d = cum.groupBy("feature").agg(F.first("__n").alias("__n"), *[F.max(d_of(k)).alias(f"d_{k}") for k in families])
+    tried = F.array(*[F.when(F.col(f"d_{k}").isNotNull(), F.struct(F.col(f"d_{k}").alias("d"), F.lit(i).alias("i"), F.lit(k).alias("k")))
+                      for i, k in enumerate(families)])
+    best = F.get(F.array_sort(F.array_compact(tried)), F.lit(0))["k"]
+    p = [F.when(F.col(f"d_{k}").isNotNull(), kolmogorov_pvalue(F.sqrt("__n") * F.col(f"d_{k}"))).alias(f"p_{k}")
+         for k in families] if with_pvalue else []
+    return d.select("feature", *[f"d_{k}" for k in families], *p, best.alias("best_fit"))

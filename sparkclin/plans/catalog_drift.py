@@ -493,4 +493,10 @@ d AS (SELECT feature, max(greatest(fn - (cum - c) / n, cum / n - fn)) AS d_norma
 SELECT *, list_sort([{{'d': d_normal, 'i': 0, 'k': 'normal'}}, {{'d': d_exponential, 'i': 1, 'k': 'exponential'}},
                      {{'d': d_uniform, 'i': 2, 'k': 'uniform'}}])[1].k AS best_fit FROM d""")
 def q_fit_distribution(spark, sf):
+    return H.fit_distribution(patients(spark, sf), _FD_COLS, ("normal", "exponential", "uniform"), with_pvalue=False)
+
+
+@register("fit_distribution_families")
+def q_fit_distribution_families(spark, sf):
+    """All five families with p-values (incomplete gamma and beta integrals are beyond SQL)."""
     return H.fit_distribution(patients(spark, sf), _FD_COLS)
