@@ -142,8 +142,17 @@ def _pick(ranked: DataFrame, probs: list[float], g: list[str]) -> DataFrame:
     return a.select(*g, F.array(*[lo[i] + F.col(f"__fr{i}") * (hi[i] - lo[i]) for i in range(len(probs))]).alias("__q"))
 
 
+def _edges(probs: list[float]) -> list[float]:
+    """Probabilities just below and above each wanted one, wider apart than the sketch's error."""
+    return sorted({round(x, 9) for p in probs for x in (max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH))})
+
+
+def _sketch(c: str, edges: list[float]) -> Column:
+    return F.expr(f"percentile_approx({c}, array({', '.join(map(str, edges))}), {SKETCH})")
+
+
 def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], value: str = "value",
-                   weight: str | None = None) -> DataFrame:
+                   weight: str | None = None, sketch: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (``percentile`` / numpy default) per group, by bracketing.
 
     Spark's exact ``percentile`` merges every distinct value of a group into one task's hash map. Here one aggregate
@@ -151,7 +160,7 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
     wanted order statistics surely lie in these brackets. A second aggregate counts rows between the brackets
     without their values, and keeps (value, count) inside them only: at most 6 / ``SKETCH`` of the rows a probability
     (of a group up to ``SKETCH`` rows, where rounding to whole rows matters, every value). That narrow table is shuffled
-    and ranked. With ``weight`` (rows already reduced to distinct values) ranks come from the bucketed prefix sums.
+    and ranked. ``sketch`` (group..., __n, __e) may come from elsewhere. With ``weight`` (rows already reduced to distinct values) ranks come from the bucketed prefix sums.
     Returns (group..., __q array<double>).
     """
     g = list(group_cols)
@@ -163,18 +172,20 @@ def quantiles_long(long: DataFrame, probs: list[float], group_cols: list[str], v
         cum = cumulative_sums(vc, "__v", ["__c"], g).withColumnRenamed("cum___c", "__cum")
         return _pick(_same_group(cum, n, g) if g else cum.crossJoin(F.broadcast(n)), probs, g)
     base = long.where(v.isNotNull()).select(*g, v.alias("__v"))
-    edges = sorted({round(x, 9) for p in probs for x in (max(0.0, p - 3 / SKETCH), min(1.0, p + 3 / SKETCH))})
+    edges = _edges(probs)
     # Slots of the sorted edges: 2i is strictly between edges i - 1 and i, 2i + 1 is edge i itself.
     kept = [2 * i for i in range(1, len(edges)) if any(p - 3 / SKETCH <= (edges[i - 1] + edges[i]) / 2 <= p + 3 / SKETCH for p in probs)]
-    sketch = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.expr(
-        f"percentile_approx(__v, array({', '.join(map(str, edges))}), {SKETCH})").alias("__e"))
+    if sketch is None:
+        sketch = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), _sketch("__v", edges).alias("__e"))
+    sketch = sketch.select(*g, "__n", *[F.get("__e", F.lit(i)).alias(f"__e{i}") for i in range(len(edges))])
     j = _same_group(base, sketch, g) if g else base.crossJoin(F.broadcast(sketch))
-    below = F.lit(0)
+    slot, inside = F.lit(0), F.col("__n") <= SKETCH
     for i in range(len(edges)):
-        e = F.get("__e", F.lit(i))
-        below = below + F.when(F.col("__v") > e, 2).when(F.col("__v") == e, 1).otherwise(0)
-    inside = F.array_contains("__e", F.col("__v")) | F.col("__s").isin(kept) | (F.col("__n") <= SKETCH)
-    counts = (j.withColumn("__s", below).select(*g, "__n", "__s", F.when(inside, F.col("__v")).alias("__v"))
+        e = F.col(f"__e{i}")
+        slot = slot + (F.col("__v") > e).cast("int") + (F.col("__v") >= e).cast("int")
+        inside = inside | (F.col("__v") == e)
+    inside = inside | F.col("__s").isin(kept)
+    counts = (j.withColumn("__s", slot).select(*g, "__n", "__s", F.when(inside, F.col("__v")).alias("__v"))
               .groupBy(*g, "__n", "__s", "__v").agg(F.count(F.lit(1)).alias("__c")))
     order = Window.partitionBy(*(g or [F.lit(0)])).orderBy("__s", "__v").rowsBetween(Window.unboundedPreceding, 0)
     return _pick(counts.withColumn("__cum", F.sum("__c").over(order)), probs, g)
@@ -191,7 +202,10 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], approx:
         arr = "array(" + ", ".join(str(p) for p in probs) + ")"
         return df.agg(*[F.expr(f"percentile_approx({q(c)}, {arr}, 10000)").cast("array<double>").alias(f"{prefix}{i}")
                         for i, c in enumerate(cols)])
-    long = stack_columns(df.select(*cols), [], cols)
-    ql = quantiles_long(long, probs, ["feature"])
+    numbers = df.select(*[F.col(q(c)).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    one = numbers.agg(*[F.struct(F.lit(c).alias("feature"), F.count(f"c{i}").alias("__n"), _sketch(f"c{i}", _edges(probs)).alias("__e"))
+                        .alias(f"s{i}") for i, c in enumerate(cols)])  # sketched before columns become rows
+    sketch = rows_from_struct_array(one, [F.col(f"s{i}") for i in range(len(cols))])
+    ql = quantiles_long(stack_columns(df.select(*cols), [], cols), probs, ["feature"], sketch=sketch)
     one = ql.groupBy().pivot("feature", cols).agg(F.first("__q"))
     return one.select(*[F.col(q(c)).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
