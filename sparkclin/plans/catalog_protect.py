@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkclin.operators import privacy as PV
 from sparkclin.operators import protect as PR
+from sparkclin.operators import robust as RB
 from sparkclin.plans.registry import register
 from sparkclin.sources.io import table
 from sparkclin.sources.views import patients, reqlog
@@ -184,9 +185,9 @@ def q_security_audit_rows(spark, sf):
 
 @register("mahalanobis_outliers")
 def q_mahalanobis_outliers(spark, sf):
-    p = patients(spark, sf).select("patient_id", "glucose", "bmi", "insulin", "age").na.drop()
-    fit = PR.mahalanobis_fit(p, ["glucose", "bmi", "insulin", "age"])
-    return PR.mahalanobis_outliers(p, fit).select("patient_id", "anomaly_score", "is_adversarial")
+    p = patients(spark, sf).select("patient_id", "glucose", "bmi", "insulin", "age")
+    fit = RB.mahalanobis_fit(p, ["glucose", "bmi", "insulin", "age"])
+    return RB.mahalanobis_outliers(p, fit).select("patient_id", "anomaly_score", "is_adversarial")
 
 
 # ---------------------------------------------------------------- privacy
