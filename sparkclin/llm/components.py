@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (n, total) == seen:
             break
         seen = (n, total)
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

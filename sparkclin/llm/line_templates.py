@@ -112,7 +112,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     none = F.array().cast("array<int>")
     d = (d.withColumn("__drop", F.coalesce("__drop", none))
          .withColumn("__lines", F.coalesce(F.split(F.col(f"`{text_col}`"), "\n", -1), F.array().cast("array<string>"))))
-    kept = F.expr("filter(__lines, (x, i) -> NOT array_contains(__drop, i))")
+    # The difference of places hashes them once, so a text of many lines and many dropped ones stays linear.
+    kept = F.expr("transform(array_except(sequence(0, size(__lines) - 1), __drop), i -> get(__lines, i))")
     text = F.when(F.size("__drop") == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
     d = d.withColumn("__text", text)
     own = [F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`")
@@ -123,7 +124,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return drop_recurring_lines(docs).select(
+    return drop_recurring_lines(docs, rungs=True, min_tokens=1).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -134,7 +135,7 @@ WITH lines AS (
         lambda t: CASE WHEN regexp_matches(t, '[0-9]|@|://') THEN '{VARIABLE}' ELSE t END) AS tokens
     FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line
           FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))
-  WHERE len(tokens) >= {MIN_TOKENS}
+  WHERE tokens[1] <> ''
 ), keyed AS (
   SELECT *, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf FROM lines
 ), leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
@@ -143,16 +144,19 @@ WITH lines AS (
 ), placed AS (
   SELECT leaf, tokens, n, generate_subscripts(tokens, 1) - 1 AS place, unnest(tokens) AS token FROM kinds
 ), constant AS (
-  SELECT leaf, place, token FROM placed WHERE token <> '{VARIABLE}'
+  SELECT leaf, place, token, len(bin(CAST(sum(n) // {MIN_DOCS} AS BIGINT))) - 1 AS rung FROM placed WHERE token <> '{VARIABLE}'
   GROUP BY leaf, place, token HAVING sum(n) >= {MIN_DOCS}
-), template AS (
-  SELECT p.leaf, p.tokens,
-         array_agg(CASE WHEN c.token IS NOT NULL OR p.place < {DEPTH} THEN p.token ELSE '{VARIABLE}' END ORDER BY p.place) AS t
+), parts AS (
+  SELECT p.leaf, p.tokens, p.place, p.token, c.rung
   FROM placed p LEFT JOIN constant c ON p.leaf = c.leaf AND p.place = c.place AND p.token = c.token
-  GROUP BY p.leaf, p.tokens
+), tried AS (
+  SELECT leaf, tokens, 0 AS k FROM kinds UNION SELECT leaf, tokens, rung + 1 FROM parts WHERE rung IS NOT NULL AND place >= {DEPTH}
+), shown AS (
+  SELECT leaf, tokens, k, array_agg(CASE WHEN rung >= k OR place < {DEPTH} THEN token ELSE '{VARIABLE}' END ORDER BY place) AS t
+  FROM parts JOIN tried USING (leaf, tokens) GROUP BY leaf, tokens, k
 ), steady AS (
-  SELECT leaf, tokens, array_to_string(t, ' ') AS template FROM template
-  WHERE len(list_filter(t, lambda x: x <> '{VARIABLE}')) >= {MIN_CONSTANT} * len(t)
+  SELECT leaf, tokens, arg_max(array_to_string(t, ' '), k) AS template FROM shown
+  WHERE len(list_filter(t, lambda x: x <> '{VARIABLE}')) >= {MIN_CONSTANT} * len(t) GROUP BY leaf, tokens
 ), occurrences AS (SELECT f.doc_id, f.line_no, s.template FROM found f JOIN steady s ON f.leaf = s.leaf AND f.tokens = s.tokens
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY template ORDER BY doc_id, line_no) AS k FROM occurrences
