@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparkclin.functions.exprs import md5_bucket
 from sparkclin.plans.registry import register
+from sparkclin.session import checkpoint_dir
 from sparkclin.sources import io as A
+from sparkclin.sources import versions as V
 from sparkclin.sources.io import table
 from sparkclin.sources.views import patients, runs, scored
 
@@ -181,3 +185,44 @@ SELECT CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) %
 def q_hash_sample_buckets(spark, sf):
     o = table(spark, sf, "orders")
     return o.groupBy(md5_bucket(F.col("o_orderkey"), 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("file_list", sql="""
+SELECT 'orders.parquet' AS file, true AS has_size, (SELECT count(*) FROM orders) AS n_rows""")
+def q_file_list(spark, sf):
+    """Files of the orders table from the scan's metadata, with rows a file."""
+    f = V.file_list(table(spark, sf, "orders"))
+    name = F.regexp_extract("path", "([a-z]+\\.parquet)", 1)
+    return f.groupBy(name.alias("file")).agg((F.sum("size_bytes") > 0).alias("has_size"), F.sum("n_rows").alias("n_rows"))
+
+
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("version_data", sql="""
+SELECT 'orders' AS name, (SELECT count(*) FROM orders) AS n_rows, 'first' AS message, 1 AS commits""")
+def q_version_data(spark, sf):
+    """A version of the orders table, written to the shared folder and read back from its commit record."""
+    root = _scratch(spark, "versions")
+    V.version_data(spark, f"{sf}/orders.parquet", root, "orders", "first")
+    return V.version_records(spark, root, "orders").groupBy("name", "n_rows", "message").agg(F.count(F.lit(1)).cast("int").alias("commits"))
+
+
+@register("reference_statistics", dbl=["mean", "min", "max"], sql="""
+SELECT c.col_name, c.n AS count, c.mean, c.lo AS min, c.hi AS max FROM (
+  SELECT 'o_totalprice' AS col_name, count(o_totalprice) AS n, avg(o_totalprice) AS mean, min(CAST(o_totalprice AS DOUBLE)) AS lo, max(CAST(o_totalprice AS DOUBLE)) AS hi FROM orders
+  UNION ALL SELECT 'o_custkey', count(o_custkey), avg(o_custkey), min(CAST(o_custkey AS DOUBLE)), max(CAST(o_custkey AS DOUBLE)) FROM orders) c""")
+def q_reference_statistics(spark, sf):
+    """A reference written with its statistics, and the statistics read back."""
+    root = _scratch(spark, "reference")
+    V.write_reference(table(spark, sf, "orders").select("o_custkey", "o_totalprice"), root, "orders as of now")
+    return V.read_reference_statistics(spark, root).select("col_name", "count", "mean", "min", "max")
+
+
+@register("read_snapshot_rows", sql="SELECT o_orderkey, o_custkey FROM orders")
+def q_read_snapshot_rows(spark, sf):
+    """A snapshot of the orders table, written and read back (the newest one)."""
+    root = _scratch(spark, "snapshots")
+    A.write_snapshot(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), root, "orders")
+    return A.read_snapshot(spark, root, "orders").drop("snapshot_ts")

@@ -167,15 +167,6 @@ def split_distribution(df: DataFrame, split_col: str = "split", target: str = "t
     return df.groupBy(split_col, target).agg(F.count(F.lit(1)).alias("n"))
 
 
-# A8
-def write_reference(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/data")
-
-
-def read_reference(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/data")
-
-
 # A12
 def dataset_metadata(df: DataFrame, target: str = "target") -> DataFrame:
     """n_samples, n_features, feature names, class distribution map, fingerprint."""

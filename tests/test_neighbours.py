@@ -62,7 +62,7 @@ def test_tree_of_equal_points_and_ties():
         assert min(np.bincount(leaf)[np.unique(leaf)]) >= 8
 
 
-@pytest.mark.parametrize("leaf_rows,top_depth", [(1024, 10), (40, 10), (40, 2)])
+@pytest.mark.parametrize("leaf_rows,top_depth", [(1024, 10), (40, 2)])
 def test_join_against_brute_force(spark, leaf_rows, top_depth):
     rng = random.Random(leaf_rows + top_depth)
     points = [(i, [float(rng.randint(0, 30)), rng.gauss(0, 10), float(rng.randint(0, 1))]) for i in range(1500)]
