@@ -8,6 +8,8 @@ windows partitioned by entity, never a global window.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -230,27 +232,50 @@ def yeo_johnson(x: Column, lam) -> Column:
 def scale_power(df: DataFrame, cols: list[str], grid: list[float] | None = None) -> DataFrame:
     """Yeo–Johnson with the maximum-likelihood λ from a grid, then standardised.
 
-    The log-likelihood of every (column, λ) is one aggregate over the data
-    (n, Σψ, Σψ², Σ sign·log1p|x|); the arg-max is a tiny group-by.
+    The log-likelihood of every (column, λ) comes from one pass: each Arrow batch gives (n, mean, squared deviations) of ψ
+    at every λ, computed over arrays, and those few rows are summed. No row is joined with the grid. A
+    null passes through; a column without values, or constant, keeps λ = 1.
     """
-    grid = grid or [round(-2 + 0.1 * i, 1) for i in range(41)]
-    spark = df.sparkSession
-    lams = spark.createDataFrame([(float(v),) for v in grid], "lam double")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(q(c)).cast("double").alias("x"))
-                                         for c in cols])).alias("s")).select("s.*").where(F.col("x").isNotNull())
-    j = long.crossJoin(F.broadcast(lams))
-    psi = yeo_johnson(F.col("x"), F.col("lam"))
-    ll = (j.groupBy("f", "lam").agg(F.count(F.lit(1)).alias("n"), F.var_pop(psi).alias("v"),
-                                     F.sum(F.signum(F.col("x")) * F.log1p(F.abs(F.col("x")))).alias("s"))
+    lams = [float(v) for v in (grid or [round(-2 + 0.1 * i, 1) for i in range(41)])]
+    names = [f"c{i}" for i in range(len(cols))]
+
+    def run(batches):
+        for b in batches:
+            for i in range(len(cols)):
+                x = b.column(i).drop_null().to_numpy()
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                logs = np.sign(x) * np.log1p(np.abs(x))
+                psi = [_yeo_johnson_array(x, lam) for lam in lams]
+                mean = [float(v.mean()) for v in psi]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(lams), pa.int32()), pa.array(lams), pa.array([len(x)] * len(lams), pa.int64()), pa.array(mean),
+                     pa.array([float(((v - m) ** 2).sum()) for v, m in zip(psi, mean)]), pa.array([float(logs.sum())] * len(lams))],
+                    names=["f", "lam", "n", "m", "d", "s"])
+
+    numbers = df.select(*[F.col(q(c)).cast("double").alias(n) for c, n in zip(cols, names)])
+    parts = numbers.mapInArrow(run, "f int, lam double, n long, m double, d double, s double")
+    whole = parts.groupBy("f", "lam").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("m")).alias("nm"),
+                                          F.sum(F.col("d") + F.col("n") * F.col("m") * F.col("m")).alias("sq"))
+    var = F.col("sq") / F.col("n") - (F.col("nm") / F.col("n")) * (F.col("nm") / F.col("n"))
+    ll = (whole.withColumn("v", var).where(F.col("v") > 1e-12 * F.col("sq") / F.col("n"))
           .select("f", "lam", (-F.col("n") / 2 * F.log(F.col("v")) + (F.col("lam") - 1) * F.col("s")).alias("ll")))
-    best = ll.groupBy("f").agg(F.max_by("lam", "ll").alias("lam"))
-    lam_row = best.groupBy().pivot("f", cols).agg(F.first("lam"))
-    t = with_constants(df, lam_row.select(*[F.col(q(c)).alias(f"__lam_{i}") for i, c in enumerate(cols)]))
+    best = ll.groupBy("f").agg(F.max_by("lam", F.struct("ll", "lam")).alias("lam"))
+    lam_row = best.groupBy().agg(*[F.coalesce(F.max(F.when(F.col("f") == i, F.col("lam"))), F.lit(1.0)).alias(f"__lam_{i}")
+                                   for i in range(len(cols))])
+    t = with_constants(df, lam_row)
     rep = {c: yeo_johnson(F.col(q(c)).cast("double"), F.col(f"__lam_{i}")) for i, c in enumerate(cols)}
     tr = t.select(*[rep.get(c, F.col(q(c))).alias(c) for c in df.columns])
     return scale_standard(tr, cols)
 
 
+def _yeo_johnson_array(x: np.ndarray, lam: float) -> np.ndarray:
+    up = np.log1p(np.maximum(x, 0)) if lam == 0 else (np.power(np.maximum(x, 0) + 1, lam) - 1) / lam
+    down = -np.log1p(np.maximum(-x, 0)) if lam == 2 else -(np.power(np.maximum(-x, 0) + 1, 2 - lam) - 1) / (2 - lam)
+    return np.where(x >= 0, up, down)
+
+
 def scale_quantile(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
     """D14 (exact form): empirical percent rank (rank − 1)/(n − 1), ties at the lowest rank.
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkclin.functions.exprs import md5_bucket, q, safe_div, with_constants
+from sparkclin.session import stored
 from sparkclin.operators.rules import classify_risk, confidence_score
 
 
@@ -151,6 +152,7 @@ def grid_search_cv(df: DataFrame, feature_cols: list[str], target: str = "target
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     d = stratified_folds(_weighted(df, target, feature_cols, "weight"), target,
                          feature_cols[0] if "id" not in df.columns else "id", k)
+    d = stored(d, "folds")  # folds, weights and features are made once, not per fold and grid point
     est = {"logistic": LogisticRegression(featuresCol="features", labelCol=target, weightCol="weight"),
            "forest": RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", seed=seed),
            "boosted": GBTClassifier(featuresCol="features", labelCol=target, weightCol="weight", seed=seed)}[estimator]
@@ -186,19 +188,22 @@ def select_best_model(metrics: DataFrame, metric: str = "recall", name_col: str
 def temperature_grid(scores: DataFrame, prob: str, target: str, temps: list[float]) -> DataFrame:
     """Log loss of σ(logit(p)/T) for each T of a grid in one aggregate; arg-min row flagged.
 
-    logit(p) = ln(p / (1 − p + 1e−6)) as in the reference; the grid table is
-    small (broadcast), the data are scanned once.
+    logit(p) = ln(p / (1 − p + 1e−6)) as in the reference. Every T is an aggregate expression of the one scan, so a row is
+    read once and meets no grid.
     """
-    spark = scores.sparkSession
-    tg = spark.createDataFrame([(float(t),) for t in temps], "temperature double")
     p = F.col(prob).cast("double")
-    logit = F.log(p / (1 - p + 1e-6))
-    j = scores.select(logit.alias("__z"), F.col(target).alias("__y")).crossJoin(F.broadcast(tg))
-    pt = 1 / (1 + F.exp(-F.col("__z") / F.col("temperature")))
-    pc = F.greatest(F.least(pt, F.lit(1 - 1e-15)), F.lit(1e-15))
-    ll = j.groupBy("temperature").agg(F.avg(-F.when(F.col("__y") == 1, F.log(pc)).otherwise(F.log(1 - pc))).alias("log_loss"))
-    best = ll.agg(F.min_by("temperature", F.struct("log_loss", "temperature")).alias("__best"))
-    return ll.crossJoin(best).select("temperature", "log_loss", (F.col("temperature") == F.col("__best")).alias("is_best"))
+    z = scores.select(F.log(p / (1 - p + 1e-6)).alias("__z"), F.col(target).alias("__y"))
+
+    def loss(t: float) -> Column:
+        pt = 1 / (1 + F.exp(-F.col("__z") / F.lit(float(t))))
+        pc = F.greatest(F.least(pt, F.lit(1 - 1e-15)), F.lit(1e-15))
+        return F.avg(-F.when(F.col("__y") == 1, F.log(pc)).otherwise(F.log(1 - pc)))
+
+    one = z.agg(*[loss(t).alias(f"l{i}") for i, t in enumerate(temps)])
+    rows = F.array(*[F.struct(F.col(f"l{i}").alias("log_loss"), F.lit(float(t)).alias("temperature")) for i, t in enumerate(temps)])
+    best = F.array_min(rows)["temperature"]  # the least loss, then the least temperature
+    return one.select(F.explode(rows).alias("r"), best.alias("best")).select(
+        "r.temperature", "r.log_loss", (F.col("r.temperature") == F.col("best")).alias("is_best"))
 
 
 def calibrate_temperature(scores: DataFrame, prob: str, target: str, rounds: int = 3) -> float:

@@ -108,7 +108,7 @@ def select_k_best_chi2(df: DataFrame, cols: list[str], target: str, k: int = 15)
     cls = df.groupBy(target).agg(F.count(F.lit(1)).alias("nc"))
     tot = cls.agg(F.sum("nc").alias("n"))
     fsum = obs.groupBy("feature").agg(F.sum("o").alias("fs"))
-    j = obs.join(F.broadcast(cls), target).crossJoin(F.broadcast(tot)).join(fsum, "feature")
+    j = obs.join(cls, target).crossJoin(F.broadcast(tot)).join(fsum, "feature")
     e = F.col("fs") * F.col("nc") / F.col("n")
     scored = j.groupBy("feature").agg(F.sum(F.pow(F.col("o") - e, 2) / e).alias("chi2_score"))
     return _top_k(scored, "chi2_score", k)
@@ -137,12 +137,16 @@ def pca_transform(df: DataFrame, cols: list[str], k: int | None = None, variance
 
     Returns (projected rows, explained-variance table). Component signs are
     normalised so each loading vector's largest-magnitude entry is positive.
+    The fit reads complete rows; a row with a null among ``cols`` stays, with null components.
     """
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     va = VectorAssembler(inputCols=cols, outputCol="__x", handleInvalid="skip")
-    x = va.transform(df)
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(q(c)).isNotNull() & ~F.isnan(F.col(q(c)).cast("double"))
+    x = va.transform(df.where(whole))
     sc = StandardScaler(inputCol="__x", outputCol="__c", withMean=True, withStd=False).fit(x)
     xc = sc.transform(x)
     kmax = len(cols)
@@ -160,6 +164,7 @@ def pca_transform(df: DataFrame, cols: list[str], k: int | None = None, variance
     signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(kmax)]
     proj = full.transform(xc).withColumn("__a", vector_to_array("__p"))
     out = proj.select(*df.columns, *[(F.col("__a")[j] * signs[j]).alias(f"{prefix}{j + 1}") for j in range(k)])
+    out = out.unionByName(df.where(~whole), allowMissingColumns=True)
     spark = df.sparkSession
     var_tbl = spark.createDataFrame([(j + 1, float(v)) for j, v in enumerate(ev)], "component int, explained_variance double")
     return out, var_tbl

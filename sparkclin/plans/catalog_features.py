@@ -293,7 +293,7 @@ def q_select_k_best_mi(spark, sf):
 
 @register("pca_transform")
 def q_pca_transform(spark, sf):
-    out, _ = P.pca_transform(patients(spark, sf).select("patient_id", *PC).na.drop(), PC, k=3)
+    out, _ = P.pca_transform(patients(spark, sf).select("patient_id", *PC), PC, k=3)
     return out.select("patient_id", "PC1", "PC2", "PC3")
 
 
