@@ -12,6 +12,9 @@ checkpoint location on shared storage.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -197,15 +200,81 @@ def stream_drift_check(stream: DataFrame, reference: DataFrame, cols: list[str],
 
 
 # I10
-def stream_feature_upsert(stream: DataFrame, changes_path: str, checkpoint: str):
-    """Feature values per batch (newest per key within the batch; a replayed batch replaces itself); the
-    latest-value table is ``latest_features`` over the change log (log-structured upsert)."""
+def feature_message(rules: dict[str, tuple[float | None, float | None]] | None):
+    """What is wrong with a feature row (null: nothing): a null value, a feature without a rule, or a value out of its range."""
+    if not rules:
+        return F.when(F.col("value").isNull(), "missing value")
+    out = F.when(~F.col("feature").isin(*rules), F.concat(F.lit("unknown feature "), "feature")).when(F.col("value").isNull(), "missing value")
+    for name, (lo, hi) in rules.items():
+        here = F.col("feature") == name
+        if lo is not None:
+            out = out.when(here & (F.col("value") < lo), F.lit(f"{name} below {lo}"))
+        if hi is not None:
+            out = out.when(here & (F.col("value") > hi), F.lit(f"{name} above {hi}"))
+    return out
+
+
+def stream_feature_upsert(stream: DataFrame, changes_path: str, checkpoint: str,
+                          rules: dict[str, tuple[float | None, float | None]] | None = None, ttl_s: float | None = None):
+    """Feature values per batch (newest per key within the batch; a replayed batch replaces itself), with ``message``
+    where validation finds fault (kept all the same, as the reference does) and ``expires_at`` = ts + ``ttl_s``.
+
+    The change log is a log-structured upsert: ``latest_feature_table`` reads it, ``compact_features`` folds it.
+    """
     def run(batch: DataFrame, batch_id: int):
         latest = latest_features(batch, tiebreak="event_id" if "event_id" in batch.columns else None)
+        life = F.lit(None).cast("interval day to second") if ttl_s is None else F.make_dt_interval(secs=F.lit(float(ttl_s)))
+        latest = latest.withColumn("message", feature_message(rules)).withColumn("expires_at", F.col("ts") + life)
         replace_batch(latest, batch_id, changes_path)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    kept = F.max_by(F.struct("value", "ts", "message", "expires_at", "batch_id"), F.struct("ts", "batch_id")).alias("r")
+    return rows.groupBy("entity_id", "feature").agg(kept).select("entity_id", "feature", "r.*")
+
+
+def _folded(spark: SparkSession, changes_path: str, base_path: str | None) -> tuple[DataFrame, int | None]:
+    """(newest committed base joined with the later batches, the last batch in that base)."""
+    changes = spark.read.parquet(changes_path)
+    commit = None
+    if base_path is not None:
+        try:
+            commit = spark.read.parquet(f"{base_path}/commits").orderBy(F.desc("upto"), F.desc("committed_at")).first()
+        except AnalysisException:  # nothing compacted yet
+            commit = None
+    if commit is None:
+        return _newest(changes), None
+    base = spark.read.parquet(f"{base_path}/{commit.version}")
+    return _newest(base.unionByName(changes.where(F.col("batch_id") > commit.upto))), commit.upto
+
+
+def feature_table(spark: SparkSession, changes_path: str, as_of=None, base_path: str | None = None) -> DataFrame:
+    """Newest value of every (entity, feature); with ``as_of`` only those not yet expired then."""
+    latest, _ = _folded(spark, changes_path, base_path)
+    if as_of is not None:
+        latest = latest.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of)))
+    return latest
+
+
+def compact_features(spark: SparkSession, changes_path: str, base_path: str, as_of=None) -> int:
+    """Fold the change log into a new base version and commit it; returns the last batch in it.
+
+    The base is written whole before its one-row commit record, so readers see the old base or the new one; batches up to
+    the record's are then no longer read (and may be removed by whoever owns the folder). With ``as_of``, expired values go.
+    """
+    upto = spark.read.parquet(changes_path).agg(F.max("batch_id")).first()[0]
+    latest, _ = _folded(spark, changes_path, base_path)
+    latest = latest.where(F.col("batch_id") <= upto)
+    if as_of is not None:
+        latest = latest.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(as_of)))
+    version = f"base-{uuid.uuid4().hex}"
+    latest.write.parquet(f"{base_path}/{version}")
+    record = spark.range(1).select(F.lit(version).alias("version"), F.lit(upto).cast("long").alias("upto"), F.current_timestamp().alias("committed_at"))
+    record.coalesce(1).write.mode("append").parquet(f"{base_path}/commits")
+    return upto
+
+
 def latest_feature_table(spark: SparkSession, changes_path: str) -> DataFrame:
     ch = spark.read.parquet(changes_path)
     return ch.groupBy("entity_id", "feature").agg(F.max_by("value", F.struct("ts", "batch_id")).alias("value"),
