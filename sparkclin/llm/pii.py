@@ -25,7 +25,8 @@ KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # Thirteen digits and more: a run of fewer has no later start with more, so only runs that fail the check leave.
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # A text without the gate has no match; plain byte searches are cheaper than the pattern.
@@ -40,15 +41,39 @@ MIN_BITS = 6.0        # log2(p(entity | term) / p(entity))
 BITS_SHARE = 0.9      # share of -log2 p(entity) that counts in place of MIN_BITS where it is less
 REMOVE_AT = 0.95      # p(entity | term) from which a term is removed rather than generalised
 BROADCAST_ROWS = 50_000
+BLOCK = 1024          # code points in a block of a text, see _blocks
+
+
+def _running(values: str, merge: str) -> str:
+    """SQL for running totals (or maxima) of an array: ``merge`` joins ``x`` with ``y``, the total a power of two back.
+
+    The accumulator is the whole array, so n items take log2 n passes and nothing is copied per item.
+    """
+    return (f"aggregate(sequence(0, cast(ceil(log2(greatest(size({values}), 1))) AS int)), {values}, (a, j) -> "
+            f"transform(a, (x, i) -> CASE WHEN i < shiftleft(1, j) THEN x ELSE {merge.replace('y', 'a[i - shiftleft(1, j)]')} END))")
 
 
 def _spans(text: str, pattern: str) -> str:
-    """SQL for the matches of ``pattern`` in column ``text`` with code-point positions, in reading order."""
-    return (f"transform(array(struct(regexp_extract_all({text}, {pattern}, 0) AS m, split({text}, {pattern}, -1) AS g)),"
-            f" p -> aggregate(p.m, named_struct('i', 0, 'at', 0, 'out', cast(array() AS {_SPAN})), (a, m) -> "
-            "named_struct('i', a.i + 1, 'at', a.at + length(p.g[a.i]) + length(m), 'out', concat(a.out, array("
-            "named_struct('start', a.at + length(p.g[a.i]), 'end', a.at + length(p.g[a.i]) + length(m), 'value', m)))),"
-            " a -> a.out))[0]")
+    """SQL for the matches of ``pattern`` in column ``text`` with code-point positions, in reading order.
+
+    A match ends at the running total of the gaps and matches up to it.
+    """
+    return (f"transform(transform(transform(array(struct(regexp_extract_all({text}, {pattern}, 0) AS m, split({text}, {pattern}, -1) AS g)),"
+            " p -> struct(p.m AS m, transform(p.m, (m, i) -> length(p.g[i]) + length(m)) AS steps)),"
+            f" p -> struct(p.m AS m, {_running('p.steps', 'x + y')} AS ends)),"
+            " p -> transform(p.m, (m, i) -> named_struct('start', p.ends[i] - length(m), 'end', p.ends[i], 'value', m)))[0]")
+
+
+def _blocks(text: str) -> str:
+    """SQL for the text in blocks of code points, so that a piece is read without counting from the text's start."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
+
+
+def _piece(blocks: str, start: str, end: str) -> str:
+    """SQL for the code points ``start`` to ``end`` (exclusive, or beyond the text) out of ``_blocks``."""
+    first = f"cast(({start}) div {BLOCK} AS int)"
+    return (f"CASE WHEN ({end}) > ({start}) THEN substring(array_join(slice({blocks}, {first} + 1, "
+            f"cast((({end}) - 1) div {BLOCK} AS int) - {first} + 1), ''), ({start}) % {BLOCK} + 1, ({end}) - ({start})) ELSE '' END")
 
 
 def _literal(pattern: str) -> str:
@@ -127,12 +152,14 @@ def revealing_terms(found: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(value, term, p): terms that reveal an entity, from co-occurrence over all of ``found``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Context of a span: the words next to it, without the span's own characters.
-    before = F.expr("substring(__t, greatest(x.start - {n}, 0) + 1, least(x.start, {n}))".format(n=NEAR_CHARS))
-    after = F.expr(f"substring(__t, x.end + 1, {NEAR_CHARS})")
-    spans = (found.where(F.size("base") > 0)
-             .select(text.alias("__t"), F.col(f"`{id_col}`").alias("__id"), F.explode("base").alias("x")))
+    around = F.expr("transform(array({b}), bs -> transform(base, x -> struct(x.value AS value, {l} AS before, {r} AS after)))[0]".format(
+        b=_blocks("__t"), l=_piece("bs", f"greatest(x.start - {NEAR_CHARS}, 0)", "x.start"),
+        r=_piece("bs", "x.end", f"x.end + {NEAR_CHARS}")))
+    spans = (found.where(F.size("base") > 0).select(F.col(f"`{id_col}`").alias("__id"), text.alias("__t"), "base")
+             .select("__id", F.inline(around)))
+    before, after = F.col("before"), F.col("after")
     near = spans.select(
-        "__id", F.col("x.value").alias("value"), F.xxhash64(before, after).alias("context"),
+        "__id", "value", F.xxhash64(before, after).alias("context"),
         F.array_distinct(F.concat(F.slice(F.reverse(_term_words(before)), 1, NEAR_WORDS),
                                   F.slice(_term_words(after), 1, NEAR_WORDS))).alias("terms"))
     beside = near.select("__id", "value", "context", F.explode("terms").alias("term"))
@@ -162,6 +189,17 @@ def revealing_terms(found: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return scored.where((F.col("p") >= min_disclosure) & enough).select("value", "term", "p")
 
 
+# Hits that no base span overlaps. In order of where a base span starts and a hit ends, a hit overlaps if the farthest end of
+# the base spans so far lies behind its start; at one position hits come first.
+_CLEAR = f"""transform(transform(transform(array(sort_array(concat(
+        transform(base, b -> struct(b.start AS at, 1 AS is_base, b.end AS reach, 0 AS start, '' AS value)),
+        transform(__hits, h -> struct(h.end AS at, 0 AS is_base, 0 AS reach, h.start AS start, h.value AS value))))),
+    o -> struct(o AS o, transform(o, e -> e.reach) AS r)),
+    p -> struct(p.o AS o, {_running('p.r', 'greatest(x, y)')} AS r)),
+    p -> transform(filter(p.o, (e, i) -> e.is_base = 0 AND p.r[i] <= e.start),
+        e -> named_struct('start', e.start, 'end', e.at, 'value', e.value)))[0]"""
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``base`` and ``terms``: arrays of (kind, start, end, value); ``terms`` has kind ``term``
     (generalise) or ``term_removed`` (remove) and never overlaps a base span. Repeated rows are treated alike."""
@@ -189,10 +227,10 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
              F.lit(r")(?!\p{L})"))))
     hits = F.when(F.col("__flagged").isNotNull(), F.expr(_spans("__low", "__pat"))).otherwise(F.array().cast(_SPAN))
     d = d.withColumn("__hits", hits)
-    clear = F.filter("__hits", lambda h: ~F.exists("base", lambda b: (b["start"] < h["end"]) & (h["start"] < b["end"])))
+    d = d.withColumn("__hits", F.expr(_CLEAR))
     kind = lambda h: F.when(F.exists("__flagged", lambda f: (f["term"] == h["value"]) & (f["p"] >= REMOVE_AT)),
                             F.lit("term_removed")).otherwise(F.lit("term"))
-    terms = F.transform(clear, lambda h: F.struct(kind(h).alias("kind"), h["start"].alias("start"),
+    terms = F.transform("__hits", lambda h: F.struct(kind(h).alias("kind"), h["start"].alias("start"),
                                                   h["end"].alias("end"), h["value"].alias("value")))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("base", "terms")]
     return d.select(*own, "base", F.coalesce(terms, F.array().cast(
@@ -202,17 +240,20 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def sanitised_text(text: str = "text") -> Column:
     """The text with every span replaced: ``<EMAIL>`` and so on, ``<TERM>`` if generalised, nothing if removed.
 
-    Overlapping spans are replaced as one, under the name of the first.
+    Overlapping spans are replaced as one, under the name of the first. A null text becomes empty. The time grows with the
+    text and its spans: pieces are read from blocks and joined once.
     """
+    keep = _piece("p.bs", "z.before", "z.s.start")
+    rest = _piece("p.bs", "coalesce(try_element_at(p.r, -1), 0)", f"length(coalesce(`{text}`, ''))")
     return F.expr(f"""
-        transform(array(coalesce(`{text}`, '')), t -> transform(array(aggregate(
-            array_sort(transform(concat(base, terms), x -> struct(x.start, x.end, x.kind))),
-            named_struct('at', 0, 'out', ''),
-            (a, x) -> CASE WHEN x.start >= a.at THEN named_struct('at', x.end, 'out', concat(a.out,
-                substring(t, a.at + 1, x.start - a.at),
-                CASE WHEN x.kind = 'term_removed' THEN '' ELSE concat('<', upper(x.kind), '>') END))
-              ELSE named_struct('at', greatest(a.at, x.end), 'out', a.out) END)),
-            r -> concat(r.out, substring(t, r.at + 1)))[0])[0]""")
+        transform(transform(transform(array(sort_array(transform(concat(base, terms), x -> struct(x.start, x.end, x.kind)))),
+            o -> struct(o AS o, transform(o, e -> e.end) AS r)),
+            p -> struct(p.o AS o, {_running('p.r', 'greatest(x, y)')} AS r, {_blocks(f"coalesce(`{text}`, '')")} AS bs)),
+        p -> concat(array_join(transform(filter(
+                transform(p.o, (s, i) -> struct(s AS s, CASE WHEN i = 0 THEN 0 ELSE p.r[i - 1] END AS before)),
+                z -> z.s.start >= z.before),
+            z -> concat({keep}, CASE WHEN z.s.kind = 'term_removed' THEN '' ELSE concat('<', upper(z.s.kind), '>') END)), ''),
+            {rest}))[0]""")
 
 
 def _joined(spans: Column) -> Column:

@@ -254,6 +254,51 @@ def test_terms_beside_a_dotted_capital_i(spark):
     assert every.where((F.length("c") != 1) | (F.length(pii._lower(F.col("c"))) != 1)).count() == 0
 
 
+def _masked(text, spans):
+    """Brute force of ``sanitised_text``: spans in order of start, overlapping ones under the first's name."""
+    out, at = "", 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += text[at:start] + ("" if kind == "term_removed" else f"<{kind.upper()}>")
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_clear_terms_and_masking_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        n = rng.choice([0, 1, 40, 1023, 1024, 1025, 5000])
+        text = "".join(rng.choice("ab \n\u00e9\U0001f600") for _ in range(n))
+        cut = lambda: (lambda a: (a, min(n, a + rng.randint(1, 40))))(rng.randrange(n))
+        base = sorted({cut() for _ in range(rng.randint(0, 12))}) if n else []
+        hits, at = [], 0
+        while n and at < n and len(hits) < 30:  # matches of one pattern never overlap one another
+            start = at + rng.randint(0, n // 10)
+            end = min(n, start + rng.randint(1, 20))
+            if start < end:
+                hits.append((start, end))
+            at = end
+        rows.append((i, text, [("ip", a, b, "v") for a, b in base], [(a, b, f"w{a}") for a, b in hits]))
+    d = spark.createDataFrame(rows, "doc_id long, text string, base array<struct<kind:string,start:int,end:int,value:string>>, "
+                                    "__hits array<struct<start:int,end:int,value:string>>")
+    got = d.withColumn("clear", F.expr(pii._CLEAR)).withColumn("terms", F.transform("clear", lambda h: F.struct(
+        F.lit("term").alias("kind"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"))))
+    got = {r.doc_id: r for r in got.withColumn("clean", pii.sanitised_text()).collect()}
+    for i, text, base, hits in rows:
+        clear = [h for h in hits if not any(a < h[1] and h[0] < b for _, a, b, _ in base)]
+        assert [tuple(h) for h in got[i].clear] == clear
+        assert got[i].clean == _masked(text, [(a, b, k) for k, a, b, _ in base] + [(a, b, "term") for a, b, _ in clear])
+
+
+def test_text_of_many_spans(spark):
+    text = " ".join(f"mx{i}@ex{i}.com 10.0.{i % 256}.1 {i} word" for i in range(40_000))
+    d = pii.find_spans(messy.table(spark, [text, None])).withColumn("clean", pii.sanitised_text())
+    rows = {r.doc_id: r for r in d.collect()}
+    assert len(rows[0].base) == 80_000 and rows[1].clean == ""
+    assert rows[0].clean == " ".join(f"<EMAIL> <IP> {i} word" for i in range(40_000))
+
+
 def test_pii_query_digest(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = pii.op7_pii(spark, sf).collect()
