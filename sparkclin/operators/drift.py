@@ -66,6 +66,24 @@ def reference_stats_categorical(df: DataFrame, col: str) -> DataFrame:
                  F.sum(-p * F.log(p)).alias("entropy"))
 
 
+def reference_categories(df: DataFrame, cols: list[str]) -> DataFrame:
+    """H2 as rows, for columns of any cardinality: (feature, category, n, share, n_categories, entropy in nats).
+
+    One partial aggregate counts all columns; with T rows the entropy is ln T - sum(n ln n) / T, so it needs no second
+    pass over the categories. Nulls are not a category; a column without values has no row.
+    """
+    n = F.col("n").cast("double")
+    c = (df.select(F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(q(x)).cast("string").alias("category"))
+                                      for x in cols])))
+         .where("category IS NOT NULL").groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n")))
+    total = c.groupBy("feature").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_categories"),
+                                     F.sum(n * F.log(n)).alias("nln"))
+    t = F.col("total").cast("double")
+    entropy = F.greatest(F.log(t) - F.col("nln") / t, F.lit(0.0))
+    return (c.join(F.broadcast(total), "feature")  # one row a column
+            .select("feature", "category", "n", (n / t).alias("share"), "n_categories", entropy.alias("entropy")))
+
+
 # ------------------------------------------------------------------ H4 / H5 running CDFs
 def value_counts(long: DataFrame) -> DataFrame:
     """(feature, value, r, c): reference and current counts per distinct value.
@@ -308,8 +326,24 @@ def feature_drift_scores(long: DataFrame, methods=("wasserstein", "ks", "psi"),
             .withColumn("drifted", F.col("drift_score") > F.col("threshold")))
 
 
-def drift_report(scores: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD, top: int = 5) -> DataFrame:
-    """Mean score, detected, severity (high > 2t, medium > t, low), top features, recommendations."""
+# Recommendations of a drift report, by the kind of drift.
+NO_DRIFT = "No drift detected. Continue monitoring."
+DRIFT_ADVICE = {
+    "data": ["Consider retraining model with new data", "Review data pipeline for changes",
+             "Validate data quality and consistency"],
+    "model": ["Model performance may be degrading", "Consider model retraining or recalibration",
+              "Evaluate model on recent data"],
+    "concept": ["Feature-target relationship has changed", "Consider feature engineering review",
+                "Explore alternative model architectures"],
+}
+
+
+def drift_report(scores: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD, top: int = 5,
+                 drift_type: str = "data") -> DataFrame:
+    """Mean score, detected, severity (high > 2t, medium > t, low), top features, recommendations.
+
+    Features of one score are listed by name. A kind of drift without advice of its own has the general sentences only.
+    """
     top_arr = F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("drift_score")).alias("k"),
                                                                         F.col("feature").alias("f")))),
                                   lambda x: x["f"]), 1, top)
@@ -318,11 +352,10 @@ def drift_report(scores: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD,
                    top_arr.alias("top_features"))
     sev = (F.when(F.col("mean_score") > 2 * threshold, "high").when(F.col("mean_score") > threshold, "medium")
            .otherwise("low"))
-    recs = F.filter(F.array(
-        F.when(F.size("drifted_features") > 0, F.concat(F.lit("Investigate drifted features: "),
-                                                        F.array_join("drifted_features", ", "))),
-        F.when(sev == "high", F.lit("Consider retraining the model")),
-        F.when(F.size("drifted_features") == 0, F.lit("No action required"))), lambda x: x.isNotNull())
+    found = F.array(F.concat(F.lit("Drift detected in "), F.size("drifted_features").cast("string"), F.lit(" features")),
+                    F.concat(F.lit("Top drifted features: "), F.array_join("top_features", ", ")),
+                    *[F.lit(x) for x in DRIFT_ADVICE.get(drift_type, [])])
+    recs = F.when(F.size("drifted_features") == 0, F.array(F.lit(NO_DRIFT))).otherwise(found)
     return r.select("mean_score", (F.col("__d") == 1).alias("drift_detected"), sev.alias("severity"),
                     "drifted_features", "top_features", recs.alias("recommendations"))
 

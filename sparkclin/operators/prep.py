@@ -224,7 +224,8 @@ class PreprocessPipeline:
     Fitted state is small and per feature (fill values, means / std, the
     selected names, an optional PCA model), taken from one-row aggregates;
     ``transform`` is a pure projection, so scoring new data never refits.
-    Balancing (D20–D22) is not part of this round.
+    ``balanced`` adds synthetic rows of the smaller classes (D20–D22) to the
+    transformed training rows; new data is never balanced.
     """
 
     def __init__(self, cols: list[str], target: str, impute: str = "median", k_best: int | None = 10,
@@ -273,3 +274,13 @@ class PreprocessPipeline:
         p = self.pca.transform(VectorAssembler(inputCols=self.selected, outputCol="__x").transform(x))
         p = p.withColumn("__a", vector_to_array("__p"))
         return p.select(*keep, *[F.col("__a")[i].alias(f"pca_{i + 1}") for i in range(self.pca.getK())])
+
+    def balanced(self, df: DataFrame, id_col: str, method: str = "smote", k: int = 5, seed: int = 42) -> DataFrame:
+        """The transformed rows of ``df`` and synthetic ones: id, copy (0: an original), the features, target.
+
+        Neighbours are sought among transformed rows, so every feature weighs alike. Rows without id or target, and rows
+        whose feature has no fill value, are left out.
+        """
+        from sparkclin.operators.balance import balance
+        rows = self.transform(df, keep=[id_col, self.target])
+        return balance(rows, self.target, [c for c in rows.columns if c not in (id_col, self.target)], id_col, method, k, seed=seed)

@@ -48,6 +48,20 @@ def q_reference_stats_categorical(spark, sf):
     return H.reference_stats_categorical(patients(spark, sf), "gender")
 
 
+@register("reference_categories", dbl=["share", "entropy"], sql="""
+WITH l AS (SELECT 'gender' AS feature, CAST(gender AS VARCHAR) AS category FROM patients_v
+           UNION ALL SELECT 'age', CAST(age AS VARCHAR) FROM patients_v
+           UNION ALL SELECT 'patient_id', CAST(patient_id AS VARCHAR) FROM patients_v),
+c AS (SELECT feature, category, count(*) AS n FROM l WHERE category IS NOT NULL GROUP BY feature, category),
+t AS (SELECT feature, sum(n) AS total, count(*) AS n_categories FROM c GROUP BY feature),
+e AS (SELECT c.feature, sum(-(CAST(n AS DOUBLE) / total) * ln(CAST(n AS DOUBLE) / total)) AS entropy
+      FROM c JOIN t ON c.feature = t.feature GROUP BY c.feature)
+SELECT c.feature, c.category, c.n, CAST(c.n AS DOUBLE) / t.total AS share, t.n_categories, e.entropy
+FROM c JOIN t ON c.feature = t.feature JOIN e ON c.feature = e.feature""")
+def q_reference_categories(spark, sf):
+    return H.reference_categories(patients(spark, sf), ["gender", "age", "patient_id"])
+
+
 _CDF = f"""{_L},
 c AS (SELECT feature, value, count_if(sample = 'reference') AS r, count_if(sample = 'current') AS c FROM l GROUP BY feature, value),
 w AS (SELECT *, CAST(sum(r) OVER (PARTITION BY feature ORDER BY value) AS DOUBLE) / sum(r) OVER (PARTITION BY feature) AS Fr,
@@ -198,9 +212,11 @@ r AS (SELECT avg(drift_score) AS mean_score, max(CAST(drifted AS INTEGER)) AS d,
 SELECT mean_score, d = 1 AS drift_detected,
        CASE WHEN mean_score > 0.4 THEN 'high' WHEN mean_score > 0.2 THEN 'medium' ELSE 'low' END AS severity,
        drifted_features, top_features,
-       list_filter([CASE WHEN len(drifted_features) > 0 THEN 'Investigate drifted features: ' || array_to_string(drifted_features, ', ') END,
-                    CASE WHEN mean_score > 0.4 THEN 'Consider retraining the model' END,
-                    CASE WHEN len(drifted_features) = 0 THEN 'No action required' END], lambda x: x IS NOT NULL) AS recommendations FROM r""")
+       CASE WHEN len(drifted_features) = 0 THEN ['No drift detected. Continue monitoring.']
+            ELSE ['Drift detected in ' || len(drifted_features) || ' features',
+                  'Top drifted features: ' || array_to_string(top_features, ', '),
+                  'Consider retraining model with new data', 'Review data pipeline for changes',
+                  'Validate data quality and consistency'] END AS recommendations FROM r""")
 def q_drift_report(spark, sf):
     return H.drift_report(H.feature_drift_scores(_long(spark, sf)))
 
