@@ -149,7 +149,12 @@ def _checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataF
 
 def revealing_terms(found: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     min_disclosure: float = MIN_DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(value, term, p): terms that reveal an entity, from co-occurrence over all of ``found``."""
+    """(value, term, p): terms that reveal an entity, from co-occurrence over all of ``found``.
+
+    Null and empty texts hold no entity and no term. Rows of one id count as one document near an entity; a null id is one
+    document. Repeated rows repeat their context, so alone they reveal nothing; they do count in n(t) and n(e). An empty table
+    has no terms. The contexts of a text are read in one pass, so a very long text costs in proportion to its length and spans.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Context of a span: the words next to it, without the span's own characters.
     around = F.expr("transform(array({b}), bs -> transform(base, x -> struct(x.value AS value, {l} AS before, {r} AS after)))[0]".format(
@@ -202,7 +207,12 @@ _CLEAR = f"""transform(transform(transform(array(sort_array(concat(
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``base`` and ``terms``: arrays of (kind, start, end, value); ``terms`` has kind ``term``
-    (generalise) or ``term_removed`` (remove) and never overlaps a base span. Repeated rows are treated alike."""
+    (generalise) or ``term_removed`` (remove) and never overlaps a base span.
+
+    Null and empty texts have no spans. Repeated rows are treated alike; rows of one id share the terms of that id's entities, as
+    do rows without id. An empty table stays empty. Other columns stay, save any named ``base`` or ``terms``, which are
+    replaced. A very long text costs in proportion to its length, and spans times their log2.
+    """
     found = find_base(docs, text_col)
     flagged, n = _checked_broadcast(revealing_terms(found, id_col, text_col))
     if n == 0:

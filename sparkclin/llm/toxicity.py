@@ -32,7 +32,7 @@ MIN_LOG_ODDS = 2.5
 STEM_LENGTHS = (4, 5, 6)
 THRESHOLD = 0.3
 
-# Closed classes of the grammar, whole lower-cased words.
+# Closed word classes of the grammar, chosen here: whole lower-cased words.
 THREATS = ("kill", "hurt", "beat", "destroy", "burn", "strangle", "stab", "shoot", "smash", "hunt", "crush",
            "töte", "töten", "schlage", "tuer", "frapper", "matar", "golpear")
 TARGETS = ("you", "your", "yours", "yourself", "they", "them", "their", "he", "him", "his", "she", "her",

@@ -299,6 +299,20 @@ def test_text_of_many_spans(spark):
     assert rows[0].clean == " ".join(f"<EMAIL> <IP> {i} word" for i in range(40_000))
 
 
+def test_pii_repeated_and_null_ids_and_clashing_columns(spark):
+    rows = [(i, f"note {c} from Zanzibarov at zan@corp.example.org {c}", "mine") for i, c in ((1, "a"), (1, "b"), (None, "c"))]
+    rows += [(None, "other", None), (5, None, "mine"), (None, "", "mine")] + [(i, f"plain words {i}", "mine") for i in range(10, 200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, base string")
+    out = pii.find_spans(d).withColumn("clean", pii.sanitised_text())
+    assert out.columns == ["doc_id", "text", "base", "terms", "clean"] and out.count() == len(rows)
+    got = {(r.doc_id, r.text): r.clean for r in out.collect()}
+    for i, c in ((1, "a"), (1, "b"), (None, "c")):  # two documents hold the entity, in three contexts
+        clean = got[i, rows["abc".index(c)][1]]
+        assert "Zanzibarov" not in clean and clean.endswith(f" at <EMAIL> {c}")
+    assert got[None, "other"] == "other" and got[5, None] == "" and got[None, ""] == "" and got[50, "plain words 50"] == "plain words 50"
+    assert pii.find_spans(d.limit(0)).count() == 0 and pii.revealing_terms(pii.find_base(d.limit(0))).count() == 0
+
+
 def test_pii_query_digest(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = pii.op7_pii(spark, sf).collect()
