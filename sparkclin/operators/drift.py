@@ -437,6 +437,32 @@ def drift_history_summary(runs: DataFrame, as_of: Column, days: int = 30, thresh
     return s.crossJoin(feats)
 
 
+def drift_checks(runs: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD, day: str = "run_date") -> DataFrame:
+    """One check a day from per-feature scores: a feature drifts if its highest score of the day passes ``threshold``;
+    the overall risk follows H14 (HIGH above 30 % of features, MEDIUM above 15 %). Rows without a day are left out."""
+    each = (runs.where(F.col(day).isNotNull()).groupBy(day, "feature")
+            .agg((F.max("drift_score") > threshold).alias("drifted")))
+    share = F.avg(F.coalesce(F.col("drifted"), F.lit(False)).cast("double"))
+    checks = each.groupBy(day).agg(share.alias("drift_share"), F.array_sort(F.collect_list(
+        F.when(F.col("drifted"), F.col("feature")))).alias("drifting_features"))
+    return checks.withColumn("overall_risk", F.when(F.col("drift_share") > 0.3, "HIGH")
+                             .when(F.col("drift_share") > 0.15, "MEDIUM").otherwise("LOW"))
+
+
+def recent_drift_checks(checks: DataFrame, n: int = 10, day: str = "run_date") -> DataFrame:
+    """All checks, the last ``n`` and how many of them are HIGH, and the newest one's risk and drifting features.
+
+    The last ``n`` are a top-k, so no task sorts the history. Without checks the newest risk is UNKNOWN.
+    """
+    total = checks.agg(F.count(F.lit(1)).alias("total_checks"))
+    last = checks.orderBy(F.col(day).desc()).limit(n).agg(
+        F.count(F.lit(1)).alias("recent_checks"), F.count_if(F.col("overall_risk") == "HIGH").alias("recent_drift_count"),
+        F.max_by("overall_risk", day).alias("overall_risk"), F.max_by("drifting_features", day).alias("drifting_features"))
+    return total.crossJoin(last).select(  # one row each
+        "total_checks", "recent_checks", "recent_drift_count", F.coalesce("overall_risk", F.lit("UNKNOWN")).alias("overall_risk"),
+        F.coalesce("drifting_features", F.array().cast("array<string>")).alias("drifting_features"))
+
+
 def safe_rate(a, b):
     return safe_div(a, b)
 

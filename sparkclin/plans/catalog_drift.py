@@ -299,6 +299,19 @@ def q_drift_history_summary(spark, sf):
     return H.drift_history_summary(runs(spark, sf), F.lit("2024-02-29").cast("date"))
 
 
+@register("recent_drift_checks", sql="""
+WITH e AS (SELECT run_date, feature, max(drift_score) > 0.2 AS drifted FROM runs_v WHERE run_date IS NOT NULL GROUP BY run_date, feature),
+c AS (SELECT run_date, avg(CAST(coalesce(drifted, false) AS DOUBLE)) AS share,
+             coalesce(list_sort(list(feature) FILTER (WHERE drifted)), []) AS drifting_features FROM e GROUP BY run_date),
+k AS (SELECT *, CASE WHEN share > 0.3 THEN 'HIGH' WHEN share > 0.15 THEN 'MEDIUM' ELSE 'LOW' END AS risk,
+             row_number() OVER (ORDER BY run_date DESC) AS rn FROM c)
+SELECT count(*) AS total_checks, count_if(rn <= 10) AS recent_checks, count_if(rn <= 10 AND risk = 'HIGH') AS recent_drift_count,
+       coalesce(arg_max(risk, run_date), 'UNKNOWN') AS overall_risk,
+       coalesce(arg_max(drifting_features, run_date), []) AS drifting_features FROM k""")
+def q_recent_drift_checks(spark, sf):
+    return H.recent_drift_checks(H.drift_checks(runs(spark, sf)))
+
+
 # ---------------------------------------------------------------- fairness
 def _fair_sql(src, group):
     return f"""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkclin.operators.drift import drift_report, reference_categories
+from sparkclin.operators.drift import drift_checks, drift_report, recent_drift_checks, reference_categories
 from sparkclin.operators.prep import PreprocessPipeline
 
 
@@ -40,3 +40,14 @@ def test_categories_as_rows_and_drift_advice(spark):
     r = drift_report(scores, drift_type="model").first()
     assert r.recommendations[:2] == ["Drift detected in 1 features", "Top drifted features: f, g"] and len(r.recommendations) == 5
     assert drift_report(scores.where(~F.col("drifted"))).first().recommendations == ["No drift detected. Continue monitoring."]
+
+
+def test_last_checks_of_a_drift_history(spark):
+    rows = [(f"2024-01-{d:02d}", f, 0.9 if d % 2 and f == "a" else 0.1) for d in range(1, 16) for f in "abc"]
+    rows += [("2024-01-02", "a", None), (None, "a", 0.9)]
+    runs = spark.createDataFrame(rows, "run_date string, feature string, drift_score double")
+    r = recent_drift_checks(drift_checks(runs)).first()
+    assert (r.total_checks, r.recent_checks, r.recent_drift_count) == (15, 10, 5)  # odd days of the 6th to the 15th
+    assert r.overall_risk == "HIGH" and r.drifting_features == ["a"]
+    none = recent_drift_checks(drift_checks(runs.limit(0))).first()
+    assert tuple(none) == (0, 0, 0, "UNKNOWN", [])
