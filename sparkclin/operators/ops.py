@@ -8,6 +8,8 @@ over tasks. The token bucket and circuit breaker replays are per-key scans.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -341,41 +343,45 @@ def rolling_latency_quantiles(log: DataFrame, key: list[str], order: list[str],
 
 # ------------------------------------------------------------------ H44 / H45 state machines
 def _token_bucket(limit: float, period_s: float, idle_s: float):
+    """Scan of rows sorted by (key, time, id): the bucket goes on from batch to batch, so no key is held whole."""
     cap = int(1.5 * limit)
     rate = limit / period_s
 
-    def scan(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values(["__t", "__id"])
-        tokens, last = float(cap), None
-        allowed, retry = [], []
-        for t in pdf["__t"]:
-            if last is not None and t - last > idle_s:
-                tokens = float(cap)
-            elif last is not None:
-                tokens = min(cap, tokens + (t - last) * rate)
-            last = t
-            if tokens >= 1:
-                tokens -= 1
-                allowed.append(True)
-                retry.append(0.0)
-            else:
-                allowed.append(False)
-                retry.append((1 - tokens) / rate)
-        out = pdf.drop(columns=["__t"]).copy()
-        out["allowed"] = allowed
-        out["retry_after_s"] = retry
-        return out
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tokens, last = (), float(cap), None  # no key equals an empty tuple
+        for b in batches:
+            allowed, retry = [], []
+            times = pc.fill_null(b.column("__t"), float("nan")).to_pylist()  # a row without a time finds a full bucket
+            for key, t in zip(b.column("rl_key").to_pylist(), times):
+                if key != held:
+                    held, tokens, last = key, float(cap), None
+                if last is not None and t - last > idle_s:
+                    tokens = float(cap)
+                elif last is not None:
+                    tokens = min(cap, tokens + (t - last) * rate)
+                last = t
+                if tokens >= 1:
+                    tokens -= 1
+                    allowed.append(True)
+                    retry.append(0.0)
+                else:
+                    allowed.append(False)
+                    retry.append((1 - tokens) / rate)
+            names = [n for n in b.schema.names if n != "__t"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(allowed, pa.bool_()), pa.array(retry, pa.float64())],
+                                             names=[*names, "allowed", "retry_after_s"])
     return scan
 
 
 def rate_limit_replay(log: DataFrame, key: Column, limit: float = 100, period_s: float = 60.0,
                       idle_s: float = 3600.0, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
     """Token bucket per key replayed over a request log (capacity int(1.5·limit),
-    refill limit/period per second, allow when ≥ 1 token; idle keys reset after 3600 s)."""
-    x = log.select(key.alias("rl_key"), F.col(id_col).alias("__id"), F.col(ts),
+    refill limit/period per second, allow when ≥ 1 token; idle keys reset after 3600 s).
+
+    A task replays all keys of its sorted partition in one pass; a call per key would cost more than the key's rows."""
+    x = log.select(key.cast("string").alias("rl_key"), F.col(id_col).cast("long").alias("__id"), F.col(ts).cast("timestamp_ntz").alias(ts),
                    (F.unix_micros(_ts(ts)) / 1e6).alias("__t"))
-    return x.groupBy("rl_key").applyInPandas(
+    return x.repartition("rl_key").sortWithinPartitions("rl_key", F.asc_nulls_last("__t"), F.asc_nulls_last("__id")).mapInArrow(
         _token_bucket(limit, period_s, idle_s),
         f"rl_key string, __id long, {ts} timestamp_ntz, allowed boolean, retry_after_s double") \
         .withColumnRenamed("__id", id_col)
