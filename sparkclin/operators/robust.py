@@ -66,6 +66,11 @@ def _starts(sample: np.ndarray, support: float, seed: int) -> list[tuple[np.ndar
     return [(m, c) for _, _, m, c in found[:FULL]]
 
 
+def _apart(fits: list[tuple[np.ndarray, np.ndarray]], moving: list[int]) -> list[int]:
+    """Those of ``moving`` that are no earlier fit again: equal up to the rounding of sums."""
+    return [s for s in moving if not any(all(np.allclose(x, y, rtol=1e-12, atol=0) for x, y in zip(fits[s], fits[t])) for t in range(s))]
+
+
 def _moments(rows: DataFrame, cols: list[str], centre: np.ndarray, keep: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Mean and covariance of the rows kept by each condition, all in one aggregate, about a common centre."""
     x = [F.col(q(c)) - float(centre[i]) for i, c in enumerate(cols)]
@@ -96,17 +101,22 @@ def mahalanobis_fit(ref: DataFrame, cols: list[str], contamination: float = 0.01
     sample = np.array([list(r) for r in drawn])
     centre, d = np.median(sample, axis=0), len(cols)
     best = _starts(sample, support, seed)
-    before = None
-    for _ in range(ROUNDS):
-        dist = [_distance(cols, m, np.linalg.pinv(c)) for m, c in best]
+    now = [np.inf] * len(best)
+    moving = _apart(best, list(range(len(best))))
+    for _ in range(ROUNDS):  # a start that no longer moves, or has met another, isn't measured again
+        dist = [_distance(cols, best[s][0], np.linalg.pinv(best[s][1])) for s in moving]
         measured = rows.select("*", *[x.alias(f"__d{i}") for i, x in enumerate(dist)])
-        names = [f"__d{i}" for i in range(len(best))]
+        names = [f"__d{i}" for i in range(len(dist))]
         cuts = column_quantiles(measured.select(*names), names, [support]).first()
-        best = _moments(measured, cols, centre, [F.col(n) <= F.lit(float(cuts[i][0])) for i, n in enumerate(names)])
-        now = [_log_det(c) for _, c in best]
-        if before is not None and all(a == b or abs(a - b) < 1e-9 for a, b in zip(before, now)):
+        found = _moments(measured, cols, centre, [F.col(n) <= F.lit(float(cuts[i][0])) for i, n in enumerate(names)])
+        left = []
+        for s, fit in zip(moving, found):
+            before, best[s], now[s] = now[s], fit, _log_det(fit[1])
+            if not (before == now[s] or abs(before - now[s]) < 1e-9):
+                left.append(s)
+        moving = _apart(best, left)
+        if not moving:
             break
-        before = now
     mean, cov = best[int(np.argmin(now))]
     # Scaled so that the middle distance is that of a normal sample, then reweighted once as published.
     dist = _distance(cols, mean, np.linalg.pinv(cov))
