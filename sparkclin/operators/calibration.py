@@ -9,10 +9,11 @@ levels is blocks (of binary targets at most about n^(2/3)), never rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from sparkclin.functions.exprs import q
 from sparkclin.operators.model import assemble, stratified_folds
 from sparkclin.session import stored
 
+FITS = 3             # fold models fitted at a time
 MERGE = 8            # neighbouring ranges that one task merges
 MOST_BLOCKS = 1 << 20  # blocks that may be sent to every task (16 MB of boundaries)
 
@@ -29,11 +31,14 @@ def out_of_fold_scores(df: DataFrame, feature_cols: list[str], target: str, key:
     """(``df`` plus ``fold`` and ``score``, the k fitted models); ``train`` maps a frame to a fitted model.
 
     ``score`` is the probability of class 1 by the model fitted on the other folds. Linear models score all folds in one
-    projection, with the coefficients looked up by fold; others by one pass over each fold.
+    projection, with the coefficients looked up by fold; others by one pass over each fold. Up to ``FITS`` models are fitted
+    at a time, as a fit's many short jobs leave cores idle between them.
     """
     from pyspark.ml.functions import vector_to_array
     d = stored(stratified_folds(df, target, key, k), "folds")
-    models = [train(d.where(F.col("fold") != f)) for f in range(k)]
+    fit = inheritable_thread_target(lambda f: train(d.where(F.col("fold") != f)))
+    with ThreadPoolExecutor(min(k, FITS)) as pool:
+        models = [*pool.map(fit, range(k))]
     if all(hasattr(m, "coefficients") and hasattr(m, "intercept") for m in models):
         weights = F.array(*[F.array(*[F.lit(float(x)) for x in m.coefficients.toArray()]) for m in models])
         start = F.array(*[F.lit(float(m.intercept)) for m in models])
@@ -58,6 +63,7 @@ def fit_sigmoids(scores: DataFrame, score: str = "score", target: str = "target"
     x, y = F.col(score).cast("double"), F.col(target).cast("double")
     fold = F.col("fold") if by_fold else F.lit(-1)
     d = scores.where(x.isNotNull() & y.isNotNull()).select(fold.alias("f"), x.alias("x"), y.alias("y"))
+    d = stored(d, "scores")  # read once a round
     state = {r.f: (0.0, 0.0) for r in d.select("f").distinct().collect()}  # one row a fold
     for _ in range(50):
         a = F.create_map(*[F.lit(v) for f, (s, _) in state.items() for v in (f, s)])[F.col("f")]

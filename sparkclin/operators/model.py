@@ -18,6 +18,9 @@ from sparkclin.session import stored
 from sparkclin.operators.rules import classify_risk, confidence_score
 
 
+FOLD_PARTS = 4096  # ranges of the hash that rows of a class are numbered in
+
+
 # ------------------------------------------------------------------ E12 / E11
 def linear_logit(coef: dict[str, float], intercept: float = 0.0) -> Column:
     return sum((F.lit(float(w)) * F.col(q(c)).cast("double") for c, w in coef.items()), F.lit(float(intercept)))
@@ -76,17 +79,19 @@ def class_weights(df: DataFrame, target: str = "target", out: str = "weight") ->
 
 def stratified_folds(df: DataFrame, target: str, key: str, k: int = 5, out: str = "fold") -> DataFrame:
     """Class-balanced folds: within each class rows are ordered by an md5 hash of
-    the key and dealt round-robin. Ranks come from prefix sums over (class, hash)
-    counts plus a row number inside equal hashes, so no class-wide window."""
-    from sparkclin.functions.exprs import cumulative_sums
+    the key and dealt round-robin. Ranks are row numbers in ``FOLD_PARTS`` equal ranges of
+    the hash plus the counts of the ranges before, so rows are shuffled once and no window is class-wide."""
     from sparkclin.operators.keyed import join_same
     from pyspark.sql.window import Window
-    base = df.withColumn("__h", md5_bucket(F.col(key), 1 << 32).cast("double"))
-    cnt = base.groupBy(target, "__h").agg(F.count(F.lit(1)).alias("__c"))
-    cum = cumulative_sums(cnt, "__h", ["__c"], [target]).select(target, "__h", (F.col("cum___c") - F.col("__c")).alias("__before"))
-    j = join_same(base, cum, [target, "__h"], "inner")  # rows without a class are dealt among themselves
-    rn = F.row_number().over(Window.partitionBy(target, "__h").orderBy(key))
-    return j.withColumn(out, F.pmod(F.col("__before") + rn - 1, F.lit(k)).cast("int")).drop("__h", "__before")
+    h = md5_bucket(F.col(key), 1 << 32)
+    part = F.coalesce(F.floor(h / ((1 << 32) // FOLD_PARTS)), F.lit(-1))  # no key: before all others
+    base = df.withColumn("__h", h).withColumn("__part", part)
+    size = df.select(F.col(q(target)), part.alias("__part")).groupBy(target, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    earlier = Window.partitionBy(target).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = size.select(target, "__part", F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"))
+    rn = F.row_number().over(Window.partitionBy(target, "__part").orderBy("__h", key))
+    j = join_same(base.withColumn("__rn", rn), F.broadcast(before), [target, "__part"], "inner")  # rows without a class are dealt among themselves
+    return j.withColumn(out, F.pmod(F.col("__before") + F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__h", "__part", "__rn", "__before")
 
 
 # ------------------------------------------------------------------ E1–E3, E5, E6, E8, E10

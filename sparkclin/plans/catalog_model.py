@@ -9,6 +9,7 @@ from sparkclin.operators import calibration as C
 from sparkclin.operators import model as E
 from sparkclin.operators import shapley as S
 from sparkclin.plans.registry import register
+from sparkclin.session import stored
 from sparkclin.sources.views import patients, scored
 
 COEF = {"glucose": 0.03, "bmi": 0.08, "age": 0.02}
@@ -170,7 +171,7 @@ def q_clinical_notes(spark, sf):
 # ------------------------------------------------------------- Spark ML fits (rows-only checks)
 def _train_frame(spark, sf):
     s = scored(spark, sf).select("patient_id", *FEATS, F.col("y_true").cast("double").alias("target"))
-    return _imputed(s, FEATS)
+    return stored(_imputed(s, FEATS), "train")  # fits read it many times: medians are found once
 
 
 @register("train_logistic")
@@ -268,7 +269,7 @@ def q_isotonic_blocks(spark, sf):
 @register("calibrated_scores")
 def q_calibrated_scores(spark, sf):
     """Every out-of-fold score with its isotonic value."""
-    s = C.stored(_oof(spark, sf).select("patient_id", "score", "target"), "scores")
+    s = stored(_oof(spark, sf).select("patient_id", "score", "target"), "scores")
     return C.apply_isotonic(s, C.isotonic_blocks(s)).drop("target")
 
 
