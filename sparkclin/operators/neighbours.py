@@ -7,7 +7,7 @@ most 2^``MAX_DEPTH`` leaves) and only steers which points meet: results are exac
 
 A query is first measured against its own leaf, which bounds its k-th distance; then it is sent to the other leaves that
 reach into that ball, found by walking the cuts. A task holds the points of one leaf and at most about ``CHUNK``
-queries, measures them block by block, and lets only the ``k`` best of a query leave. Of equal points only the
+queries, measures them part by part of the leaf, and lets only the ``k`` best of a query leave. Of equal points only the
 ``k + 1`` with the smallest ids are kept: no other can be among the nearest, and copies can't pile up in a leaf.
 
 Points and queries belong to a ``space``; only those of one space meet. Spaces may differ in dimension.
@@ -33,6 +33,7 @@ TOP_DEPTH = 10
 MAX_DEPTH = 20
 SAMPLE = 64       # sampled points a leaf
 CHUNK = 4096      # queries that meet a leaf in one task
+PART = 64         # points of a leaf that a query meets at once
 BLOCK_CELLS = 1 << 20  # distances held at once
 
 
@@ -116,6 +117,46 @@ def nearest_of(queries: np.ndarray, points: np.ndarray, same: tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
+def nearest_in_leaf(queries: np.ndarray, points: np.ndarray, same: tuple[np.ndarray, np.ndarray], k: int, bound: np.ndarray):
+    """``nearest_of`` over a leaf's own small tree: a query meets its part of the leaf, then parts within its k-th distance."""
+    depth = max(0, math.ceil(math.log2(max(1, len(points)) / PART)))
+    if not depth or not len(queries):
+        return nearest_of(queries, points, same, k, bound)
+    tree = fit_tree(points, depth, max(8, k + 2))
+
+    def by_part(part: np.ndarray) -> dict[int, np.ndarray]:
+        order = np.argsort(part, kind="stable")
+        return {part[rows[0]]: rows for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(rows)}
+
+    held, out = by_part(leaf_of(tree, points)), []
+
+    def meet(row: np.ndarray, part: np.ndarray, reach: np.ndarray) -> None:
+        for p, at in by_part(part).items():
+            if p in held:
+                mine, its = row[at], held[p]
+                a, b, d = nearest_of(queries[mine], points[its], (same[0][mine], same[1][its]), k, reach[mine])
+                out.append((mine[a], its[b], d))
+
+    home = leaf_of(tree, queries)
+    meet(np.arange(len(queries)), home, bound)
+    a, d = (np.concatenate([x[i] for x in out]) if out else np.zeros(0) for i in (0, 2))
+    a = a.astype(np.int64)
+    far = np.zeros(len(queries))
+    np.maximum.at(far, a, d)
+    full = np.bincount(a, minlength=len(queries)) == k
+    reach = np.where(full, np.minimum(bound, far * (1 + 1e-9) + 1e-150), bound)
+    row, part = leaves_within(tree, queries, reach)
+    other = part != home[row]
+    meet(row[other], part[other], reach)
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    a, b, d = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((b, d, a))
+    a, b, d = a[order], b[order], d[order]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], d[keep]
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -218,8 +259,8 @@ def _met(queries: DataFrame, points: DataFrame, k: int, kind: str, point_kind: s
             ids = right.column("id").combine_chunks()
             codes = pc.unique(ids)
             of_query = pc.fill_null(pc.index_in(left.column("id").combine_chunks().cast(ids.type), codes), -1).to_numpy()
-            a, b, d = nearest_of(_matrix(left.column("vec")), _matrix(right.column("vec")),
-                                 (of_query, pc.index_in(ids, codes).to_numpy()), k, left.column("bound").to_numpy())
+            a, b, d = nearest_in_leaf(_matrix(left.column("vec")), _matrix(right.column("vec")),
+                                      (of_query, pc.index_in(ids, codes).to_numpy()), k, left.column("bound").to_numpy())
         else:
             ids, a, b, d = pa.array([], right.schema.field("id").type), *[np.zeros(0, np.int64)] * 2, np.zeros(0)
         edge = pa.array(np.searchsorted(a, np.arange(n + 1)), pa.int32())

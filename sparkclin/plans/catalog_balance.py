@@ -6,6 +6,7 @@ from sparkclin.operators import balance as B
 from sparkclin.operators import neighbours as N
 from sparkclin.operators import prep as P
 from sparkclin.plans.registry import register
+from sparkclin.session import stored
 from sparkclin.sources.views import patients, scored
 
 COLS = ["glucose", "bmi", "age"]
@@ -14,7 +15,7 @@ COLS = ["glucose", "bmi", "age"]
 def _source(spark, sf):
     """Patients with medians for missing features."""
     s = scored(spark, sf).select("patient_id", "y_true", *COLS)
-    return P.impute_simple(s, COLS, "median")
+    return stored(P.impute_simple(s, COLS, "median"), "source")  # read many times: medians are found once
 
 
 def _dist(a, b):
