@@ -21,23 +21,22 @@ from sparkclin.functions.exprs import q
 from sparkclin.operators.model import assemble, stratified_folds
 from sparkclin.session import stored
 
-FITS = 3             # fold models fitted at a time
 MERGE = 8            # neighbouring ranges that one task merges
 MOST_BLOCKS = 1 << 20  # blocks that may be sent to every task (16 MB of boundaries)
 
 
 def out_of_fold_scores(df: DataFrame, feature_cols: list[str], target: str, key: str, train: Callable[[DataFrame], object],
-                       k: int = 5, score: str = "score") -> tuple[DataFrame, list]:
+                       k: int = 5, score: str = "score", parallelism: int = 1) -> tuple[DataFrame, list]:
     """(``df`` plus ``fold`` and ``score``, the k fitted models); ``train`` maps a frame to a fitted model.
 
     ``score`` is the probability of class 1 by the model fitted on the other folds. Linear models score all folds in one
-    projection, with the coefficients looked up by fold; others by one pass over each fold. Up to ``FITS`` models are fitted
-    at a time, as a fit's many short jobs leave cores idle between them.
+    projection, with the coefficients looked up by fold; others by one pass over each fold. ``parallelism``
+    models are fitted at a time: a fit's many short jobs leave cores idle between them.
     """
     from pyspark.ml.functions import vector_to_array
     d = stored(stratified_folds(df, target, key, k), "folds")
     fit = inheritable_thread_target(lambda f: train(d.where(F.col("fold") != f)))
-    with ThreadPoolExecutor(min(k, FITS)) as pool:
+    with ThreadPoolExecutor(parallelism) as pool:
         models = [*pool.map(fit, range(k))]
     if all(hasattr(m, "coefficients") and hasattr(m, "intercept") for m in models):
         weights = F.array(*[F.array(*[F.lit(float(x)) for x in m.coefficients.toArray()]) for m in models])

@@ -229,7 +229,7 @@ def _oof(spark, sf):
     """Every patient scored by the one of five logistic models that has not seen it."""
     d = _train_frame(spark, sf)
     return C.out_of_fold_scores(d, ["glucose", "bmi", "age"], "target", "patient_id",
-                                lambda x: E.train_logistic(x, ["glucose", "bmi", "age"]))[0]
+                                lambda x: E.train_logistic(x, ["glucose", "bmi", "age"]), parallelism=3)[0]
 
 
 @register("calibrate_platt")
