@@ -168,7 +168,7 @@ def grid_search_cv(df: DataFrame, feature_cols: list[str], target: str = "target
     if random_draws is not None and len(maps) > random_draws:
         maps = random.Random(seed).sample(maps, random_draws)
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RecallEvaluator.make(target),
-                        foldCol="fold", parallelism=parallelism, collectSubModels=False)
+                        numFolds=k, foldCol="fold", parallelism=parallelism, collectSubModels=False)
     return cv.fit(d)
 
 

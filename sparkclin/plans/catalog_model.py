@@ -200,11 +200,19 @@ def q_grid_search_cv(spark, sf):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(cv.avgMetrics)], "grid_point int, mean_recall double")
 
 
+# Fixed values of the random search: draws, folds and the C of the logistic grid (src/components/model_training.py:53-58, 287).
+SEARCH_DRAWS, SEARCH_FOLDS = 50, 5
+SEARCH_C = [0.001, 0.01, 0.1, 1, 10, 100]
+
+
 @register("random_search_cv")
 def q_random_search_cv(spark, sf):
-    d = _train_frame(spark, sf).withColumnRenamed("patient_id", "id")
-    cv = E.grid_search_cv(d, FEATS, "target", k=3, grid={"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
-                          parallelism=2, random_draws=3)
+    """50 draws of 54 points: each C as 1/(C·n) and three shares of n, l2 / mixed / l1, balanced or equal weights."""
+    d = _train_frame(spark, sf).withColumnRenamed("patient_id", "id").withColumn("unit", F.lit(1.0))
+    n = max(d.count(), 1) * (SEARCH_FOLDS - 1) / SEARCH_FOLDS  # rows a fold's model is fitted on
+    grid = {"regParam": [0.0, 0.01, 0.1] + [1.0 / (c * n) for c in SEARCH_C], "elasticNetParam": [0.0, 0.5, 1.0],
+            "weightCol": ["weight", "unit"]}
+    cv = E.grid_search_cv(d, FEATS, "target", k=SEARCH_FOLDS, grid=grid, parallelism=2, random_draws=SEARCH_DRAWS)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(cv.avgMetrics)], "draw int, mean_recall double")
 
 
