@@ -144,20 +144,22 @@ class RecallEvaluator:
 
 def grid_search_cv(df: DataFrame, feature_cols: list[str], target: str = "target", k: int = 5,
                    grid: dict | None = None, estimator: str = "logistic", parallelism: int = 4,
-                   random_draws: int | None = None, seed: int = 42):
+                   random_draws: int | None = None, seed: int = 42, together: bool = False):
     """K-fold CV over a parameter grid scored by recall.
 
     Folds come from ``stratified_folds`` (``foldCol``) so they are balanced
     and reproducible. ``random_draws`` keeps a seeded subset of the grid
-    (random search); an empty grid is the baseline CV.
+    (random search); an empty grid is the baseline CV. ``together`` fits the logistic
+    models of all points and folds in shared passes (``search``), for large grids.
     """
     import random
 
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+    if together and estimator != "logistic":
+        raise ValueError("only logistic models are fitted together")
     d = stratified_folds(_weighted(df, target, feature_cols, "weight"), target,
                          feature_cols[0] if "id" not in df.columns else "id", k)
-    d = stored(d, "folds")  # folds, weights and features are made once, not per fold and grid point
     est = {"logistic": LogisticRegression(featuresCol="features", labelCol=target, weightCol="weight"),
            "forest": RandomForestClassifier(featuresCol="features", labelCol=target, weightCol="weight", seed=seed),
            "boosted": GBTClassifier(featuresCol="features", labelCol=target, weightCol="weight", seed=seed)}[estimator]
@@ -167,6 +169,16 @@ def grid_search_cv(df: DataFrame, feature_cols: list[str], target: str = "target
     maps = b.build()
     if random_draws is not None and len(maps) > random_draws:
         maps = random.Random(seed).sample(maps, random_draws)
+    if together:
+        from sparkclin.operators.search import FILE_ROWS, recalls_together
+        points = [{p.name: v for p, v in m.items()} for m in maps]
+        used = dict.fromkeys([*feature_cols, target, *[p.get("weightCol", "weight") for p in points], "fold"])
+        d = stored(d.select(*[F.col(q(c)) for c in used]), "folds", FILE_ROWS)
+        recalls = recalls_together(d, feature_cols, target, points, k)
+        mean = [float(v) for v in recalls.mean(axis=1)]
+        best = est.fit(assemble(d, feature_cols), maps[mean.index(max(mean))])
+        return CrossValidatorModel(best, mean, None, [float(v) for v in recalls.std(axis=1)])
+    d = stored(d, "folds")  # folds, weights and features are made once, not per fold and grid point
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=RecallEvaluator.make(target),
                         numFolds=k, foldCol="fold", parallelism=parallelism, collectSubModels=False)
     return cv.fit(d)

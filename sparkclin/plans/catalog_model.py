@@ -212,7 +212,7 @@ def q_random_search_cv(spark, sf):
     n = max(d.count(), 1) * (SEARCH_FOLDS - 1) / SEARCH_FOLDS  # rows a fold's model is fitted on
     grid = {"regParam": [0.0, 0.01, 0.1] + [1.0 / (c * n) for c in SEARCH_C], "elasticNetParam": [0.0, 0.5, 1.0],
             "weightCol": ["weight", "unit"]}
-    cv = E.grid_search_cv(d, FEATS, "target", k=SEARCH_FOLDS, grid=grid, parallelism=2, random_draws=SEARCH_DRAWS)
+    cv = E.grid_search_cv(d, FEATS, "target", k=SEARCH_FOLDS, grid=grid, random_draws=SEARCH_DRAWS, together=True)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(cv.avgMetrics)], "draw int, mean_recall double")
 
 

@@ -65,12 +65,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
     """``df`` written once, as Parquet, to the shared folder and read back.
 
     ``checkpoint()`` runs a plan twice, once for its job and once to write. A written table runs it once, keeps its
     columns apart for pruning and pushdown, and survives lost executors. The folder is the cluster's scratch space.
+    ``file_rows`` cuts the files, so that work which is heavy for its bytes is read back by more tasks.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
